@@ -52,7 +52,7 @@ def vocabulary(df: DataFrame, url_col: str = "url", strict=STRICT, soft=SOFT) ->
     """``df`` with n_strict and soft_terms (distinct, sorted)."""
     auto_words = [(t, 1) for t in strict] + [(t, 0) for t in soft]
     keep = [c for c in df.columns]
-    schema = df.schema.add("n_strict", T.LongType()).add("soft_terms", T.ArrayType(T.StringType()))
+    schema = T.StructType([*df.schema.fields, T.StructField("n_strict", T.LongType()), T.StructField("soft_terms", T.ArrayType(T.StringType()))])
     at = keep.index(url_col)
 
     def run(batches):
