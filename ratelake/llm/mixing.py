@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     level = (total - F.coalesce(F.sum("top").over(before), F.lit(0.0))) / F.sum("w").over(after)
     # the level if this source is the first one that isn't capped
     x = w.withColumn("level", level).withColumn("open", F.col("level") * F.col("w") <= F.col("top"))
-    final = F.min(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())
+    # levels fall from the first open source on, so the highest one is that source's
+    final = F.max(F.when(F.col("open"), F.col("level"))).over(Window.partitionBy())
     return x.select("source", "source_size", F.least(F.col("top"), F.coalesce(final * F.col("w"), F.col("top"))).alias("target"))
 
 
@@ -68,10 +69,12 @@ def rates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed corpus: each document once per copy, with ``copy`` numbered from 0."""
+    """The mixed corpus: each document once per copy, with ``copy`` numbered from 0;
+    columns of the names ``size`` and ``copy`` are replaced."""
     r = rates(docs, id_col, **how).where("_mix_copies > 0")
     out = r.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1)))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("_mix_size").alias("size"), F.col("_mix_copy").alias("copy"))
+    keep = [c for c in docs.columns if c.lower() not in ("size", "copy")]
+    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_mix_size").alias("size"), F.col("_mix_copy").alias("copy"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -92,7 +95,7 @@ l AS (
       / sum(w) OVER (ORDER BY top / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (
-  SELECT source, source_size, least(top, coalesce(min(CASE WHEN level * w <= top THEN level END) OVER () * w, top)) AS target FROM l),
+  SELECT source, source_size, least(top, coalesce(max(CASE WHEN level * w <= top THEN level END) OVER () * w, top)) AS target FROM l),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
