@@ -227,7 +227,7 @@ def feature_tags(text: Column) -> Column:
 
 
 def feature_texts(texts: Column) -> Column:
-    return F.filter(F.transform(texts, F.trim), lambda x: F.length(x) > 2)
+    return F.filter(F.transform(texts, lambda t: F.trim(t)), lambda x: F.length(x) > 2)
 
 
 def first_number(text: Column, default: float | None = None) -> Column:

@@ -257,7 +257,7 @@ def card_cells(html: Column) -> Column:
 
 def options(html: Column) -> Column:
     """Texts of a page's options that carry a rate, placeholders left out."""
-    every = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<option[^>]*>([^<]*)</option>"), F.lit(1)), F.trim)
+    every = F.transform(F.regexp_extract_all(html, F.lit(r"(?is)<option[^>]*>([^<]*)</option>"), F.lit(1)), lambda t: F.trim(t))
     return F.filter(every, lambda t: F.lower(t).rlike(r"%\s*p\.a") & ~P.is_placeholder(t))
 
 

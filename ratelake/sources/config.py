@@ -102,9 +102,10 @@ class Lenders:
         return cls(tuple(parse_lenders(text)))
 
     def add(self, row: dict) -> "Lenders":
-        if any(r["lender_name"].lower() == row["lender_name"].lower() for r in self.rows):
-            raise ValueError(f"lender {row['lender_name']} exists")
-        return Lenders(self.rows + (parse_lenders(json.dumps([row]))[0] | {"config_idx": len(self.rows)},))
+        new = parse_lenders(json.dumps([row]))[0] | {"config_idx": len(self.rows)}
+        if any(r["lender_name"].lower() == new["lender_name"].lower() for r in self.rows):
+            raise ValueError(f"lender {new['lender_name']} exists")
+        return Lenders(self.rows + (new,))
 
     def update(self, name: str, **fields) -> "Lenders":
         return Lenders(tuple(r | fields if r["lender_name"].lower() == name.lower() else r for r in self.rows))
