@@ -333,3 +333,24 @@ def substitute(text: str, env: dict | None = None) -> str:
     """``${NAME:-default}`` and ``${NAME}`` from the environment (driver side)."""
     env = os.environ if env is None else env
     return re.sub(r"\$\{([^}:]+)(?::-([^}]*))?\}", lambda m: env.get(m[1], m[2] or ""), text)
+
+
+# timestamps
+
+
+def stamp(ts: Column) -> Column:
+    """20240131_235959"""
+    return F.date_format(ts, "yyyyMMdd_HHmmss")
+
+
+def snapshot_stamp(ts: Column) -> Column:
+    """2024-01-31-23-59-59"""
+    return F.date_format(ts, "yyyy-MM-dd-HH-mm-ss")
+
+
+def iso(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def from_iso(text: Column) -> Column:
+    return F.try_to_timestamp(text)
