@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -12,6 +14,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _fallback: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """At the driver's end delete intermediate tables that are still there."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            forget(spark, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +48,7 @@ def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     survives lost executors.  Returns the frame and its path."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -66,6 +78,17 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return off, raw
 
 
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The id, the text and the whole row as one struct ``__row``, so that no column's name can
+    clash with an operator's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed) -> DataFrame:
+    """The rows of ``packed`` again, with some columns replaced."""
+    return df.select(*[(changed[c] if c in changed else F.col("__row").getField(c)).alias(c) for c in columns])
+
+
 def keyed(df: DataFrame, id_col: str = "doc_id", key: str = "_key", text_col: str = "text") -> DataFrame:
     """Add a unique long ``key`` that follows the order of ``id_col``.
 
@@ -93,7 +116,8 @@ def keyed(df: DataFrame, id_col: str = "doc_id", key: str = "_key", text_col: st
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
-    """Connected components of ``edges(a, b)`` (longs): rows (node, root), root the smallest node.
+    """Connected components of ``edges(a, b)`` (longs): rows (node, root) of all nodes but the
+    roots, which are the smallest node of each.
 
     Alternates large-star and small-star rounds, each two shuffles of the edges with
     partial aggregation of the minimum; every round is written to the shared folder,
@@ -116,6 +140,8 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         if tuple(now) == before:
             break
         before = tuple(now)
+    else:
+        raise RuntimeError("components did not settle")
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 

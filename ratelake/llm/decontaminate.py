@@ -20,6 +20,8 @@ nothing; repeated rows are judged alike; other columns pass through ``drop_conta
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +35,7 @@ RANK, SKETCH = 28, 32
 COSINE = 0.5
 STRICT, LOOSE, ANSWER = 0.75, 0.6, 5
 CHUNK = 1 << 18
+ITEMS = 4000  # items searched for at once
 COMMON = 0.05  # share of the items
 PIECE = 20  # words of an item searched for at once
 
@@ -318,27 +321,35 @@ class Judge:
             yield (r, self.items[k][0], *v)
 
 
-def benchmark_items(benchmark: DataFrame) -> list[tuple[int, np.ndarray]]:
-    """(item id, word hashes); the benchmark is a small, fixed set by nature."""
-    out = []
-    for r in benchmark.select("item_id", "text").where("text is not null").orderBy("item_id").collect():
-        raw = np.frombuffer(r["text"].encode(), np.uint8)
-        for _, _, h in groups(np.array([0, len(raw)]), raw):
-            if len(h):
-                out.append((r["item_id"], h))
-    return out
+def item_blocks(benchmark: DataFrame, at_once: int = ITEMS) -> Iterator[list[tuple[int, np.ndarray]]]:
+    """(item id, word hashes) in blocks of about ``at_once`` items, so that what is collected,
+    broadcast and searched for at once is bounded."""
+    b = benchmark.select("item_id", "text").where("text is not null")
+    n = -(-b.count() // at_once) or 1
+    for k in range(n):
+        out = []
+        for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).orderBy("item_id", "text").collect():
+            raw = np.frombuffer(r["text"].encode(), np.uint8)
+            out += [(r["item_id"], h) for _, _, h in groups(np.array([0, len(raw)]), raw) if len(h)]
+        yield out
 
 
-def prepare(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how):
-    """A broadcast Judge fitted on all passages of ``docs``."""
-    items = benchmark_items(benchmark)
+def prepare(docs: DataFrame, items: list[tuple[int, np.ndarray]], text_col: str, how: dict):
+    """What a Judge is made of, broadcast: a block of items and the space fitted on all passages."""
     space = latent_space(docs, [h for _, h in items], text_col)
     return docs.sparkSession.sparkContext.broadcast((items, space, how))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = ITEMS, **how) -> DataFrame:
     """A row per document and item it holds."""
-    shared = prepare(docs, benchmark, text_col, **how)
+    out = None
+    for items in item_blocks(benchmark, at_once):
+        found = _search(docs, prepare(docs, items, text_col, how), id_col, text_col)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _search(docs: DataFrame, shared, id_col: str, text_col: str) -> DataFrame:
     names = [id_col, "item_id", "lcs_words", "item_words", "answer_words", "cosine"]
 
     def run(batches):
@@ -357,10 +368,16 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     return src.mapInArrow(run, f"`{id_col}` long, item_id long, lcs_words long, item_words long, answer_words long, cosine double")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **how) -> DataFrame:
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", at_once: int = ITEMS, **how) -> DataFrame:
     """``docs`` without those that hold an item; decided where the document is read, so
     texts are not shuffled."""
-    shared = prepare(docs, benchmark, text_col, **how)
+    kept = docs
+    for items in item_blocks(benchmark, at_once):
+        kept = _filter(kept, prepare(docs, items, text_col, how), text_col)
+    return kept
+
+
+def _filter(docs: DataFrame, shared, text_col: str) -> DataFrame:
     at = docs.columns.index(text_col)
 
     def run(batches):

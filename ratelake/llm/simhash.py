@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed, save
+from .common import components, keyed, packed, save, unpacked
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -168,10 +168,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Of rows that repeat an id, or have none, each counts as a document of its own, in
     the order of ``keyed``.
     """
-    rows = keyed(docs, id_col, "_key", text_col)
+    rows = keyed(packed(docs, id_col, text_col), id_col, "_key", text_col)
     c = simhash_components(rows, "_key", text_col)
     keep = c.where("component_id = _key").select("_key")
-    return rows.join(keep, "_key", "left_semi").select(*[F.col(f"`{x}`") for x in docs.columns])
+    return unpacked(rows.join(keep, "_key", "left_semi"), docs.columns)
 
 
 def to_hex(col: str):

@@ -3,7 +3,7 @@
 A logistic regression over words and word beginnings that a document holds is fitted on
 at most ``sample`` labelled rows, those with the smallest hash of their id among rows not
 held out (the bound is a parameter; scoring covers all documents).  For each training
-text that names a group, copies with the group's term swapped for others are made, and
+text that names a group, copies with the group's term swapped for others or left out are made, and
 the squared difference of their scores to the original's is added to the loss, so group
 names earn no weight of their own.
 
@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
 from .licenses import words
 
 SAMPLE = 8000
 MIN_DOCS = 5
 BEGIN = (4, 9)  # bytes of a word's beginnings, from and below
-ROUNDS, RATE, RIDGE, FAIR = 150, 0.08, 2e-4, 1.0
+ROUNDS, RATE, RIDGE, FAIR = 150, 0.08, 2e-4, 4.0
 # Group names that take each other's place.
 IDENTITY = (
     ("women", "men", "girls", "boys", "people"),
@@ -50,11 +51,13 @@ def beginnings(w: set[bytes]) -> set[bytes]:
 
 
 def swaps(found: set[bytes]):
-    """Feature sets with one group's term swapped for each other term of its kind."""
+    """Feature sets with one group's term swapped for each other term of its kind, and left
+    out: else all terms of a kind could share one high weight."""
     for kind in IDENTITY:
         terms = [t.encode() for t in kind]
         for t in terms:
             if t in found:
+                yield found - {t} - beginnings({t})
                 for u in terms:
                     if u != t:
                         yield (found - {t} - beginnings({t})) | {u} | beginnings({u})
@@ -157,10 +160,5 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
     """The documents that score below ``limit``."""
-    model = train(docs, labels)
-    s = score(docs, model, docs.columns) if "score" not in docs.columns else None
-    if s is None:  # a column of that name is kept apart
-        renamed = docs.withColumnRenamed("score", "__score")
-        s = score(renamed, model, renamed.columns)
-        return s.where(F.col("score") < limit).drop("score").withColumnRenamed("__score", "score").select(*[F.col(f"`{c}`") for c in docs.columns])
-    return s.where(F.col("score") < limit).select(*[F.col(f"`{c}`") for c in docs.columns])
+    s = score(packed(docs, "doc_id", "text"), train(docs, labels), ["__row"])
+    return unpacked(s.where(F.col("score") < limit), docs.columns)
