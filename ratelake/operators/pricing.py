@@ -156,13 +156,13 @@ def closed_world(components: DataFrame) -> DataFrame:
     )
 
 
-def missing_states(components: DataFrame) -> DataFrame:
-    """Loan type x repayment x rate type over the axes a lender shows, less what its
-    components cover: the null-priced placeholders."""
+def missing_states(components: DataFrame, key: str = "lender") -> DataFrame:
+    """Loan type x repayment x rate type over the axes a lender (or product) shows, less what
+    its components cover: the null-priced placeholders."""
     c = with_state(components)
-    axis = lambda n: c.select("lender", n).distinct()
-    grid = axis("loan_type").join(axis("repayment"), "lender").join(axis("rate_type"), "lender")
-    return grid.join(c.select("lender", "loan_type", "repayment", "rate_type").distinct(), ["lender", "loan_type", "repayment", "rate_type"], "left_anti")
+    axis = lambda n: c.select(key, n).distinct()
+    grid = axis("loan_type").join(axis("repayment"), key).join(axis("rate_type"), key)
+    return grid.join(c.select(key, "loan_type", "repayment", "rate_type").distinct(), [key, "loan_type", "repayment", "rate_type"], "left_anti")
 
 
 def option_product(axes: DataFrame, skip: tuple = ("region_residency", "borrower_category")) -> DataFrame:

@@ -259,10 +259,10 @@ def closed_world_matrix(spark, sf):
     return w.withColumn("tiers", _tiers()).drop("rate_tiers")
 
 
-@query(f"""WITH {_STATE}, a AS (SELECT DISTINCT lender, loan_type FROM k), b AS (SELECT DISTINCT lender, repayment FROM k), d AS (SELECT DISTINCT lender, rate_type FROM k)
-SELECT lender, loan_type, repayment, rate_type FROM a JOIN b USING (lender) JOIN d USING (lender) EXCEPT SELECT lender, loan_type, repayment, rate_type FROM k""")
+@query(f"""WITH {_STATE}, a AS (SELECT DISTINCT product_id, loan_type FROM k), b AS (SELECT DISTINCT product_id, repayment FROM k), d AS (SELECT DISTINCT product_id, rate_type FROM k)
+SELECT product_id, loan_type, repayment, rate_type FROM a JOIN b USING (product_id) JOIN d USING (product_id) EXCEPT SELECT product_id, loan_type, repayment, rate_type FROM k""")
 def matrix3_missing(spark, sf):
-    return pricing.missing_states(components(spark, sf))
+    return pricing.missing_states(components(spark, sf), "product_id")
 
 
 _PICK = "SELECT s_suppkey AS page_id, concat('a', CAST(s_nationkey % 3 AS STRING)) AS o1, concat('b', CAST(s_suppkey % 2 AS STRING)) AS o2 FROM {supplier}"
