@@ -13,14 +13,14 @@ anchor at the same place.  All windows around an anchor lie in a fragment of at
    there (map-side combine), so a hot passage sends one row a task;
 2. sorted by anchor, later copies of an identical fragment are duplicates as a whole;
    first copies of fragments whose anchor has other fragments too go on;
-3. their bytes are gathered into texts of bounded size.  The text's Burrows-Wheeler
+3. their windows are dealt, in two halves by their offset to the anchor, to buckets keyed by
+   the bytes that all windows of the half must share, which parts chance neighbours.
+   Buckets are gathered into texts of bounded size.  The text's Burrows-Wheeler
    transform is built and intervals are extended backward breadth first: level l sets
    the boundaries between suffixes with l bytes in common, and the expansion stops at
    LENGTH.  Suffixes without a boundary between them share LENGTH bytes or more.
-   An anchor with more distinct fragments than a text may hold is split: its windows
-   go, by halves of their offsets to the anchor, to buckets keyed by the bytes which
-   all windows of the half have in common, as often as needed (at one offset all
-   windows of a bucket are equal).  Nothing is dropped.
+   A bucket with more distinct fragments than a text may hold is halved again, as often
+   as needed (at one offset all windows of a bucket are equal).  Nothing is dropped.
 
 Defined results: null text is empty (and stays null in ``dedup_text``); texts shorter than
 LENGTH lose nothing; of rows that repeat an id, or have none, each is a document of its
@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget, keyed, save, utf8
+from .common import keyed, packed, save, unpacked, utf8
 
 LENGTH, KMER = 100, 32
 REACH = LENGTH - KMER  # bytes of context on each side of an anchor
@@ -232,22 +232,31 @@ def settle(rows: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "t byte, h long, doc long, a long, b long")
 
 
-def rank_by_prefix(text: np.ndarray) -> np.ndarray:
-    """Ranks of the text's rotations by their first 128 bytes (>= LENGTH + 1), by doubling."""
+def sort_rotations(text: np.ndarray, depth: int = LENGTH + 1) -> np.ndarray:
+    """The text's rotations in the order of their first ``depth`` bytes or more, equal ones by
+    place.  Prefixes double; rank, next rank and place share one 63-bit key, so each round is
+    a plain sort of integers (hence at most 2**21 bytes)."""
     n = len(text)
+    width = max(1, (n - 1).bit_length())
+    if width > 21:
+        raise ValueError("a text holds at most 2**21 bytes")
+    shift, mask = np.uint64(width), np.uint64((1 << width) - 1)
+    place = np.arange(n, dtype=np.uint64)
+    letters, code = np.unique(text, return_inverse=True)
+    bits = max(1, (len(letters) - 1).bit_length())
+    size = 2 * width // bits or 1
     key = np.zeros(n, np.uint64)
-    for j in range(8):
-        key = key << np.uint64(8) | np.roll(text, -j)
-    size, rank = 8, None
+    for j in range(size):
+        key = key << np.uint64(bits) | np.roll(code, -j).astype(np.uint64)
     while True:
-        o = np.argsort(key)
-        k = key[o]
-        new = np.r_[False, k[1:] != k[:-1]]
+        o = np.sort(key << shift | place)
+        at = o & mask
+        if size >= depth:
+            return at.astype(np.int64)
+        o >>= shift
         rank = np.empty(n, np.uint64)
-        rank[o] = np.cumsum(new).astype(np.uint64)
-        if size >= 128:
-            return rank
-        key = rank << np.uint64(32) | np.roll(rank, -(size % n))
+        rank[at] = np.cumsum(np.r_[False, o[1:] != o[:-1]]).astype(np.uint64)
+        key = rank << shift | np.roll(rank, -(size % n))
         size *= 2
 
 
@@ -257,8 +266,7 @@ def classes(text: np.ndarray, length: int = LENGTH) -> np.ndarray:
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
-    sa = np.sort(rank_by_prefix(text) << np.uint64(32) | np.arange(n, dtype=np.uint64)).astype(np.uint64)
-    sa = (sa & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    sa = sort_rotations(text, length + 1)
     isa = np.empty(n, np.int64)
     isa[sa] = np.arange(n)
     bwt = text[sa - 1]
@@ -354,11 +362,12 @@ def expand(frags: DataFrame, hot: int = HOT, text_size: int = TEXT) -> DataFrame
                 h, f, doc, a, left, lo, hi, frag = row
                 if h != cur:
                     if not split and len(own) > 1:
-                        ready += own
-                        room += sum(len(x[5]) for x in own)
-                        if room >= text_size:
+                        size = sum(len(x[5]) for x in own)
+                        if ready and room + size > text_size:
                             yield marks(*repeats(ready))
                             ready, room = [], 0
+                        ready += own
+                        room += size
                     cur, last, own, split = h, None, [], False
                 if f == last:  # the same bytes, later
                     copies.append((doc, a - left, a - left + len(frag)))
@@ -376,6 +385,9 @@ def expand(frags: DataFrame, hot: int = HOT, text_size: int = TEXT) -> DataFrame
                 yield marks(*_merge(*(np.array(x, np.int64) for x in zip(*copies))))
                 copies = []
         if not split and len(own) > 1:
+            if ready and room + sum(len(x[5]) for x in own) > text_size:
+                yield marks(*repeats(ready))
+                ready = []
             ready += own
         if ready:
             yield marks(*repeats(ready))
@@ -405,17 +417,14 @@ def repeated_intervals(docs: DataFrame, key: str = "_key", text_col: str = "text
             a, left, right = p >> 16, p >> 8 & 255, p & 255
             s = off[row] + a - left
             e = off[row] + a + KMER + right
-            for i in range(0, len(p), 1 << 14):
-                z = slice(i, i + (1 << 14))
-                frag = [raw[x:y] for x, y in zip(s[z].tolist(), e[z].tolist())]
-                f = [xxhash.xxh3_64_intdigest(x, y) - (1 << 63) for x, y in zip(frag, left[z].tolist())]
-                m = len(frag)
-                yield pa.RecordBatch.from_arrays(
-                    [h[z], pa.array(f, pa.int64()), b.column(0).take(pa.array(row[z])), pa.array(a[z]), pa.array(left[z].astype(np.int32)), pa.array(np.zeros(m, np.int32)), pa.array(np.full(m, REACH, np.int32)), pa.array(frag, pa.binary())],
-                    names=[x.split()[0] for x in FRAG.split(", ")],
-                )
-
-    frags, drop = texts.mapInArrow(cut, FRAG), None
+            doc = b.column(0).to_numpy()[row]
+            for i in range(0, len(p), 1 << 13):
+                z = slice(i, i + (1 << 13))
+                rows = [x for k, d, j, w, u, v in zip(h[z].to_pylist(), doc[z].tolist(), a[z].tolist(), left[z].tolist(), s[z].tolist(), e[z].tolist()) for x in _split(k, d, j, w, 0, REACH, raw[u:v])]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FRAG_TYPES)], names=[x.split()[0] for x in FRAG.split(", ")])
+
+    frags = texts.mapInArrow(cut, FRAG)
     while True:
         out, path = save(expand(frags), "suffix-level")
         found = found.unionByName(out.where("t = 1").select("doc", F.col("f").alias("a"), F.col("a").alias("b")))
@@ -424,12 +433,11 @@ def repeated_intervals(docs: DataFrame, key: str = "_key", text_col: str = "text
             return found
 
 
-def removed(docs: DataFrame, key: str = "_key", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def removed(docs: DataFrame, keep: list[str], key: str = "_key", text_col: str = "text") -> DataFrame:
     """``keep`` columns with n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that
     stay) and kept (those bytes without characters that were cut in two)."""
-    spans = repeated_intervals(docs, key, text_col).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
-    keep = [c for c in docs.columns if c != key] if keep is None else keep
-    j = docs.select(F.col(key).alias("__doc"), *[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").cast("binary").alias("__text")).join(spans, F.col("__doc") == spans["doc"], "left").drop("doc", "__doc")
+    spans = repeated_intervals(docs, key, text_col).groupBy(F.col("doc").alias("__of")).agg(F.collect_list(F.struct("a", "b")).alias("__spans"))
+    j = docs.select(F.col(key).alias("__doc"), *[F.col(f"`{c}`") for c in keep], F.col(text_col).cast("string").cast("binary").alias("__text")).join(spans, F.col("__doc") == F.col("__of"), "left").drop("__of", "__doc")
     schema = j.select(*[F.col(f"`{c}`") for c in keep]).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         schema = schema.add(name, kind)
@@ -456,14 +464,15 @@ def removed(docs: DataFrame, key: str = "_key", text_col: str = "text", keep: li
 
 def digest(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text"))
-    return removed(rows, keep=["doc_id"]).drop("kept")
+    return removed(rows, ["doc_id"]).drop("kept")
 
 
 def dedup_text(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` (a character cut in two goes with
     its passage) and n_chars, if there, counted anew; null texts stay null."""
-    r = removed(keyed(docs, id_col), keep=[*docs.columns])
-    out = r.withColumn("text", F.when(F.col("text").isNotNull(), F.col("kept")))
+    r = removed(keyed(packed(docs, id_col, "text"), id_col), ["__row"])
+    text = F.when(F.col("__row.text").isNotNull(), F.col("kept"))
+    changed = {"text": text}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+        changed["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+    return unpacked(r, docs.columns, **changed)
