@@ -35,7 +35,7 @@ RANK, SKETCH = 28, 32
 COSINE = 0.5
 STRICT, LOOSE, ANSWER = 0.75, 0.6, 5
 CHUNK = 1 << 18
-ITEMS = 4000  # items searched for at once
+ITEMS = 1000  # items searched for at once
 COMMON = 0.05  # share of the items
 PIECE = 20  # words of an item searched for at once
 
@@ -167,8 +167,8 @@ def decompose(y: np.ndarray, omega: np.ndarray, rank: int = RANK) -> np.ndarray:
     return (u[:, :rank] / np.maximum(s[:rank], 1e-3 * s[0])).astype(np.float32)
 
 
-def latent_space(docs: DataFrame, items: list[np.ndarray], text_col: str = "text") -> np.ndarray:
-    """Each feature's vector, from all passages and the items' word hashes."""
+def latent_space(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", at_once: int = ITEMS) -> np.ndarray:
+    """Each feature's vector, from all passages and all items."""
     counts, total = block_counts(docs, text_col)
     idf = np.log((total + 1) / (counts + 1)).astype(np.float32)
     idf = np.maximum(idf, 0) ** 2
@@ -203,11 +203,13 @@ def latent_space(docs: DataFrame, items: list[np.ndarray], text_col: str = "text
     for k, v in zip(got.column("k").to_pylist(), got.column("y")):
         part = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, SKETCH)
         y[k : k + len(part)] = part
-    if items:
-        own = np.zeros_like(y)
-        size = np.array([len(x) for x in items])
-        gram(np.concatenate(items), np.cumsum(size) - size, idf, omega * idf[:, None], own)
-        y += own * max(1.0, total / len(items))
+    own, n = np.zeros_like(y), 0
+    for items in item_blocks(benchmark, at_once):
+        if items:
+            size = np.array([len(x) for _, x in items])
+            gram(np.concatenate([x for _, x in items]), np.cumsum(size) - size, idf, omega * idf[:, None], own)
+            n += len(items)
+    y += own * max(1.0, total / max(1, n))
     # words' vectors: a text's is their sum
     return decompose(y * idf[:, None], omega) * idf[:, None]
 
@@ -280,8 +282,9 @@ class Judge:
         x[:-1][near] += x[1:][near]  # two blocks at a time
         x = unit(x)
         begin = np.cumsum(count) - count
-        for s in range(0, len(x), 4096):
-            sim = x[s : s + 4096] @ self.vectors
+        step = max(64, (1 << 21) // len(self.owner))
+        for s in range(0, len(x), step):
+            sim = x[s : s + step] @ self.vectors
             at = np.flatnonzero(sim >= self.cosine)
             if not len(at):
                 continue
@@ -334,17 +337,19 @@ def item_blocks(benchmark: DataFrame, at_once: int = ITEMS) -> Iterator[list[tup
         yield out
 
 
-def prepare(docs: DataFrame, items: list[tuple[int, np.ndarray]], text_col: str, how: dict):
-    """What a Judge is made of, broadcast: a block of items and the space fitted on all passages."""
-    space = latent_space(docs, [h for _, h in items], text_col)
-    return docs.sparkSession.sparkContext.broadcast((items, space, how))
+def judges(docs: DataFrame, benchmark: DataFrame, text_col: str, at_once: int, how: dict):
+    """What a Judge is made of, broadcast by block of items; the space is fitted once, on all
+    passages and items."""
+    space = latent_space(docs, benchmark, text_col, at_once)
+    for items in item_blocks(benchmark, at_once):
+        yield docs.sparkSession.sparkContext.broadcast((items, space, how))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", at_once: int = ITEMS, **how) -> DataFrame:
     """A row per document and item it holds."""
     out = None
-    for items in item_blocks(benchmark, at_once):
-        found = _search(docs, prepare(docs, items, text_col, how), id_col, text_col)
+    for shared in judges(docs, benchmark, text_col, at_once, how):
+        found = _search(docs, shared, id_col, text_col)
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -372,8 +377,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
     """``docs`` without those that hold an item; decided where the document is read, so
     texts are not shuffled."""
     kept = docs
-    for items in item_blocks(benchmark, at_once):
-        kept = _filter(kept, prepare(docs, items, text_col, how), text_col)
+    for shared in judges(docs, benchmark, text_col, at_once, how):
+        kept = _filter(kept, shared, text_col)
     return kept
 
 

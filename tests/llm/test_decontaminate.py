@@ -71,7 +71,8 @@ def test_recall_and_clean_documents(spark, planted):
     b = spark.createDataFrame(items, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in D.contaminated(d, b).collect()}
     assert len(got & truth) >= 0.97 * len(truth) and not got - truth
-    kept = {r.doc_id for r in D.drop_contaminated(d, b).collect()}
+    assert {(r.doc_id, r.item_id) for r in D.contaminated(d, b, at_once=7).collect()} == got
+    kept = {r.doc_id for r in D.drop_contaminated(d, b, at_once=11).collect()}
     assert kept == {i for i, _ in docs} - {i for i, _ in got}
 
 
