@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import axes as A
 from ..functions import lexicon as L
 from ..functions import parsing as P
-from ..operators import discovery, extract, quality
+from ..operators import discovery, extract, normalize, quality
 from ..sources.readers import table
 from . import derive as D
 from . import sqlparts as S
@@ -375,3 +375,28 @@ _WIDGET = "SELECT p_partkey AS id, CAST(p_size % 9 AS INT) AS axes, concat(p_nam
 def widget_detect(spark, sf):
     x = D.derive(spark, sf, _WIDGET)
     return x.select("id", quality.widget(c("t"), c("axes")).alias("w"), quality.is_calculator(c("t"), c("axes")).alias("is_calculator")).select("id", "w.kind", "w.depth", "is_calculator")
+
+
+_RAW = "SELECT p_partkey AS key_id, CASE WHEN p_partkey % 7 > 0 THEN p_brand END AS lender, CASE WHEN p_partkey % 5 > 0 THEN concat('  ', p_name, '   Loan ') END AS name, CASE WHEN p_partkey % 10 = 0 THEN p_type END AS product_name, CASE WHEN p_partkey % 4 > 0 THEN concat(CAST(p_size AS STRING), '.49 % p.a') END AS rate_line, CASE WHEN p_partkey % 3 = 0 THEN '6.8%' END AS comparison_rate, CASE p_partkey % 4 WHEN 0 THEN '30 years' WHEN 1 THEN '24 months' WHEN 2 THEN '2 yr' END AS term, CASE p_partkey % 6 WHEN 0 THEN 'FIXED' WHEN 1 THEN '' WHEN 2 THEN 'split' END AS rate_type, CASE WHEN p_partkey % 2 = 0 THEN 'redraw and offset' END AS description, CASE WHEN p_partkey % 9 = 0 THEN '600.9' ELSE 'bad' END AS fee, CASE WHEN p_partkey % 3 > 0 THEN '90.5%' END AS lvr_max, CASE WHEN p_partkey % 4 = 1 THEN '6.0' END AS dti_max, CASE p_partkey % 3 WHEN 0 THEN '[\"a\",\"b\"]' WHEN 1 THEN '\"x\"' ELSE '3' END AS postcode_flags FROM {part}"
+
+
+@query(rf"""WITH r AS ({D.sql(_RAW)}), x AS (SELECT *, coalesce(name, product_name) AS n, lower(concat_ws(' ', coalesce(name, product_name), description, 'cash back')) AS w FROM r), y AS (SELECT *, coalesce({S.first_rate("rate_line")}, 6.5) AS rate, lower(coalesce(NULLIF(rate_type, ''), n, '')) AS k FROM x)
+SELECT key_id, coalesce(lender, 'Unknown') AS lender, coalesce(NULLIF(trim(regexp_replace(n, '\s+', ' ', 'g')), ''), 'Unknown Product') AS name, rate, coalesce({S.first_rate("comparison_rate")}, round(rate + 0.3, 4)) AS comparison_rate,
+  CASE key_id % 4 WHEN 0 THEN 360 WHEN 1 THEN 24 WHEN 2 THEN 24 ELSE 360 END AS term_months, CASE WHEN contains(k, 'fixed') THEN 'fixed' WHEN contains(k, 'variable') THEN 'variable' WHEN contains(k, 'split') THEN 'split' ELSE 'variable' END AS rate_type,
+  concat_ws(',', CASE WHEN contains(w, 'offset') THEN 'offset' END, CASE WHEN contains(w, 'redraw') THEN 'redraw' END, CASE WHEN {S.any_of("w", P.FEATURES["cashback"])} THEN 'cashback' END, CASE WHEN {S.any_of("w", P.FEATURES["package"])} THEN 'package' END) AS features,
+  CASE WHEN fee = '600.9' THEN 600 ELSE 0 END AS application, coalesce({S.num("lvr_max", r"(\d+\.?\d*)")}, 95.0) AS lvr_max, {S.num("dti_max", r"(\d+\.?\d*)")} AS dti_max, CASE key_id % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'x' ELSE '' END AS postcode_flags FROM y""")
+def normalize_raw(spark, sf):
+    r = D.derive(spark, sf, _RAW).withColumn("features", F.array(F.lit("cash back"))).withColumn("fees", F.create_map(F.lit("application"), c("fee"))).withColumn("source_url", F.lit("u"))
+    n = normalize.normalize(r)
+    return n.select("key_id", "lender", "name", "rate", "comparison_rate", "term_months", "rate_type", F.array_join("features", ",").alias("features"), n["fees"]["application"].alias("application"), "lvr_max", "dti_max", F.array_join("postcode_flags", ",").alias("postcode_flags"))
+
+
+_BOX = "SELECT c_custkey AS container_id, CASE c_custkey % 3 WHEN 0 THEN concat(c_name, ' Fixed Home Loan') WHEN 1 THEN 'Learn more' ELSE concat(c_name, ' rate') END AS heading, concat(CAST(c_nationkey AS STRING), '.25% p.a') AS t1, concat('Fee $1,', lpad(CAST(c_custkey % 1000 AS STRING), 3, '0')) AS t2, CASE WHEN c_custkey % 2 = 0 THEN 'up to 80% LVR' ELSE ' x ' END AS t3 FROM {customer}"
+
+
+@query(rf"""WITH b AS ({D.sql(_BOX)}), x AS (SELECT *, concat_ws(' ', t1, t2, t3) AS t, lower(heading) AS h FROM b)
+SELECT container_id, heading AS name, {S.num("t", r"(\d+\.?\d*)\s*%")} AS rate, 1000.0::DOUBLE + container_id % 1000 AS fee, CASE WHEN container_id % 2 = 0 THEN 3 ELSE 2 END AS n_features, CASE WHEN container_id % 2 = 0 THEN 80.0 ELSE 95.0 END::DOUBLE AS lvr_max, CASE WHEN contains(h, 'fix') THEN 'Fixed' ELSE 'Variable' END AS rate_type
+FROM x WHERE NOT {S.any_of("h", P.NAME_NOT)} AND {S.any_of("h", P.NAME_WORDS)} AND {S.num("t", r"(\d+\.?\d*)\s*%")} > 0""")
+def container_products(spark, sf):
+    b = D.derive(spark, sf, _BOX).select("container_id", "heading", F.array("t1", "t2", "t3").alias("texts"))
+    return normalize.containers(b).select("container_id", "name", "rate", "fee", F.size("features").alias("n_features"), "lvr_max", "rate_type")

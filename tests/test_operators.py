@@ -180,3 +180,41 @@ def test_stream(spark, tmp_path):
     s = stream.read(spark, src, df.schema)
     stream.write(stream.alerts(s), f"file://{tmp_path}/out", f"file://{tmp_path}/cp").awaitTermination()
     assert [r.event_id for r in spark.read.parquet(f"file://{tmp_path}/out").collect()] == [2]
+
+
+def test_normalize_raw_rows(spark):
+    from ratelake.operators import normalize
+
+    schema = "key_id int, lender string, name string, product_name string, rate_line string, comparison_rate string, term string, rate_type string, description string, features array<string>, fees map<string,string>, lvr_max string, dti_max string, postcode_flags string, source_url string"
+    rows = [
+        (1, "Bank", "  Test   Product  ", None, "6.49% p.a", "6.8%", "30 years", "Fixed", "with offset account", ["redraw"], {"application": "600", "late": "x"}, "95%", "6.0", '["1","2"]', "u"),
+        (2, None, None, None, "invalid", None, "invalid", None, None, None, None, "bad", "bad", "7", None),
+        (3, None, None, "Variable Package", None, None, None, "", None, [], {}, None, None, '"one"', None),
+    ]
+    got = {r.key_id: r for r in normalize.normalize(spark.createDataFrame(rows, schema)).collect()}
+    a, b, c = got[1], got[2], got[3]
+    assert (a.lender, a.name, a.rate, a.comparison_rate, a.term_months, a.rate_type, a.features) == ("Bank", "Test Product", 6.49, 6.8, 360, "fixed", ["offset", "redraw"])
+    assert a.fees == {"application": 600, "ongoing": 0, "late": 0} and (a.lvr_max, a.dti_max, a.postcode_flags) == (95.0, 6.0, ["1", "2"])
+    assert (b.lender, b.name, b.rate, b.comparison_rate, b.term_months, b.rate_type, b.features, b.fees) == ("Unknown", "Unknown Product", 6.5, 6.8, 360, "variable", [], {"application": 0, "ongoing": 0})
+    assert (b.lvr_max, b.dti_max, b.postcode_flags) == (95.0, None, []) and (c.name, c.rate_type, c.features, c.postcode_flags) == ("Variable Package", "variable", ["package"], ["one"])
+
+
+def test_controls(spark):
+    from ratelake.operators import controls
+
+    o = spark.createDataFrame([(1, 1, 1, "Fixed"), (1, 1, 2, "FIXED"), (1, 1, 3, "Variable"), (1, 2, 4, "alone"), (1, 3, 5, "Please select"), (1, 3, 6, "NSW"), (1, 3, 7, "VIC")], "page_id int, container int, idx int, text string")
+    g = {r.container: r for r in controls.groups(o).collect()}
+    assert g.keys() == {1, 3} and g[1].options == ["Fixed", "Variable"] and g[1].axis == "rate_type" and g[1].pricing and not g[3].pricing
+    e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 5)], "source long, target long")
+    assert {r.state: r.depth for r in controls.reachable_states(e, spark.range(1, 2).selectExpr("id AS state"), 3).collect()} == {1: 0, 2: 1, 3: 2, 4: 3}
+    r = spark.createDataFrame([("", None, " x ", "y"), (None, None, None, "v")], "a string, b string, c string, d string")
+    assert [x.l for x in r.select(controls.radio_label(*map(F.col, "abc"), F.lit(None).cast("string"), F.col("d")).alias("l")).collect()] == ["x", "v"]
+    n = spark.createDataFrame([("Borrow how much",), ("deposit",), ("age",)], "t string").select(controls.numeric_input(F.col("t")).alias("n")).collect()
+    assert [x.n and (x.n.field, x.n.value) for x in n] == [("loan_amount", 500000), ("deposit", 100000), None]
+
+
+def test_matching(spark):
+    from ratelake.operators import matching
+
+    r = spark.range(1).select(matching.repayment(F.lit(100000.0), F.lit(6.0), F.lit(360)).alias("p"), matching.repayment(F.lit(3600.0), F.lit(0.0), F.lit(36)).alias("z"), matching.lvr_percent(F.lit(80.0), F.lit(0.0)).alias("n")).first()
+    assert round(r.p, 2) == 599.55 and r.z == 100.0 and r.n is None
