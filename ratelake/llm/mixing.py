@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import save
+
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
 WORD = r"[^\x20\x09-\x0D]+"
@@ -56,12 +58,14 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 def rates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_rate and _mix_copies.
 
-    Tokens are summed per source map-side; the join back is on a table of one row per
-    source, which Spark broadcasts only under its size limit and else splits by skew.
+    Tokens are summed per source map-side.  The targets, one row per source, are written
+    first, so their size is known when the join is planned: Spark broadcasts them under its
+    size limit, and texts are not shuffled; beyond it skewed sources are split.
     """
     sized = docs.withColumn("_mix_size", n_words("text"))
     per = sized.groupBy("source").agg(F.sum("_mix_size").alias("source_size"))
-    t = targets(per, **how).select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
+    t, _ = save(targets(per, **how), "mix-targets")
+    t = t.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
     j = sized.join(t, sized["source"].eqNullSafe(t["_mix_source"])).drop("_mix_source")
     j = j.withColumn("_mix_rate", F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(0.0))
     whole = F.floor("_mix_rate")
