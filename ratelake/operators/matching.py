@@ -1,4 +1,4 @@
-"""Borrower measures and product matching (a specification without a reference body)."""
+"""Borrower measures and product matching (specified by its types only)."""
 
 from __future__ import annotations
 
