@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,20 +71,28 @@ def fit(texts: list, labels: list) -> tuple[dict[bytes, float], float]:
     if n == 0 or y.min() == y.max():
         share = (y.sum() + 1) / (n + 2)
         return {}, float(np.log(share / (1 - share)))
-    count: dict[bytes, int] = {}
+    # features too rare to keep never enter a dictionary: they are counted by hash first
+    seen = np.zeros(1 << 22, np.uint32)
+    slot = lambda s: np.fromiter((xxhash.xxh3_64_intdigest(w) & (1 << 22) - 1 for w in s), np.int64, len(s))
     for t in texts:
-        for w in features(t):
-            count[w] = count.get(w, 0) + 1
-    vocabulary = {w: i for i, w in enumerate(sorted(w for w, c in count.items() if c >= MIN_DOCS))}
-    del count
-    for kind in IDENTITY:
+        seen[np.unique(slot(features(t)))] += 1
+    seen = seen >= MIN_DOCS
+    vocabulary: dict[bytes, int] = {}
+    idx = []
+    for t in texts:
+        s = sorted(features(t))
+        idx.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w, ok in zip(s, seen[slot(s)].tolist()) if ok], np.int32))
+    count = np.bincount(np.concatenate(idx), minlength=len(vocabulary))
+    new = np.cumsum(count >= MIN_DOCS) - 1
+    idx = [new[x[count[x] >= MIN_DOCS]].astype(np.int32) for x in idx]
+    vocabulary = {w: int(new[i]) for w, i in vocabulary.items() if count[i] >= MIN_DOCS}
+    for kind in IDENTITY:  # groups that a swap may name without any training text
         for t in kind:
             vocabulary.setdefault(t.encode(), len(vocabulary))
     known = vocabulary.keys()
-    # feature numbers of each text, and of each swapped copy with the number of its text
-    idx = [np.array(sorted(vocabulary[w] for w in known & features(t)), np.int64) for t in texts]
-    pairs = [(i, np.array(sorted(vocabulary[w] for w in known & s), np.int64)) for i, t in enumerate(texts) for s in swaps(features(t))]
-    rows = lambda x: (np.concatenate(x or [np.zeros(0, np.int64)]), np.repeat(np.arange(len(x)), [len(r) for r in x]))
+    # each swapped copy with the number of its text
+    pairs = [(i, np.array(sorted(vocabulary[w] for w in known & s), np.int32)) for i, t in enumerate(texts) for s in swaps(features(t))]
+    rows = lambda x: (np.concatenate(x or [np.zeros(0, np.int32)]), np.repeat(np.arange(len(x), dtype=np.int32), [len(r) for r in x]))
     f, r = rows(idx)
     g, q = rows([s for _, s in pairs])
     own = np.array([i for i, _ in pairs], np.int64)
