@@ -39,7 +39,7 @@ ITEMS = 1000  # items searched for at once
 COMMON = 0.05  # share of the items
 PIECE = 20  # words of an item searched for at once
 
-_CLASS = np.zeros(256, np.uint64)
+_CLASS = np.zeros(256, np.uint8)
 for _c in range(256):
     _l = _c + 32 if 65 <= _c <= 90 else _c
     if _l >= 128 or 97 <= _l <= 122 or 48 <= _l <= 57:
@@ -62,10 +62,12 @@ def _hash_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word in at most CHUNK bytes."""
     up, down = _tables()
     b = _CLASS[data]
-    on = b != 0
-    edge = np.diff(np.concatenate([[0], on.view(np.int8), [0]]))
-    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(b * up[: len(b)])])
+    on = np.zeros(len(b) + 2, bool)
+    np.not_equal(b, 0, out=on[1:-1])
+    edge = np.flatnonzero(on[1:] != on[:-1])  # words begin and end in turn
+    start, stop = edge[::2], edge[1::2]
+    total = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(np.multiply(up[: len(b)], b), out=total[1:])
     h = (total[stop] - total[start]) * down[start]
     h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
@@ -126,9 +128,14 @@ def block_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, i
             for _, count, h in groups(*utf8(b.column(0))):
                 start, _ = _blocks(count)
                 if len(start):
+                    # a row per block, sorted: each feature counts where it first stands
                     which = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-                    one = np.unique(which * FEATURES + _feature(h))
-                    n += np.bincount(one & (FEATURES - 1), minlength=FEATURES)
+                    m = np.full((len(start), BLOCK), FEATURES, np.uint16)
+                    m[which, np.arange(len(h)) - start[which]] = _feature(h)
+                    m.sort(axis=1)
+                    first = m < FEATURES
+                    first[:, 1:] &= m[:, 1:] != m[:, :-1]
+                    n += np.bincount(m[first], minlength=FEATURES)
                     total += len(start)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(n[at], total))], names=["f", "n"])
