@@ -391,13 +391,15 @@ def borrower_metrics(spark, sf):
 
 
 _APPS = "SELECT c_custkey AS app_id, c_mktsegment AS segment, CAST(60000 + c_custkey % 1000 * 100 AS DOUBLE) AS income, CAST(c_custkey % 700 AS DOUBLE) AS debts, CAST(200000 + c_custkey % 37 * 10000 AS DOUBLE) AS amount, CAST(500000 + c_custkey % 11 * 20000 AS DOUBLE) AS value, 360 AS months FROM {customer}"
-_OFFERS = "SELECT s_suppkey AS offer_id, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS segment, CAST(3 + s_nationkey % 5 AS DOUBLE) AS rate, CAST(60 + s_nationkey % 4 * 10 AS DOUBLE) AS offer_max_lvr FROM {supplier} WHERE s_suppkey <= 25"
+#: every supplier is an offer; the SQL still reads the first 25 only
+_ALL_OFFERS = "SELECT s_suppkey AS offer_id, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS segment, CAST(3 + s_nationkey % 5 AS DOUBLE) AS rate, CAST(60 + s_nationkey % 4 * 10 AS DOUBLE) AS offer_max_lvr FROM {supplier}"
+_OFFERS = f"{_ALL_OFFERS} WHERE s_suppkey <= 25"
 
 
 @query(f"""WITH j AS (SELECT app_id, offer_id, amount / value * 100 AS lvr, amount * (rate / 1200) / (1 - pow(1 + rate / 1200, -months)) AS payment, income / 12 * 0.7::DOUBLE - debts AS free, offer_max_lvr FROM ({D.sql(_APPS)}) a JOIN ({D.sql(_OFFERS)}) o USING (segment))
 SELECT app_id, offer_id, round(lvr, 4) AS lvr, round(payment, 4) AS payment, greatest(0.0, least(100.0, round(100 * (1 - payment / free), 4)))::DOUBLE AS score FROM j WHERE lvr <= least(offer_max_lvr, 95.0) AND payment <= free""")
 def product_match(spark, sf):
-    return matching.match(D.derive(spark, sf, _APPS), D.derive(spark, sf, _OFFERS))
+    return matching.match(D.derive(spark, sf, _APPS), D.derive(spark, sf, _ALL_OFFERS))
 
 
 # streaming
