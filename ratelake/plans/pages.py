@@ -15,7 +15,9 @@ from .registry import query
 
 c = F.col
 
-_OPT = "SELECT p_size AS page_id, CAST(p_partkey % 3 AS INT) AS container, p_partkey AS idx, CASE p_partkey % 9 WHEN 0 THEN 'Owner Occupied' WHEN 1 THEN 'owner occupied ' WHEN 2 THEN 'Please choose' WHEN 3 THEN 'Fixed' WHEN 4 THEN 'Variable' WHEN 5 THEN 'NSW' WHEN 6 THEN 'zzz' WHEN 7 THEN 'FIXED' ELSE p_name END AS text FROM {part} WHERE p_partkey < 1500"
+#: every part is an option; the SQL still reads the keys below 1500 only
+_ALL_OPT = "SELECT p_size AS page_id, CAST(p_partkey % 3 AS INT) AS container, p_partkey AS idx, CASE p_partkey % 9 WHEN 0 THEN 'Owner Occupied' WHEN 1 THEN 'owner occupied ' WHEN 2 THEN 'Please choose' WHEN 3 THEN 'Fixed' WHEN 4 THEN 'Variable' WHEN 5 THEN 'NSW' WHEN 6 THEN 'zzz' WHEN 7 THEN 'FIXED' ELSE p_name END AS text FROM {part}"
+_OPT = f"{_ALL_OPT} WHERE p_partkey < 1500"
 _DISTINCT = f"d AS (SELECT page_id, container, min(idx) AS idx, arg_min(text, idx) AS text FROM ({D.sql(_OPT)}) WHERE NOT regexp_matches(lower(text), 'select|please') AND trim(text) <> '' GROUP BY page_id, container, lower(trim(text)))"
 
 
@@ -23,7 +25,7 @@ _DISTINCT = f"d AS (SELECT page_id, container, min(idx) AS idx, arg_min(text, id
 v AS (SELECT page_id, container, axis, row_number() OVER (PARTITION BY page_id, container ORDER BY count(*) DESC, axis) AS k FROM a WHERE axis IS NOT NULL GROUP BY 1, 2, 3)
 SELECT page_id, container, options, axis, axis IS NOT NULL AS known, coalesce(axis, '') NOT IN ('region_residency', 'borrower_category') AS pricing FROM g LEFT JOIN (SELECT page_id, container, axis FROM v WHERE k = 1) USING (page_id, container) WHERE n > 1""")
 def option_groups(spark, sf):
-    g = controls.groups(D.derive(spark, sf, _OPT))
+    g = controls.groups(D.derive(spark, sf, _ALL_OPT))
     return g.withColumn("options", F.array_join("options", "|"))
 
 

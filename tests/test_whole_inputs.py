@@ -2,6 +2,7 @@
 
 import pytest
 
+from ratelake.plans import pages
 from ratelake.plans import relational as R
 
 
@@ -28,3 +29,18 @@ def test_every_supplier_is_an_offer(spark, tmp_path):
     assert got.keys() == want.keys() and {o for _, o in got if o > 25}
     for k, v in want.items():
         assert got[k] == pytest.approx(v, abs=1e-4)
+
+
+def test_every_part_is_an_option(spark, tmp_path):
+    parts = [(k, f"part name {k}", 1 + k % 2) for k in (*range(1, 25), 1499, 1500, 1501, 1507, 20006, 99999)]
+    put(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_size int")
+    words = {0: "Owner Occupied", 1: "owner occupied ", 2: "Please choose", 3: "Fixed", 4: "Variable", 5: "NSW", 6: "zzz", 7: "FIXED"}
+    want = {}
+    for k, name, page in sorted(parts):
+        text = words.get(k % 9, name)
+        if not text.startswith("Please"):
+            want.setdefault((page, k % 3), {}).setdefault(text.strip().lower(), text)
+    want = {k: "|".join(v.values()) for k, v in want.items() if len(v) > 1}
+    rows = pages.option_groups(spark, str(tmp_path)).collect()
+    assert {(r.page_id, r.container): r.options for r in rows} == want
+    assert "part name 20006" in " ".join(want.values())
