@@ -44,3 +44,16 @@ def test_every_part_is_an_option(spark, tmp_path):
     rows = pages.option_groups(spark, str(tmp_path)).collect()
     assert {(r.page_id, r.container): r.options for r in rows} == want
     assert "part name 20006" in " ".join(want.values())
+
+
+def test_every_line_item_is_an_edge(spark, tmp_path):
+    edges = [(7, 407), (407, 12), (12, 7), (12, 900), (900, 5000), (5000, 6), (6, 8), (1, 2), (8, 9), (7, 12)]
+    put(spark, tmp_path, "lineitem", [(40 * (i % 3 == 0) + i, a, b) for i, (a, b) in enumerate(edges * 2)], "l_orderkey long, l_partkey long, l_suppkey long")
+    want = {7: 0}
+    for depth in range(1, 6):
+        for at in [a for a, d in want.items() if d == depth - 1]:
+            for b in [y for x, y in edges if x == at]:
+                want.setdefault(b, depth)
+    rows = pages.state_paths(spark, str(tmp_path)).collect()
+    assert sorted((r.state, r.depth) for r in rows) == sorted(want.items())
+    assert {407, 900, 5000} <= want.keys() and 9 not in want
