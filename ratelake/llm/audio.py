@@ -4,7 +4,9 @@ A payload is stored losslessly as mono 8-bit PCM in a WAV container and read bac
 the stored bytes.  Features: polyphase resampling, overlapped log-mel filterbank frames,
 and segments of sound by energy with hysteresis (a segment begins above ``high`` and
 lasts until energy falls below ``low``).  ``clips`` cuts the frames into tensors of one
-fixed shape with time spans; ``as_tensors`` types them as Arrow fixed-shape tensors.
+fixed shape with time spans; ``as_tensors`` types them as Arrow fixed-shape tensors, on the
+executors in ``digest``, whose features come from them (Spark has no tensor type, so the
+columns of ``clips`` are arrays).
 
 Work goes frame block by frame block, so memory is bounded for any payload, and depends
 on the payload alone, so equal payloads give equal values.
@@ -125,50 +127,47 @@ def segments(energy: np.ndarray, high: float = HIGH, low: float = LOW) -> np.nda
     return np.stack([np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)], 1)
 
 
-def seconds(frame: int, rate: int = RATE) -> float:
+def seconds(frame, rate: int = RATE):
     return frame * HOP * DOWN / (UP * rate)
 
 
-def summary(samples: bytes, rate: int = RATE) -> str:
-    """Frames, segments, active frames, mean and spread of each mel band."""
-    n, s1, s2, energy = 0, np.zeros(MELS), np.zeros(MELS), []
-    for _, m, e in log_mel(samples, rate):
-        n += len(m)
-        s1 += m.sum(0, dtype=np.float64)
-        s2 += (m.astype(np.float64) ** 2).sum(0)
-        energy.append(e)
+def clip_batches(samples: bytes, rate: int = RATE):
+    """Record batches (clip, t_start, t_end, frames, active, spans, mel) of one payload, a block
+    of frames each.  ``spans`` has the times of the segments that begin in the clip."""
+    energy, held = [], None
+    for block in log_mel(samples, rate):
+        held = None if energy else block  # one block alone is not computed twice
+        energy.append(block[2])
     seg = segments(np.concatenate(energy))
-    mean = s1 / n
-    spread = np.sqrt(np.maximum(0, s2 / n - mean**2))
-    show = lambda v: ",".join(f"{x:.2f}" for x in v)
-    spans = ",".join(f"{seconds(a):.3f}-{seconds(b):.3f}" for a, b in seg[:4].tolist())
-    return f"frames={n};segments={len(seg)};active={int((seg[:, 1] - seg[:, 0]).sum())};spans={spans};mean={show(mean)};spread={show(spread)}"
+    for f, m, _ in log_mel(samples, rate) if held is None else [held]:
+        k = -(-len(m) // CLIP)
+        t = np.zeros((k, CLIP, MELS), np.float32)
+        t.reshape(-1, MELS)[: len(m)] = m
+        first = f + np.arange(k) * CLIP
+        size = np.minimum(CLIP, f + len(m) - first)
+        act = [int(np.maximum(0, np.minimum(seg[:, 1], a + c) - np.maximum(seg[:, 0], a)).sum()) for a, c in zip(first, size)]
+        cut = np.searchsorted(seg[:, 0], np.r_[first, f + len(m)])
+        mine = seg[cut[0] : cut[-1]]
+        spans = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.StructArray.from_arrays([pa.array(seconds(mine[:, i], rate)) for i in (0, 1)], ["start", "stop"]))
+        mel = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * CLIP * MELS, pa.int32()), pa.array(t.ravel()))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first // CLIP), pa.array(seconds(first, rate)), pa.array(seconds(first + size, rate)), pa.array(size, pa.int32()), pa.array(act, pa.int32()), spans, mel],
+            names=["clip", "t_start", "t_end", "frames", "active", "spans", "mel"],
+        )
 
 
 def clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, clip, t_start, t_end, frames, active, mel): ``mel`` holds CLIP x MELS
+    """Rows (id, clip, t_start, t_end, frames, active, spans, mel): ``mel`` holds CLIP x MELS
     floats, zero beyond ``frames``; ``active`` counts frames inside segments."""
     src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").cast("binary").alias("t"))
 
     def run(batches):
         for b in batches:
             for doc, text in zip(b.column(0), b.column(1)):
-                samples, rate = from_wav(to_wav(payload(text.as_py())))
-                seg = segments(np.concatenate([e for _, _, e in log_mel(samples, rate)]))
-                for f, m, _ in log_mel(samples, rate):
-                    k = -(-len(m) // CLIP)
-                    t = np.zeros((k, CLIP, MELS), np.float32)
-                    t.reshape(-1, MELS)[: len(m)] = m
-                    first = f + np.arange(k) * CLIP
-                    size = np.minimum(CLIP, f + len(m) - first)
-                    act = [int(np.maximum(0, np.minimum(seg[:, 1], a + c) - np.maximum(seg[:, 0], a)).sum()) for a, c in zip(first, size)]
-                    mel = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * CLIP * MELS, pa.int32()), pa.array(t.ravel()))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([doc.as_py()] * k, pa.int64()), pa.array(first // CLIP), pa.array([seconds(a, rate) for a in first]), pa.array([seconds(a + c, rate) for a, c in zip(first, size)]), pa.array(size, pa.int32()), pa.array(act, pa.int32()), mel],
-                        names=[id_col, "clip", "t_start", "t_end", "frames", "active", "mel"],
-                    )
-
-    return src.mapInArrow(run, f"`{id_col}` long, clip long, t_start double, t_end double, frames int, active int, mel array<float>")
+                for r in clip_batches(*from_wav(to_wav(payload(text.as_py())))):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(r), pa.int64()), *r.columns], names=[id_col, *r.schema.names])
+
+    return src.mapInArrow(run, f"`{id_col}` long, clip long, t_start double, t_end double, frames int, active int, spans array<struct<start: double, stop: double>>, mel array<float>")
 
 
 def as_tensors(table: pa.Table, column: str = "mel") -> pa.Table:
@@ -180,6 +179,28 @@ def as_tensors(table: pa.Table, column: str = "mel") -> pa.Table:
     return table.set_column(table.schema.get_field_index(column), column, pa.ExtensionArray.from_storage(kind, store))
 
 
+def summary(samples: bytes, rate: int = RATE) -> str:
+    """From the clip tensors: frames, segments, active frames, segment spans, clips with their
+    time spans and active frames, mean and spread of each mel band."""
+    n, s1, s2, spans, parts = 0, np.zeros(MELS), np.zeros(MELS), [], []
+    for b in clip_batches(samples, rate):
+        r = as_tensors(pa.Table.from_batches([b])).combine_chunks().to_batches()[0]
+        size = int(r.column("frames").to_numpy().sum())
+        m = r.column("mel").to_numpy_ndarray().reshape(-1, MELS)[:size]
+        n += size
+        s1 += m.sum(0, dtype=np.float64)
+        s2 += (m.astype(np.float64) ** 2).sum(0)
+        flat = r.column("spans").flatten()
+        spans += zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())
+        parts += zip(*(r.column(c).to_pylist() for c in ("t_start", "t_end", "active")))
+    mean = s1 / n
+    spread = np.sqrt(np.maximum(0, s2 / n - mean**2))
+    show = lambda v: ",".join(f"{x:.2f}" for x in v)
+    seg = ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans[:4])
+    cut = ",".join(f"{a:.3f}-{b:.3f}:{k}" for a, b, k in parts)
+    return f"frames={n};segments={len(spans)};active={sum(p[2] for p in parts)};spans={seg};clips={cut};mean={show(mean)};spread={show(spread)}"
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """Per document the stored form's digests and its features."""
     src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("t"))

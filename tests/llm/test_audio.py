@@ -70,3 +70,29 @@ def test_clips_are_fixed_shape_tensors(spark):
     assert isinstance(kind, pa.FixedShapeTensorType) and list(kind.shape) == [A.CLIP, A.MELS]
     one = [r for r in t.select(["doc_id", "clip", "t_start", "t_end", "frames"]).to_pylist() if r["doc_id"] == 1]
     assert [r["clip"] for r in sorted(one, key=lambda r: r["clip"])] == list(range(len(one))) and all(r["t_end"] > r["t_start"] for r in one)
+
+
+def fields(feature):
+    return dict(x.split("=", 1) for x in feature.split(";"))
+
+
+def test_features_come_from_the_clip_tensors(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [None, "abc " * 9000, "".join(map(chr, rng.integers(32, 127, 50_000)))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = A.clips(df).collect()
+    for got in A.digest(df).collect():
+        mine = sorted((r for r in rows if r.doc_id == got.doc_id), key=lambda r: r.clip)
+        f = fields(got.feature)
+        assert f["clips"].split(",") == [f"{r.t_start:.3f}-{r.t_end:.3f}:{r.active}" for r in mine]
+        m = np.concatenate([np.reshape(r.mel, (A.CLIP, A.MELS))[: r.frames] for r in mine])
+        np.testing.assert_allclose([float(x) for x in f["mean"].split(",")], m.mean(0), atol=0.006)
+        np.testing.assert_allclose([float(x) for x in f["spread"].split(",")], m.std(0), atol=0.006)
+        assert int(f["frames"]) == len(m) and int(f["segments"]) == sum(len(r.spans) for r in mine)
+    typed, plain = [], A.as_tensors
+    monkeypatch.setattr(A, "as_tensors", lambda t, *a: typed.append(plain(t, *a)) or typed[-1])
+    one = A.summary(A.payload(texts[2].encode()))
+    assert isinstance(typed[0].schema.field("mel").type, pa.FixedShapeTensorType) and one == got.feature
+    monkeypatch.setattr(A, "FRAMES_AT_ONCE", A.CLIP)
+    many = fields(A.summary(A.payload(texts[2].encode())))
+    assert many["clips"] == fields(one)["clips"] and many["spans"] == fields(one)["spans"] and len(typed) > 2
