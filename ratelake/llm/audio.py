@@ -180,7 +180,7 @@ def as_tensors(table: pa.Table, column: str = "mel") -> pa.Table:
 
 
 def summary(samples: bytes, rate: int = RATE) -> str:
-    """From the clip tensors: frames, segments, active frames, segment spans, clips with their
+    """From the clip tensors: frames, segments, active frames, all segment spans, clips with their
     time spans and active frames, mean and spread of each mel band."""
     n, s1, s2, spans, parts = 0, np.zeros(MELS), np.zeros(MELS), [], []
     for b in clip_batches(samples, rate):
@@ -196,7 +196,7 @@ def summary(samples: bytes, rate: int = RATE) -> str:
     mean = s1 / n
     spread = np.sqrt(np.maximum(0, s2 / n - mean**2))
     show = lambda v: ",".join(f"{x:.2f}" for x in v)
-    seg = ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans[:4])
+    seg = ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans)
     cut = ",".join(f"{a:.3f}-{b:.3f}:{k}" for a, b, k in parts)
     return f"frames={n};segments={len(spans)};active={sum(p[2] for p in parts)};spans={seg};clips={cut};mean={show(mean)};spread={show(spread)}"
 

@@ -96,3 +96,16 @@ def test_features_come_from_the_clip_tensors(spark, monkeypatch):
     monkeypatch.setattr(A, "FRAMES_AT_ONCE", A.CLIP)
     many = fields(A.summary(A.payload(texts[2].encode())))
     assert many["clips"] == fields(one)["clips"] and many["spans"] == fields(one)["spans"] and len(typed) > 2
+
+
+def test_every_segment_keeps_its_span(spark):
+    text = ("\x7f" * 12_000 + "\x01\x01\x01\x01\x7f\x7f\x7f\x7f" * 1500) * 9
+    seg = A.segments(np.concatenate([e for _, _, e in A.log_mel(A.payload(text.encode()))]))
+    want = [(A.seconds(int(a)), A.seconds(int(b))) for a, b in seg]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    f = fields(A.digest(df).first().feature)
+    assert int(f["segments"]) == len(want) == 9
+    assert f["spans"].split(",") == [f"{a:.3f}-{b:.3f}" for a, b in want]
+    rows = sorted(A.clips(df).collect(), key=lambda r: r.clip)
+    assert [tuple(s) for r in rows for s in r.spans] == want
+    assert all(r.t_start <= s.start < r.t_end for r in rows for s in r.spans)
