@@ -158,20 +158,24 @@ def generic_products(found: DataFrame, lender: str) -> DataFrame:
     return out.where("_ok AND rate IS NOT NULL AND rate <> 0").drop("_ok")
 
 
+TIERS = "rateTiers: array<struct<lvrMin: double, lvrMax: double, interestRate: double, comparisonRate: double, rate: double>>"
 ITEM = (
-    "struct<productId: string, productName: string, name: string, rateType: string, "
+    "struct<productId: string, id: string, productName: string, name: string, rateType: string, "
     "eligibility: struct<loanPurpose: array<string>, repaymentType: array<string>, minLoanAmount: double, maxLoanAmount: double>, "
-    "rateTiers: array<struct<lvrMin: double, lvrMax: double, interestRate: double, comparisonRate: double, rate: double>>>"
+    f"{TIERS}, pricing: struct<{TIERS}>>"
 )
 
 
 def structured_products(log: DataFrame) -> DataFrame:
     """A row per product, tier, purpose and repayment type; percent ratios become fractions,
-    the comparison rate is preferred; products without tiers give none."""
-    body = F.from_json("body", ", ".join(f"{k} array<{ITEM}>" for k in STRUCTURED_KEYS))
-    first = F.coalesce(*[body[k] for k in STRUCTURED_KEYS])
-    p = log.select("call_id", F.posexplode(first).alias("seq", "p"))
-    t = p.select("call_id", "seq", "p", F.posexplode("p.rateTiers").alias("tier", "t"))
+    the comparison rate is preferred; products without tiers give none.  The products are the
+    body itself if it is a list, else its first list; tiers may lie under pricing."""
+    body = F.from_json("body", ", ".join(f"{k} array<string>" for k in STRUCTURED_KEYS))
+    listed = F.when(F.col("body").rlike(r"^\s*\["), F.from_json("body", "array<string>"))
+    first = F.coalesce(listed, *[body[k] for k in STRUCTURED_KEYS])
+    # item by item: one that is no object must not spoil its list
+    p = log.select("call_id", F.posexplode(first).alias("seq", "item")).select("call_id", "seq", F.from_json("item", ITEM).alias("p"))
+    t = p.select("call_id", "seq", "p", F.posexplode(F.coalesce("p.rateTiers", "p.pricing.rateTiers")).alias("tier", "t"))
     e = F.col("p.eligibility")
     none = lambda a, d: F.when(F.size(a) > 0, a).otherwise(F.array(F.lit(d)))
     u = t.select("*", F.explode(none(e["loanPurpose"], "OwnerOccupied")).alias("purpose"))
@@ -181,7 +185,7 @@ def structured_products(log: DataFrame) -> DataFrame:
         "call_id",
         "seq",
         "tier",
-        F.coalesce("p.productName", "p.name").alias("name"),
+        F.coalesce(*[F.nullif(F.col(f"p.{k}"), F.lit("")) for k in ("productName", "name", "productId", "id")], F.lit("Unknown Product")).alias("name"),
         F.col("p.rateType").alias("rate_type"),
         "purpose",
         "repayment_type",

@@ -93,6 +93,21 @@ def test_json_sources(spark):
     assert [(r.call_id, r.name, r.rate) for r in got] == [(2, "Test Lender Test Product", 6.5)]
 
 
+def test_structured_products_under_pricing_and_in_top_level_lists(spark):
+    tier = lambda r: f'{{"lvrMin":0,"lvrMax":80,"interestRate":{r}}}'
+    bodies = [
+        f'{{"products":[{{"id":"x1","pricing":{{"rateTiers":[{tier(1.5)},{tier(2.5)}]}}}}]}}',
+        f' \n[{{"name":"A","rateTiers":[{tier(3.5)}]}},5,{{"id":7,"pricing":{{"rateTiers":[{tier(4.5)}]}}}}]',
+        f'{{"items":["z",{{"name":"B","rateTiers":[{tier(5.5)}],"pricing":{{"rateTiers":[{tier(9)}]}}}}]}}',
+        f'[{{"name":"C","rateTiers":[],"pricing":{{"rateTiers":[{tier(9)}]}}}}]',
+        "[]",
+        "[bad",
+    ]
+    log = spark.createDataFrame([(i, 200, "application/json", b) for i, b in enumerate(bodies)], "call_id long, status int, content_type string, body string")
+    rows = extract.structured_products(extract.responses(log)).collect()
+    assert sorted((r.call_id, r.seq, r.tier, r.name, r.rate) for r in rows) == [(0, 0, 0, "x1", 1.5), (0, 0, 1, "x1", 2.5), (1, 0, 0, "A", 3.5), (1, 2, 0, "7", 4.5), (2, 1, 0, "B", 5.5)]
+
+
 def test_pages(spark):
     html = '<h1>Home <b>Loan</b> one</h1><p>6.5% p.a comparison rate 6.71%</p><script>9%</script><h2>Contact us loan</h2><p>1%</p><h2>Fixed Rate loans</h2><p>none</p>'
     ld = '<script type="application/ld+json">{"@type":"FinancialProduct","name":"Test Loan Product","offers":{"price":"6.5"}}</script><script type="application/ld+json">[{"@type":"Product","name":"B 5.5%","offers":[{"price":"from"}]},{"@type":"Thing","name":"x","offers":{"price":"1"}}]</script><script type="application/ld+json">{bad</script>'
