@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import parsing as P
 
+# Percent, of variable rates in page containers.
+MARGIN, FLOOR = 1.20, 4.80
+
 ALTERNATIVES = (("name", "product_name"), ("rate_line", "rate"), ("term", "term_line"), ("lvr_max", "lvr"), ("dti_max", "dti"))
 
 
@@ -43,8 +46,9 @@ def normalize(raw: DataFrame, strict: bool = True) -> DataFrame:
 def containers(rows: DataFrame) -> DataFrame:
     """rows(container_id, heading, texts array): products of page containers by their texts.
     The first rate counts, the last fee, features longer than two characters, the ratio with
-    its default; margin and floor rate where a text names them."""
+    its default; variable rates have the fixed margin and floor, others none."""
     t = F.array_join("texts", " ")
+    kind = P.rate_type_of_name(F.col("heading"))
     out = rows.select(
         "container_id",
         F.col("heading").alias("name"),
@@ -53,6 +57,8 @@ def containers(rows: DataFrame) -> DataFrame:
         P.last_fee(F.col("texts")).alias("fee"),
         P.feature_texts(F.col("texts")).alias("features"),
         P.first_number(P.group(t, r"(?i)(\d+\.?\d*)\s*%\s*LVR"), 95.0).alias("lvr_max"),
-        P.rate_type_of_name(F.col("heading")).alias("rate_type"),
+        kind.alias("rate_type"),
+        F.when(kind == "Variable", MARGIN).alias("margin_pct"),
+        F.when(kind == "Variable", FLOOR).alias("floor_pct"),
     )
     return out.where(P.is_product_name(F.col("name")) & (F.col("rate") > 0))

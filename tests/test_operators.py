@@ -108,6 +108,14 @@ def test_structured_products_under_pricing_and_in_top_level_lists(spark):
     assert sorted((r.call_id, r.seq, r.tier, r.name, r.rate) for r in rows) == [(0, 0, 0, "x1", 1.5), (0, 0, 1, "x1", 2.5), (1, 0, 0, "A", 3.5), (1, 2, 0, "7", 4.5), (2, 1, 0, "B", 5.5)]
 
 
+def test_containers_have_margin_and_floor_of_variable_rates(spark):
+    from ratelake.operators import normalize
+
+    rows = [(1, "Basic Home Loan", ["6.5% p.a"]), (2, "Fixed Home Loan", ["6.1% p.a"]), (3, "Variable Home Loan", ["5.9% p.a", "up to 80% LVR"])]
+    got = normalize.containers(spark.createDataFrame(rows, "container_id int, heading string, texts array<string>")).collect()
+    assert sorted((r.container_id, r.rate_type, r.margin_pct, r.floor_pct) for r in got) == [(1, "Variable", 1.2, 4.8), (2, "Fixed", None, None), (3, "Variable", 1.2, 4.8)]
+
+
 def test_pages(spark):
     html = '<h1>Home <b>Loan</b> one</h1><p>6.5% p.a comparison rate 6.71%</p><script>9%</script><h2>Contact us loan</h2><p>1%</p><h2>Fixed Rate loans</h2><p>none</p>'
     ld = '<script type="application/ld+json">{"@type":"FinancialProduct","name":"Test Loan Product","offers":{"price":"6.5"}}</script><script type="application/ld+json">[{"@type":"Product","name":"B 5.5%","offers":[{"price":"from"}]},{"@type":"Thing","name":"x","offers":{"price":"1"}}]</script><script type="application/ld+json">{bad</script>'
