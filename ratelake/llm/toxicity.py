@@ -2,10 +2,15 @@
 
 A logistic regression over words and word beginnings that a document holds is fitted on
 at most ``sample`` labelled rows, those with the smallest hash of their id among rows not
-held out (the bound is a parameter; scoring covers all documents).  For each training
-text that names a group, copies with the group's term swapped for others or left out are made, and
-the squared difference of their scores to the original's is added to the loss, so group
-names earn no weight of their own.
+held out (the bound is a parameter; scoring covers all documents).  Tasks count in how many
+sampled texts, and toxic ones, each feature stands; only features that stand out by ``STAND``
+standard errors are collected, and a lasso leaves few of them a weight.  Without both, tens of
+thousands of chance weights outvote the few words that matter.
+
+For each labelled sentence that names a group, copies with the group's term swapped for the
+others of its kind, or left out, are made, and the squared difference of their scores to the
+sentence's is added to the loss, so group names earn no weight of their own.  The terms are
+a parameter (``groups``).
 
 Inputs of a score are the words of the text alone.
 
@@ -17,33 +22,49 @@ other columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, unpacked
+from .common import forget, packed, save, unpacked
 from .licenses import words
 
 SAMPLE = 8000
-MIN_DOCS = 5
+MIN_DOCS, STAND = 5, 2.0
 BEGIN = (4, 9)  # bytes of a word's beginnings, from and below
-ROUNDS, RATE, RIDGE, FAIR = 150, 0.08, 2e-4, 4.0
-# Group names that take each other's place.
+ROUNDS, LASSO, RIDGE, FAIR = 300, 5e-4, 1e-3, 4.0
+KNOWN = 1 << 18  # words whose features are remembered at once
+# Group names that take each other's place, by kind and language.
 IDENTITY = (
-    ("women", "men", "girls", "boys", "people"),
+    ("women", "men", "girls", "boys"),
+    ("frauen", "männer", "mädchen", "jungen"),
+    ("femmes", "hommes", "filles", "garçons"),
+    ("mujeres", "hombres", "niñas", "niños"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
+    ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"),
+    ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
     ("gay", "straight", "lesbian", "bisexual", "transgender"),
+    ("schwul", "hetero", "lesbisch", "bisexuell", "transgeschlechtlich"),
+    ("homosexuel", "hétérosexuel", "lesbienne", "bisexuel", "transgenre"),
+    ("homosexual", "heterosexual", "lesbiana", "bisexual", "transgénero"),
     ("black", "white", "asian", "latino", "african", "european"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
     ("immigrants", "refugees", "natives", "foreigners"),
+    ("einwanderer", "flüchtlinge", "einheimische", "ausländer"),
+    ("immigrés", "réfugiés", "autochtones", "étrangers"),
+    ("inmigrantes", "refugiados", "nativos", "extranjeros"),
 )
+_SENTENCE = re.compile(rb"[.!?\n\r]+")
 
-
-def features(text: bytes | None) -> set[bytes]:
-    """A text's distinct words and the beginnings of longer ones, marked ^."""
-    w = set(words(text))
-    return w.union(beginnings(w))
+Groups = Sequence[Sequence[str]]
+Model = tuple[dict[bytes, float], float]
 
 
 def beginnings(w: set[bytes]) -> set[bytes]:
@@ -51,96 +72,150 @@ def beginnings(w: set[bytes]) -> set[bytes]:
     return {b"^" + x[:k] for x in w for k in range(lo, min(hi, len(x)))}
 
 
-def swaps(found: set[bytes]):
-    """Feature sets with one group's term swapped for each other term of its kind, and left
-    out: else all terms of a kind could share one high weight."""
-    for kind in IDENTITY:
+def features(text: bytes | None) -> set[bytes]:
+    """A text's distinct words and the beginnings of longer ones, marked ^."""
+    w = set(words(text))
+    return w | beginnings(w)
+
+
+def places(groups: Groups) -> dict[bytes, list[bytes]]:
+    """Each group term with the terms that may take its place; b"" leaves it out."""
+    out: dict[bytes, list[bytes]] = {}
+    for kind in groups:
         terms = [t.encode() for t in kind]
         for t in terms:
-            if t in found:
-                yield found - {t} - beginnings({t})
-                for u in terms:
-                    if u != t:
-                        yield (found - {t} - beginnings({t})) | {u} | beginnings({u})
-
-
-def fit(texts: list, labels: list) -> tuple[dict[bytes, float], float]:
-    """(weights, bias) of the regularised regression."""
-    y = np.asarray(labels, np.float64)
-    n = len(y)
-    if n == 0 or y.min() == y.max():
-        share = (y.sum() + 1) / (n + 2)
-        return {}, float(np.log(share / (1 - share)))
-    # features too rare to keep never enter a dictionary: they are counted by hash first
-    seen = np.zeros(1 << 22, np.uint32)
-    slot = lambda s: np.fromiter((xxhash.xxh3_64_intdigest(w) & (1 << 22) - 1 for w in s), np.int64, len(s))
-    for t in texts:
-        seen[np.unique(slot(features(t)))] += 1
-    seen = seen >= MIN_DOCS
-    vocabulary: dict[bytes, int] = {}
-    idx = []
-    for t in texts:
-        s = sorted(features(t))
-        idx.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w, ok in zip(s, seen[slot(s)].tolist()) if ok], np.int32))
-    count = np.bincount(np.concatenate(idx), minlength=len(vocabulary))
-    new = np.cumsum(count >= MIN_DOCS) - 1
-    idx = [new[x[count[x] >= MIN_DOCS]].astype(np.int32) for x in idx]
-    vocabulary = {w: int(new[i]) for w, i in vocabulary.items() if count[i] >= MIN_DOCS}
-    for kind in IDENTITY:  # groups that a swap may name without any training text
-        for t in kind:
-            vocabulary.setdefault(t.encode(), len(vocabulary))
-    known = vocabulary.keys()
-    # each swapped copy with the number of its text
-    pairs = [(i, np.array(sorted(vocabulary[w] for w in known & s), np.int32)) for i, t in enumerate(texts) for s in swaps(features(t))]
-    rows = lambda x: (np.concatenate(x or [np.zeros(0, np.int32)]), np.repeat(np.arange(len(x), dtype=np.int32), [len(r) for r in x]))
-    f, r = rows(idx)
-    g, q = rows([s for _, s in pairs])
-    own = np.array([i for i, _ in pairs], np.int64)
-    d = len(vocabulary)
-    w, b = np.zeros(d), 0.0
-    m, v = np.zeros(d + 1), np.zeros(d + 1)
+            out.setdefault(t, [b""]).extend(u for u in terms if u != t)
+    return out
+
+
+def swaps(text: bytes | None, instead: dict[bytes, list[bytes]]) -> Iterator[tuple[frozenset, frozenset]]:
+    """(features lost, features won) of every counterfactual copy of every sentence that names
+    a group: a linear score's difference depends on these alone."""
+    for sentence in _SENTENCE.split(text or b""):
+        w = words(sentence)
+        if named := instead.keys() & w:
+            own = set(w) | beginnings(set(w))
+            for t in sorted(named):
+                for u in instead[t]:
+                    copy = {u if x == t else x for x in w} - {b""}
+                    copy |= beginnings(copy)
+                    if copy != own:
+                        yield frozenset(own - copy), frozenset(copy - own)
+
+
+def _rows(x: list) -> tuple[np.ndarray, np.ndarray]:
+    """All entries of the lists, and the number of the list of each."""
+    return np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(x)), [len(r) for r in x])
+
+
+def share_of(n: int, toxic: int) -> float:
+    """The log odds of the smoothed share."""
+    share = (toxic + 1) / (n + 2)
+    return float(np.log(share / (1 - share)))
+
+
+def solve(idx: list[np.ndarray], y: np.ndarray, d: int, swapped: list[tuple], fair: float = FAIR) -> tuple[np.ndarray, float]:
+    """(weights, bias) by accelerated proximal gradient steps.
+
+    ``idx`` has each text's features (of ``d``); ``swapped`` (features lost, features won, how
+    often) of the counterfactual copies.
+    """
+    n, y = len(y), np.asarray(y, np.float64)
+    f, r = _rows(idx)
+    g, q = _rows([np.append(a, b) for a, b, _ in swapped])
+    sign = np.concatenate([np.append(-np.ones(len(a)), np.ones(len(b))) for a, b, _ in swapped] or [np.zeros(0)])
+    often = np.array([c for *_, c in swapped], np.float64)
+    often = 2 * fair * often / max(1.0, often.sum())
     # both kinds weigh alike in the middle: rare toxic rows count for more
     weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) ** 0.75
-    for step in range(1, ROUNDS + 1):
-        z = b + np.bincount(r, w[f], n)
-        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) / n
-        grad = np.bincount(f, e[r], d) + RIDGE * w
-        if len(pairs):
-            gap = 2 * FAIR * (b + np.bincount(q, w[g], len(pairs)) - z[own]) / len(pairs)
-            grad += np.bincount(g, gap[q], d)
-            back = np.bincount(own, gap, n)
-            grad -= np.bincount(f, back[r], d)
-        grad = np.append(grad, e.sum())
-        m = 0.9 * m + 0.1 * grad
-        v = 0.999 * v + 0.001 * grad**2
-        move = RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-        w -= move[:-1]
-        b -= move[-1]
-    return {x: float(w[i]) for x, i in vocabulary.items() if abs(w[i]) > 1e-3}, float(b)
+    weight /= weight.sum()
+
+    def pull(u):
+        """The penalty's gradient."""
+        gap = often * np.bincount(q, sign * u[g], len(often)) if len(often) else often
+        return np.bincount(g, sign * gap[q], d) + RIDGE * u if len(g) else RIDGE * u
+
+    v, bound = np.random.default_rng(0).standard_normal(d + 1), 1.0
+    for _ in range(30):  # the largest curvature, by power iteration
+        z = 0.25 * weight * (v[-1] + np.bincount(r, v[f], n))
+        v = np.append(np.bincount(f, z[r], d) + pull(v[:-1]), z.sum())
+        bound = float(np.linalg.norm(v))
+        v /= bound
+    bound *= 1.1
+    w = u = np.zeros(d + 1)
+    t = 1.0
+    for _ in range(ROUNDS):
+        z = u[-1] + np.bincount(r, u[f], n)
+        e = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+        x = u - np.append(np.bincount(f, e[r], d) + pull(u[:-1]), e.sum()) / bound
+        x[:-1] = np.sign(x[:-1]) * np.maximum(0, np.abs(x[:-1]) - LASSO / bound)
+        t, before = (1 + np.sqrt(1 + 4 * t * t)) / 2, t
+        u = x + (before - 1) / t * (x - w)
+        w = x
+    return w[:-1], float(w[-1])
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id") -> tuple[dict[bytes, float], float]:
-    """Fit on at most ``sample`` labelled documents that are not held out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", groups: Groups = IDENTITY, fair: float = FAIR) -> Model:
+    """Fit on at most ``sample`` labelled documents that are not held out.
+
+    The driver holds the features that stand out and, of each sampled text, their numbers.
+    """
+    spark = docs.sparkSession
     y = labels.where(F.col("toxic").isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    y = y.where(~held_out(id_col)).withColumn("_h", F.xxhash64(F.col(id_col))).orderBy("_h", id_col).limit(sample)
+    y = y.where(~held_out(id_col)).select(F.col(id_col).alias("__id"), "toxic", F.xxhash64(F.col(id_col)).alias("__h")).orderBy("__h", "__id").limit(sample)
+    t = docs.select(F.col(f"`{id_col}`").alias("__id"), F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
     # at most ``sample`` ids and labels: a bounded broadcast
-    t = docs.select(id_col, F.col("text").cast("string").cast("binary").alias("text")).join(F.broadcast(y.select(id_col, "toxic")), id_col)
-    t = t.groupBy(id_col).agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-
-    def distinct_words(batches):
-        # a text's distinct words are all that the fit reads
+    t = t.join(F.broadcast(y.select("__id", "toxic")), "__id").groupBy("__id").agg(F.max("__t").alias("t"), F.max("toxic").alias("toxic"))
+    t, path = save(t.select(F.col("__id").cast("long").alias("id"), "toxic", "t"), "toxicity-sample")
+    n, toxic = t.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
+    if toxic in (0, n):
+        return {}, share_of(n, toxic)
+    instead = places(groups)
+
+    def count(batches):
+        """Features (kind 0: n texts, k toxic) and counterfactual differences (kind 1)."""
+        seen: dict = {}
+        for b in batches:
+            for text, label in zip(b.column(2).to_pylist(), b.column(1).to_pylist()):
+                for x in features(text):
+                    c = seen.setdefault((0, x, b""), [0, 0])
+                    c[0] += 1
+                    c[1] += label
+                for lost, won in swaps(text, instead):
+                    seen.setdefault((1, b" ".join(sorted(lost)), b" ".join(sorted(won))), [0, 0])[0] += 1
+        if seen:
+            kind, a, w = zip(*seen)
+            c = np.array(list(seen.values()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.binary()), pa.array(w, pa.binary()), pa.array(c[:, 0]), pa.array(c[:, 1])], names=["kind", "a", "b", "n", "k"])
+
+    p = toxic / n
+    counts = t.mapInArrow(count, "kind int, a binary, b binary, n long, k long").groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    stands_out = (F.col("n") >= MIN_DOCS) & (F.abs(F.col("k") - F.col("n") * p) >= STAND * F.sqrt(F.col("n") * (p * (1 - p))))
+    got = counts.where((F.col("kind") == 1) | stands_out).select("kind", "a", "b", "n").toArrow().to_pylist()
+    known = {x: i for i, x in enumerate(sorted(r["a"] for r in got if r["kind"] == 0))}
+    number = lambda s: np.array(sorted(known[x] for x in s if x in known), np.int64)
+    swapped = sorted((r["a"], r["b"], r["n"]) for r in got if r["kind"] == 1)
+    shared = spark.sparkContext.broadcast(known)
+
+    def numbers(batches):
+        known = shared.value
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([b" ".join(sorted(set(words(x.as_py())))) for x in b.column(1)], pa.binary())], names=[id_col, "toxic", "words"])
+            idx = [np.array(sorted(known[x] for x in features(text) & known.keys()), np.int32).tobytes() for text in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx, pa.binary())], names=["id", "toxic", "idx"])
 
-    got = t.mapInArrow(distinct_words, f"`{id_col}` long, toxic int, words binary").toArrow().sort_by(id_col)
-    return fit(got.column("words").to_pylist(), [int(x) for x in got.column("toxic").to_pylist()])
+    rows = t.mapInArrow(numbers, "id long, toxic int, idx binary").toArrow().sort_by("id")
+    forget(spark, path)
+    idx = [np.frombuffer(x, np.int32).astype(np.int64) for x in rows.column("idx").to_pylist()]
+    pairs = [(number(a.split()), number(b.split()), c) for a, b, c in swapped]
+    w, bias = solve(idx, rows.column("toxic").to_numpy(), len(known), [x for x in pairs if len(x[0]) or len(x[1])], fair)
+    return {x: float(w[i]) for x, i in known.items() if w[i]}, bias
 
 
-def score(docs: DataFrame, model: tuple[dict[bytes, float], float], keep: list[str], text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
     """``keep`` columns and ``score`` of every document."""
     src = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").cast("binary").alias("__t"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -148,13 +223,20 @@ def score(docs: DataFrame, model: tuple[dict[bytes, float], float], keep: list[s
 
     def run(batches):
         weights, bias = shared.value
-        known = weights.keys()
+        known, of = weights.keys(), {}  # of: a word's features that bear a weight
         for b in batches:
             out = []
             for t in b.column(k):
-                w = set(words(t.as_py()))
-                total = bias + sum(sorted(weights[x] for x in known & w))
-                total += sum(sorted(weights[x] for x in known & beginnings(w)))
+                found = set()
+                for x in set(words(t.as_py())):
+                    hit = of.get(x)
+                    if hit is None:
+                        if len(of) >= KNOWN:
+                            of.clear()
+                        hit = of[x] = known & ({x} | beginnings({x}))
+                    if hit:
+                        found |= hit
+                total = bias + sum(sorted(weights[x] for x in found))
                 out.append(1 / (1 + float(np.exp(-max(-30.0, min(30.0, total))))))
             yield pa.RecordBatch.from_arrays([*b.columns[:k], pa.array(out, pa.float64())], names=[*keep, "score"])
 
