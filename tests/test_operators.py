@@ -241,3 +241,20 @@ def test_matching(spark):
 
     r = spark.range(1).select(matching.repayment(F.lit(100000.0), F.lit(6.0), F.lit(360)).alias("p"), matching.repayment(F.lit(3600.0), F.lit(0.0), F.lit(36)).alias("z"), matching.lvr_percent(F.lit(80.0), F.lit(0.0)).alias("n")).first()
     assert round(r.p, 2) == 599.55 and r.z == 100.0 and r.n is None
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as N
+
+    from ratelake.sources.shared import shared_dir
+
+    def session(master, named=None, set_to=None):
+        conf = N(get=lambda k, d=None: named)
+        return N(conf=conf, sparkContext=N(master=master, applicationId="app-x", getConf=lambda: N(get=lambda k: named), getCheckpointDir=lambda: set_to))
+
+    for master in ("spark://a:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y/ratelake"
+        assert shared_dir(session(master, None, "hdfs://set")) == "hdfs://set/ratelake"
+    assert shared_dir(session("local[4]")).startswith("file://") and shared_dir(session("local")) == shared_dir(session("local[*]"))
