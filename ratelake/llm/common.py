@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_fallback: dict[str, str] = {}
+from ..sources.shared import shared_dir
+
 _written: list[tuple[SparkSession, str]] = []
+SALTS = 32
+HOT_KEYS = 1000
 
 
 @atexit.register
@@ -29,20 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only where the session names none (single-machine tests) is a temporary one made.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/") + "/ratelake"
-    app = spark.sparkContext.applicationId
-    if app not in _fallback:
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="ratelake-")
-    return _fallback[app]
-
-
 def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that
     survives lost executors.  Returns the frame and its path."""
@@ -61,6 +50,17 @@ def forget(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+@contextlib.contextmanager
+def scratch(*keep: str) -> Iterator[list[str]]:
+    """Deletes at its end what was saved inside, but for the paths added to the list given."""
+    n, kept = len(_written), list(keep)
+    yield kept
+    for spark, path in _written[n:]:
+        if path not in kept:
+            forget(spark, path)
+    _written[n:] = [x for x in _written[n:] if x[1] in kept]
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and bytes of a string or binary column, without copying; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -115,34 +115,45 @@ def keyed(df: DataFrame, id_col: str = "doc_id", key: str = "_key", text_col: st
     )
 
 
+def salted(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (a row per ``key``), a key's rows of ``big`` dealt to SALTS tasks
+    by ``spread``; ``small`` is sent to each, so it should be the smaller side by far.  What is
+    left of a hot key beyond that is split by AQE, as each part is large then."""
+    s = F.pmod(F.xxhash64(spread), F.lit(SALTS))
+    many = small.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return big.withColumn("__s", s).join(many, [key, "__s"], how).drop("__s")
+
+
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs): rows (node, root) of all nodes but the
     roots, which are the smallest node of each.
 
-    Alternates large-star and small-star rounds, each two shuffles of the edges with
-    partial aggregation of the minimum; every round is written to the shared folder,
-    so lineage stays short and lost executors cost one round.  A hub's edges are
-    never gathered: its minimum is an aggregate and joined back (AQE splits the hub).
+    Alternating star rounds over edges (u, v), u > v.  Large star: u goes under the least
+    node over v, if v has one.  Small star: of u's nodes v all but the least go under the
+    least.  Least nodes are aggregates, combined map-side.  They are joined back only where
+    something is to move (v that is under a node itself, u under several nodes), and with
+    salt, so a hub's edges are not gathered in one task.  Every round is written to the
+    shared folder: lineage stays short and lost executors cost one round.  Rounds go on
+    until all components are stars; their number grows as the logarithm of the nodes.
     """
     spark = edges.sparkSession
     e, path = save(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), tag)
-    before = None
-    for _ in range(60):
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
+    while True:
+        low = e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        over = e.select("v").distinct()
+        # nodes with a node over them and nodes under them, or with several over them
+        move, move_path = save(low.join(over.withColumn("inner", F.lit(True)), low.u == over.v, "left").where("inner OR n > 1").select("u", "m", "inner"), tag)
+        if move.limit(1).count() == 0:
+            forget(spark, move_path)
+            return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        up = move.where("inner").select(F.col("u").alias("v"), "m")
+        large = salted(e, up, "v", "u", "left").select("u", F.coalesce("m", "v").alias("v"))
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        under = salted(large, low2.where("n > 1").select("u", "m"), "u", "v").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = low2.select("u", F.col("m").alias("v")).union(under)
         nxt, nxt_path = save(small.where("u <> v").distinct(), tag)
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        forget(spark, path)
+        forget(spark, path, move_path)
         e, path = nxt, nxt_path
-        if tuple(now) == before:
-            break
-        before = tuple(now)
-    else:
-        raise RuntimeError("components did not settle")
-    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
 
 
 def long_type(name: str) -> T.StructField:

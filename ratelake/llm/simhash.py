@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, keyed, packed, save, unpacked
+from .common import HOT_KEYS, components, keyed, packed, salted, save, unpacked
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -108,7 +108,11 @@ def _forest(x: np.ndarray) -> tuple[list, list]:
 
 
 def links(fps: DataFrame, col: str = "fp") -> DataFrame:
-    """Edges (a, b) that connect all fingerprints within the radius, from distinct ``fps``."""
+    """Edges (a, b) that connect all fingerprints within the radius, from distinct ``fps``.
+
+    A run of one variant is held whole: distinct fingerprints that differ from the variant in
+    one bit at most outside the block left out (22 bits at most).
+    """
 
     def run(batches):
         tail_k, tail_f = np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -151,15 +155,30 @@ def links(fps: DataFrame, col: str = "fp") -> DataFrame:
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, fp, component_id): every document with its fingerprint and class."""
+    """(id_col, fp, component_id): every document with its fingerprint and class.
+
+    Classes come back to documents by fingerprint.  A fingerprint of more than one in
+    HOT_KEYS of all documents (so at most HOT_KEYS of them) is broadcast, the others are
+    shuffled, so copies of one text, however many, do not meet in one task.
+    """
     fp, _ = save(fingerprints(docs, text_col, "fp", [id_col]), "simhash-fp")
-    groups, _ = save(fp.groupBy("fp").agg(F.min(id_col).alias("least")), "simhash-groups")
-    edge = links(groups)
-    root = components(edge, "simhash-cc")
-    classes = groups.join(root, groups.fp == root.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = classes.join(least, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return fp.join(label, fp.fp == label._fp, "left").select(id_col, "fp", "component_id")
+    groups, _ = save(fp.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("n")), "simhash-groups")
+    root, _ = save(components(links(groups.select("fp")), "simhash-cc"), "simhash-root")
+    # classes of several fingerprints: their members but the roots, and the roots
+    member = groups.join(root, groups.fp == root.node).select("fp", "root", "least")
+    roots = root.select("root").distinct()
+    top = groups.join(roots, groups.fp == roots.root).select("fp", "root", "least")
+    least = member.unionByName(top).groupBy("root").agg(F.min("least").alias("component_id"))
+    named = salted(member.select("fp", "root"), least, "root", "fp").select("fp", "component_id")
+    named = named.unionByName(least.select(F.col("root").alias("fp"), "component_id"))
+    label = groups.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    label, _ = save(label, "simhash-label")
+    total = label.agg(F.sum("n")).first()[0] or 0
+    common = label.where(F.col("n") > max(1, total // HOT_KEYS))
+    rest = label.where(F.col("n") <= max(1, total // HOT_KEYS)).select("fp", "component_id")
+    hot = fp.join(F.broadcast(common.select("fp", "component_id")), "fp")
+    cold = fp.join(F.broadcast(common.select("fp")), "fp", "left_anti").join(rest, "fp")
+    return hot.unionByName(cold).select(id_col, "fp", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 
 from ratelake.llm import simhash as S
-from ratelake.llm.common import components, keyed
+from ratelake.llm.common import components, keyed, salted, scratch, save
 
 
 def brute_fp(text):
@@ -99,4 +99,58 @@ def test_keyed_orders_repeats_and_nulls(spark):
 def test_components_of_a_long_chain_and_a_hub(spark):
     e = [(i, i + 1) for i in range(300)] + [(1000, 1000 + i) for i in range(1, 400)] + [(5000, 5000)]
     got = {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()}
-    assert all(got[i] == 0 for i in range(1, 301)) and all(got[1000 + i] == 1000 for i in range(1, 400)) and 5000 not in got
+    assert len(got) == 699 and all(got[i] == 0 for i in range(1, 301)) and all(got[1000 + i] == 1000 for i in range(1, 400)) and 5000 not in got
+
+
+def test_components_against_union_find(spark):
+    rnd = random.Random(11)
+    for n, m in ((60, 40), (400, 380), (300, 1200)):
+        e = [(rnd.randrange(n), rnd.randrange(n)) for _ in range(m)] + [(n + 5, rnd.randrange(n)) for _ in range(30)]
+        root = {}
+
+        def find(x):
+            while root.setdefault(x, x) != x:
+                x = root[x]
+            return x
+
+        for a, b in e:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        want = {x: find(x) for x in list(root) if find(x) != x}
+        assert {r.node: r.root for r in components(spark.createDataFrame(e, "a long, b long")).collect()} == want
+
+
+def test_a_hub_is_dealt_to_many_tasks(spark):
+    """Of a star's edges under a hub that moves, no task gets more than a few salts' share."""
+    hub = [(10, 1000 + i) for i in range(6400)] + [(10, 3)]
+    big = spark.createDataFrame([(b, a) for a, b in hub], "u long, v long")
+    up = spark.createDataFrame([(10, 3)], "v long, m long")
+    had = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.shuffle.partitions")}
+    try:
+        for k, v in zip(had, ("false", "-1", "64")):
+            spark.conf.set(k, v)
+        from pyspark.sql import functions as F
+
+        sizes = [r["count"] for r in salted(big, up, "v", "u", "left").groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(sizes) == 6401 and max(sizes) < 6401 / 6
+    finally:
+        for k, v in had.items():
+            spark.conf.set(k, v)
+
+
+def test_many_copies_of_one_text_keep_their_class(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT_KEYS", 3)
+    rows = [(i, "the same words in all of these") for i in range(50, 90)] + [(i, f"only {i} has words such as {i * 7} here") for i in range(20)]
+    got = {r.doc_id: r.component_id for r in S.simhash_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(got) == 60 and all(got[i] == 50 for i in range(50, 90)) and all(got[i] <= i for i in range(20))
+
+
+def test_scratch_deletes_what_was_saved_inside(spark):
+    df = spark.range(3)
+    with scratch() as keep:
+        _, a = save(df, "a")
+        b_rows, b = save(df, "b")
+        keep.append(b)
+    assert b_rows.count() == 3
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(a)
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
