@@ -1,15 +1,16 @@
 """Media columns: audio features of payloads stored as 8-bit samples.
 
-A payload is stored losslessly as mono 8-bit PCM in a WAV container and read back from
-the stored bytes.  Features: polyphase resampling, overlapped log-mel filterbank frames,
-and segments of sound by energy with hysteresis (a segment begins above ``high`` and
-lasts until energy falls below ``low``).  ``clips`` cuts the frames into tensors of one
-fixed shape with time spans; ``as_tensors`` types them as Arrow fixed-shape tensors, on the
-executors in ``digest``, whose features come from them (Spark has no tensor type, so the
-columns of ``clips`` are arrays).
-
-Work goes frame block by frame block, so memory is bounded for any payload, and depends
-on the payload alone, so equal payloads give equal values.
+``store`` keeps a payload losslessly as mono 8-bit PCM in a WAV container, a media column.
+``features`` reads the stored bytes back: polyphase resampling, overlapped log-mel filterbank
+frames, and segments of sound by energy with hysteresis (a segment begins above ``HIGH`` and
+lasts until energy falls below ``LOW``).  Frames are cut into tensors of one fixed shape; these,
+their time spans and the segments' spans are stored as Arrow record batches in IPC form (Spark
+has no tensor type), with ``mel`` of the type ``fixed_shape_tensor``; ``tensors`` reads them.
+``clips`` gives the same as rows, with the tensors as arrays.
+
+Work goes a block of frames at a time (a record batch each), so beside a row, which is in
+proportion to its text, memory is bounded; results depend on the payload alone, so equal
+payloads give equal values.
 
 Defined results: null text is empty and gives one block of 64 zero bytes; repeated rows
 give equal values; other columns are ignored; an empty table gives an empty result.
@@ -17,6 +18,7 @@ give equal values; other columns are ignored; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 import zlib
@@ -26,12 +28,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import save
+
 BLOCK = 64
 RATE, UP, DOWN = 16_000, 1, 2
 FRAME, HOP, MELS = 256, 128, 32
 CLIP = 64  # frames of one tensor
 FRAMES_AT_ONCE = 2048
 HIGH, LOW = 0.5, -0.5  # standard deviations from the mean log energy
+BATCH = 1 << 23  # bytes put out at once
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (CLIP, MELS))
+SPAN = pa.struct([("start", pa.float64()), ("stop", pa.float64())])
+CLIPS = pa.schema([("clip", pa.int64()), ("t_start", pa.float64()), ("t_end", pa.float64()), ("frames", pa.int32()), ("active", pa.int32()), ("spans", pa.list_(SPAN)), ("mel", TENSOR)])
 
 
 def payload(text: bytes | None) -> bytes:
@@ -58,6 +66,7 @@ def from_wav(media: bytes) -> tuple[bytes, int]:
     raise ValueError("no data chunk")
 
 
+@functools.cache
 def low_pass(up: int, down: int, half: int = 8) -> np.ndarray:
     """Windowed sinc for a change of rate by up/down."""
     m = half * max(up, down)
@@ -67,26 +76,26 @@ def low_pass(up: int, down: int, half: int = 8) -> np.ndarray:
 
 def resample(x: np.ndarray, lo: int, hi: int, up: int = UP, down: int = DOWN) -> np.ndarray:
     """Outputs lo..hi of polyphase resampling of ``x``: output m meets only the filter taps
-    of its phase, never the zeros of an upsampled signal."""
+    of its phase, never the zeros of an upsampled signal.  Outputs of one phase are ``up``
+    apart, their inputs ``down``."""
     h = low_pass(up, down)
     half = len(h) // 2
     out = np.zeros(max(0, hi - lo), np.float32)
-    m = np.arange(lo, hi)
-    for phase in range(up):
-        mine = np.flatnonzero((m * down + half) % up == phase)
-        if not len(mine):
-            continue
+    for first in range(lo, min(hi, lo + up)):
+        phase = (first * down + half) % up
+        taps = h[phase::up][::-1]
         # y[m] = sum_k h[phase + k up] x[(m down + half - phase) / up - k]
-        first = (m[mine] * down + half - phase) // up
-        for k, tap in enumerate(h[phase::up]):
-            i = first - k
-            a, z = np.searchsorted(i, 0), np.searchsorted(i, len(x))
-            if a < z:
-                step = int(i[1] - i[0]) if len(i) > 1 else 1
-                out[mine[a:z]] += tap * x[i[a] : i[z - 1] + 1 : step]
+        n = -(-(hi - first) // up)
+        start = (first * down + half - phase) // up - len(taps) + 1
+        stop = start + (n - 1) * down + len(taps)
+        a, z = max(0, start), max(0, min(len(x), stop))
+        part = np.zeros(stop - start, np.float32)
+        part[a - start : max(a, z) - start] = x[a:z]
+        out[first - lo :: up] = np.lib.stride_tricks.sliding_window_view(part, len(taps))[::down] @ taps
     return out
 
 
+@functools.cache
 def mel_bank(rate: float, n_fft: int = FRAME, mels: int = MELS) -> np.ndarray:
     """Triangular filters, evenly spaced on the mel scale (fft bins x mels)."""
     mel = lambda f: 2595 * np.log10(1 + f / 700)
@@ -132,8 +141,9 @@ def seconds(frame, rate: int = RATE):
 
 
 def clip_batches(samples: bytes, rate: int = RATE):
-    """Record batches (clip, t_start, t_end, frames, active, spans, mel) of one payload, a block
-    of frames each.  ``spans`` has the times of the segments that begin in the clip."""
+    """Record batches (CLIPS) of one payload, a block of frames each.  ``spans`` has the times of
+    the segments that begin in the clip; ``mel`` is zero beyond ``frames``; ``active`` counts
+    frames inside segments."""
     energy, held = [], None
     for block in log_mel(samples, rate):
         held = None if energy else block  # one block alone is not computed twice
@@ -145,77 +155,126 @@ def clip_batches(samples: bytes, rate: int = RATE):
         t.reshape(-1, MELS)[: len(m)] = m
         first = f + np.arange(k) * CLIP
         size = np.minimum(CLIP, f + len(m) - first)
-        act = [int(np.maximum(0, np.minimum(seg[:, 1], a + c) - np.maximum(seg[:, 0], a)).sum()) for a, c in zip(first, size)]
+        # frames inside segments before a frame: whole segments and a share of the last one
+        inside = lambda x: np.append(0, np.cumsum(seg[:, 1] - seg[:, 0]))[np.searchsorted(seg[:, 0], x)] - np.maximum(0, np.append(seg[:, 1], 0)[np.searchsorted(seg[:, 0], x) - 1] - x)
+        act = inside(first + size) - inside(first)
         cut = np.searchsorted(seg[:, 0], np.r_[first, f + len(m)])
         mine = seg[cut[0] : cut[-1]]
-        spans = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.StructArray.from_arrays([pa.array(seconds(mine[:, i], rate)) for i in (0, 1)], ["start", "stop"]))
-        mel = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * CLIP * MELS, pa.int32()), pa.array(t.ravel()))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(first // CLIP), pa.array(seconds(first, rate)), pa.array(seconds(first + size, rate)), pa.array(size, pa.int32()), pa.array(act, pa.int32()), spans, mel],
-            names=["clip", "t_start", "t_end", "frames", "active", "spans", "mel"],
-        )
+        spans = pa.ListArray.from_arrays(pa.array(cut - cut[0], pa.int32()), pa.StructArray.from_arrays([pa.array(seconds(mine[:, i], rate)) for i in (0, 1)], fields=list(SPAN)))
+        mel = pa.ExtensionArray.from_storage(TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(t.ravel()), CLIP * MELS))
+        cols = [pa.array(first // CLIP), pa.array(seconds(first, rate)), pa.array(seconds(first + size, rate)), pa.array(size, pa.int32()), pa.array(act, pa.int32()), spans, mel]
+        yield pa.RecordBatch.from_arrays(cols, schema=CLIPS)
+
+
+def to_ipc(batch: pa.RecordBatch) -> bytes:
+    """An Arrow stream of one batch, schema and tensor type included."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def tensors(stored: bytes) -> pa.RecordBatch:
+    """The clips of a stored block: ``mel`` is a fixed-shape tensor array."""
+    return pa.ipc.open_stream(stored).read_next_batch()
 
 
-def clips(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, clip, t_start, t_end, frames, active, spans, mel): ``mel`` holds CLIP x MELS
-    floats, zero beyond ``frames``; ``active`` counts frames inside segments."""
+def _flushed(batches, row, names, kinds, weigh):
+    """Rows made of rows, put out about BATCH bytes at a time."""
+    out, size = [], 0
+    for b in batches:
+        for r in zip(*b.columns):
+            out.append(row(*r))
+            size += weigh(out[-1])
+            if size >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+                out, size = [], 0
+    if out:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+
+def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_bytes, media): the payload of every text as a media column."""
     src = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").cast("binary").alias("t"))
 
     def run(batches):
-        for b in batches:
-            for doc, text in zip(b.column(0), b.column(1)):
-                for r in clip_batches(*from_wav(to_wav(payload(text.as_py())))):
-                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(r), pa.int64()), *r.columns], names=[id_col, *r.schema.names])
+        def row(doc, text):
+            t = text.as_py() or b""
+            return doc.as_py(), len(t), to_wav(payload(t))
 
-    return src.mapInArrow(run, f"`{id_col}` long, clip long, t_start double, t_end double, frames int, active int, spans array<struct<start: double, stop: double>>, mel array<float>")
+        yield from _flushed(batches, row, [id_col, "n_bytes", "media"], [pa.int64(), pa.int64(), pa.binary()], lambda r: len(r[2]))
 
+    return src.mapInArrow(run, f"`{id_col}` long, n_bytes long, media binary")
 
-def as_tensors(table: pa.Table, column: str = "mel") -> pa.Table:
-    """The clip column as Arrow fixed-shape tensors (CLIP, MELS)."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (CLIP, MELS))
-    flat = table.column(column).combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    store = pa.FixedSizeListArray.from_arrays(flat.flatten().cast(pa.float32()), CLIP * MELS)
-    return table.set_column(table.schema.get_field_index(column), column, pa.ExtensionArray.from_storage(kind, store))
 
+def features(media: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """From ``store``'s rows: lengths and digests of what is read back, and ``tensors``, the clips
+    with their time spans as Arrow streams, one for each block of frames."""
+    names = [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "tensors"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.binary())]
+
+    def run(batches):
+        def row(doc, n, media):
+            m = media.as_py()
+            read, rate = from_wav(m)
+            stored = [to_ipc(b) for b in clip_batches(read, rate)]
+            return doc.as_py(), n.as_py(), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), stored
+
+        yield from _flushed(batches, row, names, kinds, lambda r: sum(map(len, r[7])))
 
-def summary(samples: bytes, rate: int = RATE) -> str:
-    """From the clip tensors: frames, segments, active frames, all segment spans, clips with their
-    time spans and active frames, mean and spread of each mel band."""
+    src = media.select(id_col, "n_bytes", "media")
+    return src.mapInArrow(run, f"`{id_col}` long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, tensors array<binary>")
+
+
+def clips(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The tensors of ``features`` as rows (id, clip, t_start, t_end, frames, active, spans, mel)."""
+
+    def run(batches):
+        for b in batches:
+            for doc, stored in zip(b.column(0), b.column(1)):
+                for x in stored:
+                    r = tensors(x.as_py())
+                    mel = r.column("mel").storage.cast(pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(r), pa.int64()), *r.columns[:-1], mel], names=[id_col, *r.schema.names])
+
+    return found.select(id_col, "tensors").mapInArrow(run, f"`{id_col}` long, clip long, t_start double, t_end double, frames int, active int, spans array<struct<start: double, stop: double>>, mel array<float>")
+
+
+def summary(stored: list[bytes]) -> str:
+    """From the stored tensors: frames, segments, active frames, all segment spans, clips with
+    their time spans and active frames, mean and spread of each mel band."""
     n, s1, s2, spans, parts = 0, np.zeros(MELS), np.zeros(MELS), [], []
-    for b in clip_batches(samples, rate):
-        r = as_tensors(pa.Table.from_batches([b])).combine_chunks().to_batches()[0]
+    for r in map(tensors, stored):
         size = int(r.column("frames").to_numpy().sum())
-        m = r.column("mel").to_numpy_ndarray().reshape(-1, MELS)[:size]
+        m = r.column("mel").to_numpy_ndarray().reshape(-1, MELS)[:size].astype(np.float64)
         n += size
-        s1 += m.sum(0, dtype=np.float64)
-        s2 += (m.astype(np.float64) ** 2).sum(0)
+        s1 += m.sum(0)
+        s2 += np.square(m).sum(0)
         flat = r.column("spans").flatten()
         spans += zip(flat.field(0).to_pylist(), flat.field(1).to_pylist())
         parts += zip(*(r.column(c).to_pylist() for c in ("t_start", "t_end", "active")))
     mean = s1 / n
     spread = np.sqrt(np.maximum(0, s2 / n - mean**2))
-    show = lambda v: ",".join(f"{x:.2f}" for x in v)
+    show = lambda v: ",".join(f"{x:.2f}" for x in v.tolist())
     seg = ",".join(f"{a:.3f}-{b:.3f}" for a, b in spans)
     cut = ",".join(f"{a:.3f}-{b:.3f}:{k}" for a, b, k in parts)
     return f"frames={n};segments={len(spans)};active={sum(p[2] for p in parts)};spans={seg};clips={cut};mean={show(mean)};spread={show(spread)}"
 
 
+def stored_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``features`` of ``store``; both are written to the shared folder and read back."""
+    media, _ = save(store(docs, id_col, text_col), "audio-media")
+    return save(features(media, id_col), "audio-tensors")[0]
+
+
 def digest(docs: DataFrame) -> DataFrame:
-    """Per document the stored form's digests and its features."""
-    src = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string").cast("binary").alias("t"))
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """Per document the stored form's digests and its features, from the stored tensors."""
+    src = stored_features(docs)
+    names = [*src.columns[:-1], "feature"]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for text in b.column(1):
-                t = text.as_py() or b""
-                media = to_wav(payload(t))
-                read, rate = from_wav(media)
-                rows.append((len(t), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-BLOCK:]), len(media), hashlib.sha256(media).hexdigest(), summary(read, rate)))
-            cols = zip(*rows) if rows else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds))], names=names)
-
-    return src.mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            feature = pa.array([summary([x.as_py() for x in stored]) for stored in b.column(b.num_columns - 1)], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], feature], names=names)
+
+    return src.mapInArrow(run, src.drop("tensors").schema.add("feature", "string"))

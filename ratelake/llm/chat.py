@@ -2,12 +2,16 @@ r"""Chat formatting by columnar byte assembly.
 
 A turn is ``<s>[INST]role[/INST]text</s>``.  Control strings inside a role or text are
 broken by a backslash after their first character and backslashes are doubled, so
-dropping each backslash that stands before a character restores the input.  A batch is
-assembled without a loop over rows: segment lengths give cumulative offsets, and numpy
-scatter indices copy headers and contents into one preallocated Arrow buffer.
+dropping each backslash that stands before a character restores the input.  Rows are
+assembled without a loop over them: segment lengths give cumulative offsets, and numpy
+scatter indices copy headers and contents into one preallocated Arrow buffer.  Rows go in
+slices of about SLICE bytes and indices are made for CHUNK bytes at a time, so memory
+is bounded by the longest row, not by the batch.
 
 Output is a row per turn, so no conversation, however long, has to fit one value; turns
-are ordered within a conversation by (turn, role, text), nulls first.
+are ordered within a conversation by (turn, role, text), nulls first.  Reading back, a
+conversation's turns stream in that order through one running hash, which by its nature is
+one task's work.
 
 Defined results: null role or text is empty; a null conv_id is a conversation of its own;
 repeated rows are repeated turns; other columns are ignored; an empty table gives an
@@ -30,6 +34,7 @@ from .common import utf8
 CONTROLS = ("<s>", "</s>", "[INST]", "[/INST]")
 OPEN, MID, CLOSE = b"<s>[INST]", b"[/INST]", b"</s>"
 LOSS_ROLE = "assistant"
+SLICE, CHUNK = 1 << 24, 1 << 18
 _TURN = re.compile(r"<s>\[INST\](.*?)\[/INST\](.*?)</s>", re.S)
 
 
@@ -44,6 +49,16 @@ def unescape(s: str) -> str:
     return re.sub(r"\\(.)", r"\1", s, flags=re.S) if "\\" in s else s
 
 
+def scatter(out: np.ndarray, starts: np.ndarray, off: np.ndarray, data: np.ndarray) -> None:
+    """Copies row i of a column, data[off[i]:off[i + 1]], to out[starts[i]:], CHUNK bytes at a time."""
+    for a in range(int(off[0]), int(off[-1]), CHUNK):
+        z = min(a + CHUNK, int(off[-1]))
+        i, j = np.searchsorted(off, a, "right") - 1, np.searchsorted(off, z, "left")  # rows i..j have bytes here
+        length = np.minimum(off[i + 1 : j + 1], z) - np.maximum(off[i:j], a)
+        # the place of each byte: its own place in the column, shifted as its row is
+        out[np.arange(a, z) + np.repeat(starts[i:j] - off[i:j], length)] = data[a:z]
+
+
 def assemble(parts: list) -> tuple[pa.Array, np.ndarray]:
     """Concatenate per row the given constants (bytes) and string columns.
 
@@ -57,18 +72,43 @@ def assemble(parts: list) -> tuple[pa.Array, np.ndarray]:
     total = int(ends[-1, -1]) if n else 0
     out = np.empty(total, np.uint8)
     for k, (off, data) in enumerate(cols):
-        if off is None:
-            out[(starts[:, k, None] + np.arange(len(data))).ravel()] = np.tile(data, n)
-        elif n:
-            length = size[:, k]
-            # the place of each source byte: its row's start plus its place in the row
-            shift = np.repeat(starts[:, k] - (np.cumsum(length) - length), length)
-            out[shift + np.arange(len(shift))] = data[off[0] : off[-1]]
+        if off is not None:
+            scatter(out, starts[:, k], off, data)
+        else:
+            for i in range(0, n, CHUNK):
+                at = starts[i : i + CHUNK, k]
+                out[(at[:, None] + np.arange(len(data))).ravel()] = np.tile(data, len(at))
     offsets = np.zeros(n + 1, np.int64)
     if n:
         offsets[1:] = ends[:, -1]
-    big = pa.LargeStringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(out))
-    return big.cast(pa.string()), starts - offsets[:-1, None]
+    if total >= 1 << 31:
+        raise ValueError("a formatted turn is over 2 GiB")
+    made = pa.StringArray.from_buffers(n, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out))
+    return made, starts - offsets[:-1, None]
+
+
+def slices(batch: pa.RecordBatch, columns: list[int]):
+    """The batch in runs of rows of about SLICE bytes in the given columns (one row at least)."""
+    size = sum(np.diff(utf8(batch.column(c))[0]) for c in columns)
+    if not len(size):
+        return
+    part = (np.cumsum(size) - size) // SLICE
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True])
+    for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
+        yield batch.slice(a, z - a)
+
+
+def format_batch(batch: pa.RecordBatch):
+    """Record batches with the formatted turns of (conv_id, turn, role, text)."""
+    for b in slices(batch, [2, 3]):
+        role, text = escape(b.column(2)), escape(b.column(3))
+        made, starts = assemble([OPEN, role, MID, text, CLOSE])
+        loss = pc.equal(b.column(2), LOSS_ROLE).to_numpy(zero_copy_only=False).astype(bool)
+        length = np.diff(utf8(text)[0])
+        yield pa.RecordBatch.from_arrays(
+            [*b.columns, made, pa.array(starts[:, 3], pa.int64(), mask=~loss), pa.array(length, pa.int64(), mask=~loss)],
+            names=["conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_bytes"],
+        )
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
@@ -78,15 +118,7 @@ def format_turns(conversations: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            role, text = b.column(2), b.column(3)
-            e = escape(text)
-            made, starts = assemble([OPEN, escape(role), MID, e, CLOSE])
-            loss = pc.equal(role, LOSS_ROLE).to_numpy(zero_copy_only=False).astype(bool)
-            length = np.diff(utf8(e)[0])
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, made, pa.array(starts[:, 3] if len(loss) else np.zeros(0, np.int64), pa.int64(), mask=~loss), pa.array(length, pa.int64(), mask=~loss)],
-                names=["conv_id", "turn", "role", "text", "formatted", "loss_start", "loss_bytes"],
-            )
+            yield from format_batch(b)
 
     return src.mapInArrow(run, "conv_id long, turn long, role string, text string, formatted string, loss_start long, loss_bytes long")
 
@@ -109,7 +141,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for b in batches:
             rows = []
-            for conv, f, s, k in zip(*(c.to_pylist() for c in b.columns)):
+            for conv, f, s, k in (tuple(x.as_py() for x in r) for r in zip(*b.columns)):  # a row at a time
                 if cur != (conv,):
                     if state:
                         rows.append(done())

@@ -63,39 +63,92 @@ def test_digest_and_edges(spark):
     assert A.digest(df.limit(0)).count() == 0
 
 
-def test_clips_are_fixed_shape_tensors(spark):
-    df = spark.createDataFrame([(1, "abc " * 9000), (2, None)], "doc_id long, text string")
-    t = A.as_tensors(A.clips(df).toArrow())
-    kind = t.schema.field("mel").type
-    assert isinstance(kind, pa.FixedShapeTensorType) and list(kind.shape) == [A.CLIP, A.MELS]
-    one = [r for r in t.select(["doc_id", "clip", "t_start", "t_end", "frames"]).to_pylist() if r["doc_id"] == 1]
-    assert [r["clip"] for r in sorted(one, key=lambda r: r["clip"])] == list(range(len(one))) and all(r["t_end"] > r["t_start"] for r in one)
+def test_stored_clips_are_fixed_shape_tensors(spark):
+    df = spark.createDataFrame([(1, "abc " * 9000), (2, None)], "doc_id long, text string").selectExpr("*", "1 AS tensors")
+    got = {r.doc_id: r for r in A.stored_features(df).collect()}
+    for r in got.values():
+        for x in r.tensors:
+            t = A.tensors(bytes(x))
+            kind = t.schema.field("mel").type
+            assert isinstance(kind, pa.FixedShapeTensorType) and list(kind.shape) == [A.CLIP, A.MELS]
+            assert t.column("mel").to_numpy_ndarray().shape == (len(t), A.CLIP, A.MELS)
+    one = A.clips(A.stored_features(df)).where("doc_id = 1").orderBy("clip").collect()
+    assert [r["clip"] for r in one] == list(range(len(one))) and all(r["t_end"] > r["t_start"] for r in one) and all(len(r["mel"]) == A.CLIP * A.MELS for r in one)
+    media = A.store(df).where("doc_id = 1").first()
+    assert A.from_wav(bytes(media.media))[0] == A.payload(b"abc " * 9000) and A.clips(A.features(A.store(df.limit(0)))).count() == 0
 
 
 def fields(feature):
     return dict(x.split("=", 1) for x in feature.split(";"))
 
 
-def test_features_come_from_the_clip_tensors(spark, monkeypatch):
-    rng = np.random.default_rng(3)
-    texts = [None, "abc " * 9000, "".join(map(chr, rng.integers(32, 127, 50_000)))]
+def plain_feature(t: bytes) -> dict:
+    """The feature by direct formulas: every output, frame, filter and state on its own."""
+    x = [b / 128 - 1 for b in A.payload(t)]
+    half, n = 16, -(-len(x) // 2)
+    taps = [np.sinc(k / 2) * (0.54 - 0.46 * np.cos(2 * np.pi * (k + half) / (2 * half))) / 2 for k in range(-half, half + 1)]
+    y = [sum(taps[k + half] * x[2 * m - k] for k in range(-half, half + 1) if 0 <= 2 * m - k < len(x)) for m in range(n)]
+    frames = max(1, 1 + -(-(n - 256) // 128))
+    y += [0.0] * ((frames - 1) * 128 + 256 - n)
+    window = [0.5 - 0.5 * np.cos(2 * np.pi * i / 255) for i in range(256)]
+    mel = lambda f: 2595 * np.log10(1 + f / 700)
+    edge = [700 * (10 ** (mel(4000) * i / 33 / 2595) - 1) for i in range(34)]
+    bank = np.zeros((129, 32))
+    for k in range(129):
+        f = k * 8000 / 256
+        for j in range(32):
+            if edge[j] <= f <= edge[j + 1]:
+                bank[k, j] = (f - edge[j]) / (edge[j + 1] - edge[j])
+            elif edge[j + 1] < f <= edge[j + 2]:
+                bank[k, j] = (edge[j + 2] - f) / (edge[j + 2] - edge[j + 1])
+    turn = np.exp(-2j * np.pi * np.outer(np.arange(129), np.arange(256)) / 256)
+    logs, energy = [], []
+    for i in range(frames):
+        s = np.array([a * b for a, b in zip(y[i * 128 : i * 128 + 256], window)])
+        logs.append(np.log(np.abs(turn @ s) ** 2 @ bank + 1e-6))
+        energy.append(np.log((s * s).sum() + 1e-6))
+    e = (np.array(energy) - np.mean(energy)) / (np.std(energy) + 1e-9)
+    on, spans, active = False, [], [0] * frames
+    for i, v in enumerate(e):
+        now = True if v >= 0.5 else False if v < -0.5 else on
+        if now and not on:
+            spans.append([i, i])
+        if now:
+            spans[-1][1] = i + 1
+            active[i] = 1
+        on = now
+    return {"frames": frames, "spans": spans, "active": active, "mean": np.mean(logs, 0), "spread": np.std(logs, 0)}
+
+
+def test_feature_against_direct_formulas(spark):
+    rng = np.random.default_rng(5)
+    texts = [None, "x", "abc " * 2000, "".join(map(chr, rng.integers(32, 127, 9_000))), ("\x7f" * 3000 + "".join(map(chr, rng.integers(1, 127, 3000)))) * 2, "é ü " * 700]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    rows = A.clips(df).collect()
-    for got in A.digest(df).collect():
-        mine = sorted((r for r in rows if r.doc_id == got.doc_id), key=lambda r: r.clip)
-        f = fields(got.feature)
-        assert f["clips"].split(",") == [f"{r.t_start:.3f}-{r.t_end:.3f}:{r.active}" for r in mine]
-        m = np.concatenate([np.reshape(r.mel, (A.CLIP, A.MELS))[: r.frames] for r in mine])
-        np.testing.assert_allclose([float(x) for x in f["mean"].split(",")], m.mean(0), atol=0.006)
-        np.testing.assert_allclose([float(x) for x in f["spread"].split(",")], m.std(0), atol=0.006)
-        assert int(f["frames"]) == len(m) and int(f["segments"]) == sum(len(r.spans) for r in mine)
-    typed, plain = [], A.as_tensors
-    monkeypatch.setattr(A, "as_tensors", lambda t, *a: typed.append(plain(t, *a)) or typed[-1])
-    one = A.summary(A.payload(texts[2].encode()))
-    assert isinstance(typed[0].schema.field("mel").type, pa.FixedShapeTensorType) and one == got.feature
+    second = A.HOP * 2 / A.RATE
+    for r in A.digest(df).collect():
+        t, f = plain_feature((texts[r.doc_id] or "").encode()), fields(r.feature)
+        assert int(f["frames"]) == t["frames"] and int(f["segments"]) == len(t["spans"]) and int(f["active"]) == sum(t["active"])
+        assert f["spans"] == ",".join(f"{a * second:.3f}-{b * second:.3f}" for a, b in t["spans"])
+        cut = [f"{i * second:.3f}-{min(i + A.CLIP, t['frames']) * second:.3f}:{sum(t['active'][i : i + A.CLIP])}" for i in range(0, t["frames"], A.CLIP)]
+        assert f["clips"] == ",".join(cut)
+        np.testing.assert_allclose([float(x) for x in f["mean"].split(",")], t["mean"], atol=0.02)
+        np.testing.assert_allclose([float(x) for x in f["spread"].split(",")], t["spread"], atol=0.02)
+
+
+def test_features_come_from_the_stored_tensors(spark, monkeypatch):
+    text = "".join(map(chr, np.random.default_rng(3).integers(32, 127, 50_000)))
+    df = spark.createDataFrame([(0, text)], "doc_id long, text string")
+    stored = [bytes(x) for x in A.stored_features(df).first().tensors]
+    one = A.summary(stored)
+    assert one == A.digest(df).first().feature
+    batch = A.tensors(stored[0])
+    louder = pa.ExtensionArray.from_storage(A.TENSOR, pa.FixedSizeListArray.from_arrays(pa.array(batch.column("mel").to_numpy_ndarray().ravel() + 1), A.CLIP * A.MELS))
+    changed = A.summary([A.to_ipc(batch.set_column(6, A.CLIPS.field("mel"), louder)), *stored[1:]])
+    assert changed != one and fields(changed)["spans"] == fields(one)["spans"]
     monkeypatch.setattr(A, "FRAMES_AT_ONCE", A.CLIP)
-    many = fields(A.summary(A.payload(texts[2].encode())))
-    assert many["clips"] == fields(one)["clips"] and many["spans"] == fields(one)["spans"] and len(typed) > 2
+    blocks = [A.to_ipc(b) for b in A.clip_batches(A.payload(text.encode()))]
+    many = fields(A.summary(blocks))
+    assert len(blocks) > 2 and many["clips"] == fields(one)["clips"] and many["spans"] == fields(one)["spans"]
 
 
 def test_every_segment_keeps_its_span(spark):
@@ -106,6 +159,6 @@ def test_every_segment_keeps_its_span(spark):
     f = fields(A.digest(df).first().feature)
     assert int(f["segments"]) == len(want) == 9
     assert f["spans"].split(",") == [f"{a:.3f}-{b:.3f}" for a, b in want]
-    rows = sorted(A.clips(df).collect(), key=lambda r: r.clip)
+    rows = sorted(A.clips(A.stored_features(df)).collect(), key=lambda r: r.clip)
     assert [tuple(s) for r in rows for s in r.spans] == want
     assert all(r.t_start <= s.start < r.t_end for r in rows for s in r.spans)
