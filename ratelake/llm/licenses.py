@@ -1,42 +1,39 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a window of ``WINDOW`` words, half overlapping its neighbours, so a template of
-up to half a window lies whole in one however its lines wrap.  A block matches where it
-holds at least ``THRESHOLD`` of the template's distinct words (containment).
+A block is any run of ``STRETCH`` times as many words as the template has, at every place, so
+templates of every length match wherever they stand and however their lines wrap.  A block
+matches where it holds at least ``THRESHOLD`` of the template's distinct words (containment);
+short notices need all of theirs.
 
 Template words are ordered by document frequency counted over all documents, rare first.
 A template of n words needs o = ceil(threshold n) of them, so a match holds one of its
-first n - o + 1 (prefix filter); it needs o words of the templates' vocabulary (length
-filter); with its first common word at place p of the order, at most n - p of the
-template's and only its own vocabulary words from there on can match (positional filter).
-What is left is counted exactly.
+first n - o + 1 (prefix filter); where a text's first common word stands at place p of the
+template's order, n - p of its words can match at most, which must be o (positional filter);
+the text, and what lies within a block's length of a prefix word, must have o of the
+template's words (length filter).  What is left is counted exactly, over all blocks at once.
 
 Base labels come from phrases whose words stand consecutively.
 
 Defined results: null text has no words, no labels and score 0; repeated rows are scanned
-alike; other columns are ignored; an empty table gives an empty result.
+alike; other columns are ignored; an empty table gives an empty result; a template without
+words matches nothing.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
+from collections.abc import Mapping
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Phrases with their labels, and opening passages of public licenses.
-PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
-TEMPLATES = {
-    "apache-2.0": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License. To view a copy of this license, visit http://creativecommons.org/licenses/by/4.0/",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
-    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
-}
-WINDOW, THRESHOLD = 256, 0.8
+from .license_texts import NOTICES, PHRASES, TEMPLATES
+
+THRESHOLD, STRETCH = 0.8, 1.25
+#: label: (text, threshold)
+DEFAULT = {k: (v, THRESHOLD) for k, v in TEMPLATES.items()} | {k: (v, 1.0) for k, v in NOTICES.items()}
 
 _SPACE = bytes(c if c >= 128 or chr(c).isdigit() or chr(c).islower() else 32 for c in range(256))
 
@@ -46,8 +43,11 @@ def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().translate(_SPACE).split()
 
 
-def template_sets(templates: dict[str, str] = TEMPLATES) -> dict[str, frozenset]:
-    return {k: frozenset(words(v.encode())) for k, v in templates.items()}
+def read_templates(spark: SparkSession, path: str, threshold: float = THRESHOLD) -> dict[str, tuple[str, float]]:
+    """Templates from a folder of text files, labelled by file name without its ending."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?$", 1)
+    rows = spark.read.text(path, wholetext=True).select(name.alias("label"), "value").collect()
+    return {r["label"]: (r["value"], threshold) for r in rows}
 
 
 def document_frequency(docs: DataFrame, vocabulary: frozenset, text_col: str = "text") -> dict[bytes, int]:
@@ -66,44 +66,58 @@ def document_frequency(docs: DataFrame, vocabulary: frozenset, text_col: str = "
 
 
 class Index:
-    """Prefix index over templates under one global order of their words."""
+    """Prefix index over templates (label: (words, threshold)) under one global order of their
+    words."""
 
-    def __init__(self, sets: dict[str, frozenset], frequency: dict[bytes, int], threshold: float = THRESHOLD):
-        vocabulary = sorted(frozenset().union(*sets.values()), key=lambda w: (frequency.get(w, 0), w))
+    def __init__(self, templates: Mapping[str, tuple[list[bytes], float]], frequency: Mapping[bytes, int], stretch: float = STRETCH):
+        vocabulary = sorted({w for t, _ in templates.values() for w in t}, key=lambda w: (frequency.get(w, 0), w))
         self.place = {w: i for i, w in enumerate(vocabulary)}
         self.templates, self.prefix = [], {}
-        for label, s in sets.items():
-            order = sorted(self.place[w] for w in s)
-            need = math.ceil(threshold * len(order) - 1e-9)
-            k = len(self.templates)
-            self.templates.append((label, order, frozenset(order), need))
-            for p, w in enumerate(order[: len(order) - need + 1]):
-                self.prefix.setdefault(w, []).append((k, p))
-        self.least = min((t[3] for t in self.templates), default=0)
-
-    def match(self, block: list[bytes]) -> dict[str, float]:
-        """Containment of every template that meets the threshold."""
-        mine = sorted(self.place[w] for w in self.place.keys() & block)
-        if len(mine) < self.least:
+        for label, (t, threshold) in templates.items():
+            order = sorted({self.place[w] for w in t})
+            if not order:
+                continue
+            need = max(1, math.ceil(threshold * len(order) - 1e-9))
+            rare = order[: len(order) - need + 1]
+            for p, w in enumerate(rare):
+                self.prefix.setdefault(w, []).append((len(self.templates), p))
+            self.templates.append((label, frozenset(order), need, math.ceil(stretch * len(t)), frozenset(rare)))
+        self.rare = frozenset(vocabulary[i] for i in self.prefix)
+
+    def match(self, w: list[bytes]) -> dict[str, float]:
+        """The best block's containment of every template that meets its threshold."""
+        if self.rare.isdisjoint(w):
             return {}
+        hits = [(i, p) for i, x in enumerate(w) if (p := self.place.get(x)) is not None]
         seen, out = set(), {}
-        for i, w in enumerate(mine):
-            for k, p in self.prefix.get(w, ()):
+        present = {p for _, p in hits}
+        for p in sorted(present):
+            for k, at in self.prefix.get(p, ()):
                 if k in seen:
                     continue
                 seen.add(k)  # words come in order: this is the first common one
-                label, order, whole, need = self.templates[k]
-                if len(order) - p < need or len(mine) - i < need:
-                    continue
-                if (n := len(whole.intersection(mine))) >= need:
-                    out[label] = n / len(order)
+                label, whole, need, size, rare = self.templates[k]
+                if len(whole) - at >= need and len(whole & present) >= need:
+                    if (n := self.best([h for h in hits if h[1] in whole], rare, size)) >= need:
+                        out[label] = n / len(whole)
         return out
 
-
-def blocks(w: list[bytes], size: int = WINDOW):
-    step = size // 2
-    for i in range(0, max(1, len(w) - step), step):
-        yield w[i : i + size]
+    @staticmethod
+    def best(hits: list[tuple[int, int]], rare: frozenset, size: int) -> int:
+        """Most distinct words in any block of ``size`` words that holds a word of ``rare``."""
+        anchor = [i for i, p in hits if p in rare]
+        held: dict[int, int] = {}
+        first = most = 0
+        for i, p in hits:
+            j = bisect_left(anchor, i - size + 1)
+            if j == len(anchor) or anchor[j] >= i + size:
+                continue  # no prefix word within a block's length
+            held[p] = i
+            if len(held) > most:
+                # words last seen before the block that ends here fall out
+                held = {q: x for q, x in held.items() if x > i - size}
+                most = max(most, len(held))
+        return most
 
 
 def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
@@ -118,11 +132,10 @@ def phrase_places(joined: bytes, phrase: bytes) -> list[int]:
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] = TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Mapping[str, tuple[str, float]] = DEFAULT, phrases=PHRASES, stretch: float = STRETCH) -> DataFrame:
     """Per document n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    sets = template_sets(templates)
-    index = Index(sets, document_frequency(docs, frozenset().union(*sets.values()), text_col), threshold)
-    rare = frozenset(w for w, i in index.place.items() if i in index.prefix)
+    split = {k: (words(v.encode()), t) for k, (v, t) in templates.items()}
+    index = Index(split, document_frequency(docs, frozenset(w for t, _ in split.values() for w in t), text_col), stretch)
     wanted = [(b" " + p.encode() + b" ", label) for p, label in phrases]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
@@ -138,12 +151,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     if found := phrase_places(joined, phrase):
                         places += found
                         base.add(label)
-                best = {}
-                if not rare.isdisjoint(w):
-                    for block in blocks(w):
-                        if not rare.isdisjoint(block):
-                            for label, c in index.match(block).items():
-                                best[label] = max(c, best.get(label, 0.0))
+                best = index.match(w)
                 score = max([1.0 if base else 0.0, *best.values()])
                 rows.append((len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | best.keys())), score))
             cols = zip(*rows) if rows else [[]] * len(kinds)
