@@ -32,7 +32,7 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:
     """One captured page per HTML file."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path).select(F.xxhash64("_metadata.file_path").alias("page_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").text(path, wholetext=True).select(F.xxhash64("_metadata.file_path").alias("page_id"), F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
