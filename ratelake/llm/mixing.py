@@ -7,10 +7,14 @@ weight x level.  Sorting sources by cap/weight makes it one cumulative sum.  A d
 is then taken floor(rate) times plus once more where a hash of its id falls below the
 rate's fraction, so no state and no second pass are needed and reruns agree.
 
+The order of sources and the water level are windows over one row per source, in one task:
+sources may be many (a row of three numbers each, sorted with spilling), but not as many as
+documents.
+
 Defined results: null text has 0 words; a null source is a source of its own; rows that
 repeat a doc_id draw alike; a source without words has target 0 and rate 0; an empty table
-gives an empty result; other columns are kept by ``mix`` (names starting with
-``_mix`` are its own).
+gives an empty result; all columns are kept by ``mix``, whatever their names: its own
+``size`` and ``copy`` give way to columns of these names (``mix_size``, ``mix_copy``).
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import save, unpacked
 
 WEIGHTS = (5, 2, 1)
 SHARE, CAP = 1.5, 2.0
@@ -55,34 +59,43 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return x.select("source", "source_size", F.least(F.col("top"), F.coalesce(final * F.col("w"), F.col("top"))).alias("target"))
 
 
-def rates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """``docs`` with _mix_size, _mix_source_size, _mix_target, _mix_rate and _mix_copies.
+def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None, **how) -> DataFrame:
+    """(__row, size, source_size, target, rate, copies): ``__row`` holds a row's own columns, or
+    those in ``keep``.
 
     Tokens are summed per source map-side.  The targets, one row per source, are written
     first, so their size is known when the join is planned: Spark broadcasts them under its
     size limit, and texts are not shuffled; beyond it skewed sources are split.
     """
-    sized = docs.withColumn("_mix_size", n_words("text"))
-    per = sized.groupBy("source").agg(F.sum("_mix_size").alias("source_size"))
+    row = F.struct(*[F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]).alias("__row")
+    sized = docs.select(row, n_words(f"`{text_col}`").alias("size"), F.col(f"`{source_col}`").alias("source"), draw(f"`{id_col}`").alias("draw"))
+    per = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     t, _ = save(targets(per, **how), "mix-targets")
-    t = t.select(F.col("source").alias("_mix_source"), F.col("source_size").alias("_mix_source_size"), F.col("target").alias("_mix_target"))
-    j = sized.join(t, sized["source"].eqNullSafe(t["_mix_source"])).drop("_mix_source")
-    j = j.withColumn("_mix_rate", F.when(F.col("_mix_source_size") > 0, F.col("_mix_target") / F.col("_mix_source_size")).otherwise(0.0))
-    whole = F.floor("_mix_rate")
-    return j.withColumn("_mix_copies", whole + F.when(draw(id_col) < F.col("_mix_rate") - whole, 1).otherwise(0))
+    t = t.withColumnRenamed("source", "of")
+    j = sized.join(t, sized["source"].eqNullSafe(t["of"])).drop("of", "source")
+    j = j.withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
+    whole = F.floor("rate")
+    return j.withColumn("copies", whole + F.when(F.col("draw") < F.col("rate") - whole, 1).otherwise(0)).drop("draw")
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, or with ``mix_`` before it as often as it is taken."""
+    while name.lower() in {c.lower() for c in taken}:
+        name = "mix_" + name
+    return name
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The mixed corpus: each document once per copy, with ``copy`` numbered from 0;
-    columns of the names ``size`` and ``copy`` are replaced."""
-    r = rates(docs, id_col, **how).where("_mix_copies > 0")
-    out = r.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_mix_copies") - 1)))
-    keep = [c for c in docs.columns if c.lower() not in ("size", "copy")]
-    return out.select(*[F.col(f"`{c}`") for c in keep], F.col("_mix_size").alias("size"), F.col("_mix_copy").alias("copy"))
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The mixed corpus: each document once per copy, with its ``size`` and the ``copy`` numbered
+    from 0."""
+    r = rates(docs, id_col, text_col, source_col, **how).where("copies > 0")
+    out = r.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    own = {free_name(c, docs.columns): F.col(c) for c in ("size", "copy")}
+    return unpacked(out, [*docs.columns, *own], **own)
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return rates(docs).select("doc_id", F.col("_mix_size").alias("size"), F.col("_mix_source_size").alias("source_size"), F.col("_mix_target").alias("target"), (F.col("_mix_copies") * F.col("_mix_size")).alias("taken"))
+    return rates(docs, keep=["doc_id"]).select("__row.doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 SQL = r"""

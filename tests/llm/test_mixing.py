@@ -48,7 +48,17 @@ def test_copies_and_edge_rows(spark):
         if s > 1000 and s < 30000:
             assert taken[s] == pytest.approx(t, rel=0.15)
     assert sorted(mixing.digest(df).collect(), key=str) == sorted(got, key=str)
-    assert mixing.mix(df).where("size > 0").count() == sum(r.taken // r.size for r in got if r.size)
+    out = mixing.mix(df)
+    assert out.columns == ["doc_id", "text", "source", "size", "copy_of", "mix_size", "copy"]
+    assert out.where("mix_size > 0").count() == sum(r.taken // r.size for r in got if r.size) and out.where("size <> 1 OR copy_of <> 2").count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame([(1, "a b c", "s", 7, "x", 9, 1.5, "k")], "doc_id long, text string, source string, size int, copy string, mix_size int, target double, __row string")
+    out = mixing.mix(df)
+    assert out.columns == [*df.columns, "mix_mix_size", "mix_copy"]
+    rows = out.collect()
+    assert rows and all(tuple(r)[:8] == tuple(df.first()) and r.mix_mix_size == 3 for r in rows) and [r.mix_copy for r in rows] == list(range(len(rows)))
 
 
 def test_empty(spark):
