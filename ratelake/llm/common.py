@@ -115,14 +115,14 @@ def keyed(df: DataFrame, id_col: str = "doc_id", key: str = "_key", text_col: st
     )
 
 
-def salted(big: DataFrame, small: DataFrame, key: str, spread: str, how: str = "inner") -> DataFrame:
-    """``big`` joined with ``small`` (a row per ``key``), a key's rows of ``big`` dealt to SALTS tasks
+def salted(big: DataFrame, small: DataFrame, key: str | list[str], spread: str, how: str = "inner") -> DataFrame:
+    """``big`` joined with ``small`` (a row per ``key``, names), a key's rows of ``big`` dealt to SALTS tasks
     by ``spread``; ``small`` is sent to each, so it should be the smaller side by far.  What is
     left of a hot key beyond that is split by AQE, as each part is large then.  Both sides
     are shuffled: Spark's size of ``small`` does not count the copies."""
     s = F.pmod(F.xxhash64(spread), F.lit(SALTS))
     many = small.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return big.withColumn("__s", s).join(many.hint("merge"), [key, "__s"], how).drop("__s")
+    return big.withColumn("__s", s).join(many.hint("merge"), [*([key] if isinstance(key, str) else key), "__s"], how).drop("__s")
 
 
 def components(edges: DataFrame, tag: str = "cc") -> DataFrame:

@@ -3,35 +3,47 @@
 Writing.  Of records with equal payloads of ``least`` bytes or more, that with the
 largest id is the response and the others revisit it.  Records go through Spark's text
 sink, whose line separator closes a WARC record, so archives land in any store Spark
-writes to; one archive per task, so archives stay as small as input partitions.
+writes to; one archive per task, so archives stay as small as input partitions.  A
+compressed archive is one stream (the sink knows no members); "none" gives archives that split.
 
 Reading.  Tasks split archives at the version line (the magic).  A payload may hold the
 magic too, so a piece is only a candidate: it parses a record head there and emits the
 offset of its would-be successor.  Pointer jumping (successor of successor, doubling)
 from each archive's start retains the reachable candidates; the pieces in between are
-joined to the record that spans them.
+joined to the record that spans them.  An archive of up to CHAIN pieces is one group of
+places and lengths, never payloads; one with more, whose payloads must be dense in
+magics, jumps by joins on (archive, place), dealt to all tasks.
+
+A revisit has no payload: its length and digest are those of the response that its
+WARC-Refers-To names, and must be the ones it declares; a response must have the digest it
+declares.  Where that fails the read fails (``strict``), or ``problem`` says what is wrong.
+
+Record ids are made of id and digest, so they repeat only where rows repeat whole.
 
 Defined results: a null payload is empty; a null id or url is left out of the record
-head and reads back as null; repeated rows each get a record (rows that share payload and
-largest id are all responses); other columns are ignored; an empty table gives an archive
-without records and an empty result.
+head and reads back as null; control characters and spaces of urls are percent-encoded; rows
+that share payload and largest id are all responses; other columns are ignored; an empty
+table gives an archive without records and an empty result.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import re
+import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import save, shared_dir
+from .common import _written, salted, save, shared_dir
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
 LEAST = 1000
+CHAIN = 1 << 20
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", least: int = LEAST) -> DataFrame:
@@ -40,18 +52,32 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     p = p.withColumn("digest", F.sha1(F.col("body").cast("binary"))).withColumn("n", F.octet_length("body").cast("long"))
     # counts before ids: only payloads that repeat are kept, aggregated map-side
     twice = p.where(F.col("n") >= least).groupBy("digest").agg(F.max("id").alias("top"), F.count("*").alias("c")).where("c > 1")
-    j = p.join(twice.select(F.col("digest").alias("_d"), "top"), (F.col("digest") == F.col("_d")) & (F.col("n") >= least), "left")
-    return j.withColumn("refers_to", F.when(F.col("top") != F.coalesce("id", F.lit(-(1 << 63))), F.col("top"))).drop("_d", "top")
+    # copies of one payload, however many, are dealt to many tasks; small payloads stay where they are
+    large = salted(p.where(F.col("n") >= least), twice.select("digest", "top"), "digest", "id", "left")
+    small = p.where(F.col("n") < least).withColumn("top", F.lit(None).cast("long"))
+    j = large.unionByName(small)
+    return j.withColumn("refers_to", F.when(F.col("top") != F.coalesce("id", F.lit(-(1 << 63))), F.col("top"))).drop("top")
+
+
+def _encoded(url):
+    """Control characters and spaces as percent escapes of their code."""
+    char = r"[\x00-\x20\x7F]"
+    each = F.transform(F.split(url, ""), lambda c: F.when(c.rlike(char), F.concat(F.lit("%"), F.lpad(F.hex(F.ascii(c)), 2, "0"))).otherwise(c))
+    return F.when(url.rlike(char), F.array_join(each, "")).otherwise(url)
 
 
-def _head(kind: str):
-    """The record head as a column; control characters of urls are percent-encoded."""
-    url = F.regexp_replace(F.col("url"), r"[\x00-\x20\x7F]", "%20")
+def _urn(id, b32):
+    return F.concat(F.lit("<urn:page:"), F.coalesce(id.cast("string"), F.lit("")), F.lit(":"), b32, F.lit(">"))
+
+
+def _head(kind: str, date):
+    """The record head as a column."""
+    url = _encoded(F.col("url"))
     b32 = F.col("_b32")
     lines = [
         F.lit(MAGIC + f"WARC-Type: {kind}\r\n"),
-        F.concat(F.lit("WARC-Record-ID: <urn:page:"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(">\r\n")),
-        F.lit("WARC-Date: 2024-01-01T00:00:00Z\r\n"),
+        F.concat(F.lit("WARC-Record-ID: "), _urn(F.col("id"), b32), F.lit("\r\n")),
+        F.concat(F.lit("WARC-Date: "), date, F.lit("\r\n")),
         F.when(url.isNotNull(), F.concat(F.lit("WARC-Target-URI: "), url, F.lit("\r\n"))).otherwise(F.lit("")),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), b32, F.lit("\r\n")),
     ]
@@ -59,7 +85,7 @@ def _head(kind: str):
     if kind == "revisit":
         lines += [
             F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"),
-            F.concat(F.lit("WARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\n")),
+            F.concat(F.lit("WARC-Refers-To: "), _urn(F.col("refers_to"), b32), F.lit("\r\n")),
         ]
         block = http
     else:
@@ -78,10 +104,12 @@ def _base32(hexed):
     return F.concat(*out)
 
 
-def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
-    """Archives of ``plan_records`` under ``path``; "none" gives archives that split."""
+def write_warc(records: DataFrame, path: str, compression: str = "gzip", date: Column | None = None) -> None:
+    """Archives of ``plan_records`` under ``path``; ``date`` is the capture time, else the
+    time of writing."""
+    at = F.date_format(F.current_timestamp() if date is None else date, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     r = records.withColumn("_b32", _base32(F.col("digest")))
-    value = F.when(F.col("refers_to").isNull(), _head("response")).otherwise(_head("revisit"))
+    value = F.when(F.col("refers_to").isNull(), _head("response", at)).otherwise(_head("revisit", at))
     r.select(value.alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -105,12 +133,29 @@ def _payload(block: bytes) -> bytes:
     return block[stop + 4 :] if block.startswith(b"HTTP/") and stop >= 0 else block
 
 
-def _urn(v: bytes | None) -> int | None:
-    v = (v or b"").removeprefix(b"<urn:page:").removesuffix(b">")
+def _id_of(urn: bytes) -> int | None:
+    v = urn.removeprefix(b"<urn:page:").partition(b":")[0]
     return int(v) if v.lstrip(b"-").isdigit() else None
 
 
-PIECE = "file string, block long, rel long, span long, size long, whole boolean, kind string, id long, refers long, declared string, n long, sha1 string"
+PIECE = "file string, block long, rel long, span long, size long, whole boolean, kind string, urn string, id long, url string, refers string, declared string, n long, sha1 string"
+
+
+def _fields(f: dict) -> list:
+    """(kind, urn, id, url, refers, declared) of a record head."""
+    text = lambda k: f[k].decode("utf-8", "replace") if k in f else None
+    told = f.get(b"warc-payload-digest", b"").removeprefix(b"sha1:")
+    declared = base64.b32decode(told).hex() if re.fullmatch(rb"[A-Z2-7]{32}", told) else None
+    return [text(b"warc-type"), text(b"warc-record-id"), _id_of(f.get(b"warc-record-id", b"")), text(b"warc-target-uri"), text(b"warc-refers-to"), declared]
+
+
+def _digest(block: bytes, fields: dict) -> tuple[int, str | None]:
+    """(length, SHA-1) of a response's payload; of a revisit the length it declares."""
+    if fields.get(b"warc-type") == b"revisit":
+        length = re.search(rb"(?i)^content-length: *(\d+)\r?$", block, re.M)
+        return int(length[1]) if length else -1, None
+    body = _payload(block)
+    return len(body), hashlib.sha1(body).hexdigest()
 
 
 def pieces(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
@@ -128,15 +173,15 @@ def pieces(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
                 if (file, block) != at:
                     at, rel = (file, block), 0
                 # the text before the first magic of an archive is empty
-                row = [file, block, rel, len(value) + magic, None, False, None, None, None, None, None, None]
+                row = [file, block, rel, len(value) + magic, None, False, *[None] * 8]
                 if head := _parse(value):
                     n, f = head
                     length = int(f[b"content-length"])
                     row[4] = magic + n + length + len(END)
                     row[5] = n + length + len(END) == len(value) or n + length == len(value)
-                    row[6:10] = f.get(b"warc-type", b"").decode("latin-1"), _urn(f.get(b"warc-record-id")), _urn(f.get(b"warc-refers-to")), f.get(b"warc-payload-digest", b"").decode("latin-1")
+                    row[6:12] = _fields(f)
                     if row[5]:
-                        row[10:12] = _digest(value[n : n + length], f)
+                        row[12:14] = _digest(value[n : n + length], f)
                 if bodies:
                     row.append(value)
                 out.append(row)
@@ -150,16 +195,6 @@ def pieces(spark: SparkSession, path: str, bodies: bool = False) -> DataFrame:
     return src.mapInArrow(run, PIECE + ", value binary" * bodies)
 
 
-def _digest(block: bytes, fields: dict) -> tuple[int, str]:
-    if fields.get(b"warc-type") == b"revisit":
-        stop = block.find(b"Content-Length:")
-        n = block[stop + 15 :].split(b"\r\n")[0].strip() if stop >= 0 else b""
-        told = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha1:")
-        return (int(n) if n.isdigit() else 0), base64.b32decode(told).hex() if len(told) == 32 else ""
-    body = _payload(block)
-    return len(body), hashlib.sha1(body).hexdigest()
-
-
 def reachable(start: np.ndarray, succ: np.ndarray, origin: int) -> np.ndarray:
     """Which candidates a chain from ``origin`` visits, by pointer jumping: the visited
     set doubles each round, as does the jump.  ``start`` is sorted; ``succ`` is where each
@@ -179,14 +214,12 @@ def reachable(start: np.ndarray, succ: np.ndarray, origin: int) -> np.ndarray:
     return seen[:n]
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: id, n, sha1, kind, refers.  Records whose payload holds magics
-    are put together from their pieces; candidates that no chain reaches are dropped.
+PLACE = "file string, block long, rel long, record boolean, owner long"
 
-    Grouped work is by archive (bounded: writers roll archives by task) and only over
-    places and lengths, never payloads.
-    """
-    part, _ = save(pieces(spark, path), "warc-pieces")
+
+def chained(part: DataFrame) -> DataFrame:
+    """PLACE of the pieces of archives of up to CHAIN pieces, a group each: ``owner`` is the
+    place of the record that a piece belongs to."""
 
     def chain(key, t):
         block, rel = t.column("block").to_numpy(), t.column("rel").to_numpy()
@@ -204,33 +237,101 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         owner = np.maximum.accumulate(np.where(keep, np.arange(len(keep)), -1))
         return pa.table({"file": pa.array([key[0].as_py()] * len(start), pa.string()), "block": block, "rel": rel, "record": keep, "owner": np.where(owner < 0, -1, start[np.maximum(owner, 0)])})
 
-    places = part.select("file", "block", "rel", "span", "size").groupBy("file").applyInArrow(chain, "file string, block long, rel long, record boolean, owner long")
+    return part.select("file", "block", "rel", "span", "size").groupBy("file").applyInArrow(chain, PLACE)
+
+
+def chained_by_joins(part: DataFrame) -> DataFrame:
+    """The same by joins on (archive, place): no task holds an archive.  Each round doubles the
+    jump and is written to the shared folder."""
+    key = ["file", "start"]
+    blocks = part.groupBy("file", "block").agg(F.sum("span").alias("s"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row per block
+    base = blocks.select("file", "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    p = salted(part.select("file", "block", "rel", "span", "size"), base, ["file", "block"], "rel")
+    p, _ = save(p.withColumn("start", F.col("base") + F.col("rel") - len(MAGIC)).drop("base"), "warc-places")
+    candidates = p.where("size >= 0").select(*key, (F.col("start") + F.col("size")).alias("to"))
+    seen, jump = candidates.where("start = 0").select(*key), candidates
+    n = seen.count()
+    while True:
+        to = seen.join(jump, key).select("file", F.col("to").alias("start")).join(candidates.select(*key), key, "left_semi")
+        seen, _ = save(seen.unionByName(to).distinct(), "warc-seen")
+        if (now := seen.count()) == n:
+            break
+        n = now
+        further = jump.select("file", F.col("start").alias("to"), F.col("to").alias("next"))
+        jump, _ = save(jump.join(further, ["file", "to"]).select("file", "start", F.col("next").alias("to")), "warc-jump")
+    marked = p.join(seen.withColumn("record", F.lit(True)), key, "left").withColumn("record", F.coalesce("record", F.lit(False)))
+    # a piece in a record points to the piece before it, a record to itself; jumps lead to the record
+    ahead = marked.select("file", (F.col("start") + F.col("span")).alias("start"), F.col("start").alias("before"))
+    link = marked.join(ahead, key, "left").select(*key, F.when(F.col("record"), F.col("start")).otherwise(F.coalesce("before", F.lit(-1))).alias("owner"))
+    link, _ = save(link, "warc-link")
+    while True:
+        over = link.select("file", F.col("start").alias("owner"), F.col("owner").alias("next"))
+        nxt, _ = save(link.join(over, ["file", "owner"], "left").select(*key, F.coalesce("next", "owner").alias("owner"), (F.coalesce("next", "owner") != F.col("owner")).alias("moved")), "warc-link")
+        link = nxt.drop("moved")
+        if nxt.where("moved").limit(1).count() == 0:
+            break
+    return marked.join(link, key).select("file", "block", "rel", "record", "owner")
+
+
+def read_warc(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """One row per record: id, url, n, sha1, kind, refers (the response's id), problem.  Records
+    whose payload holds magics are put together from their pieces; candidates that no chain
+    reaches are dropped."""
+    part, _ = save(pieces(spark, path), "warc-pieces")
+    # at most one name in CHAIN pieces: a bounded broadcast
+    dense, _ = save(part.groupBy("file").count().where(F.col("count") > CHAIN).select("file"), "warc-dense")
+    if dense.limit(1).count():
+        places = chained(part.join(F.broadcast(dense), "file", "left_anti")).unionByName(chained_by_joins(part.join(F.broadcast(dense), "file", "left_semi")))
+    else:
+        places = chained(part)
     known, _ = save(part.join(places, ["file", "block", "rel"]).drop("span"), "warc-known")
-    done = known.where("record and whole").select("id", "n", "sha1", "kind", "refers")
+    cols = ["urn", "id", "url", "n", "sha1", "kind", "refers", "declared"]
+    found = known.where("record and whole").select(*cols)
     torn = known.where("record and not whole").select("file", "owner").distinct()
-    if torn.limit(1).count() == 0:
-        return done
-    # read again only what records that hold magics are made of
-    need = known.join(torn, ["file", "owner"], "left_semi").select("file", "block", "rel", "owner")
-    again = pieces(spark, path, bodies=True).join(need, ["file", "block", "rel"])
-
-    def join(key, t):
-        t = t.sort_by([("block", "ascending"), ("rel", "ascending")])
-        value = MAGIC.encode().join(x.as_py() for x in t.column("value"))
-        n, f = _parse(value)
-        length, digest = _digest(value[n : n + int(f[b"content-length"])], f)
-        kind = f.get(b"warc-type", b"").decode("latin-1")
-        return pa.table([[_urn(f.get(b"warc-record-id"))], [length], [digest], [kind], [_urn(f.get(b"warc-refers-to"))]], schema=pa.schema([("id", pa.int64()), ("n", pa.int64()), ("sha1", pa.string()), ("kind", pa.string()), ("refers", pa.int64())]))
-
-    mended = again.groupBy("file", "owner").applyInArrow(join, "id long, n long, sha1 string, kind string, refers long")
-    return done.unionByName(mended)
+    if torn.limit(1).count():
+        # read again only what records that hold magics are made of
+        need = known.join(torn, ["file", "owner"], "left_semi").select("file", "block", "rel", "owner")
+        again = pieces(spark, path, bodies=True).join(need, ["file", "block", "rel"])
+
+        def join(key, t):
+            t = t.sort_by([("block", "ascending"), ("rel", "ascending")])
+            value = MAGIC.encode().join(x.as_py() for x in t.column("value"))
+            n, f = _parse(value)
+            kind, urn, id, url, refers, declared = _fields(f)
+            length, sha1 = _digest(value[n : n + int(f[b"content-length"])], f)
+            row = [urn, id, url, length, sha1, kind, refers, declared]
+            return pa.table([[x] for x in row], schema=pa.schema([(c, pa.int64() if c in ("id", "n") else pa.string()) for c in cols]))
+
+        mended = again.groupBy("file", "owner").applyInArrow(join, ", ".join(f"{c} {'long' if c in ('id', 'n') else 'string'}" for c in cols))
+        found, _ = save(found.unionByName(mended), "warc-records")
+    return resolved(found, strict)
+
+
+def resolved(found: DataFrame, strict: bool = True) -> DataFrame:
+    """Records with the length and digest of revisits taken from the responses they name; a
+    response's many revisits are dealt to many tasks."""
+    response = found.where("kind <> 'revisit' OR kind IS NULL")
+    bad = F.when(F.col("declared").isNotNull() & (F.col("declared") != F.col("sha1")), F.concat(F.lit("payload of "), F.coalesce("urn", F.lit("?")), F.lit(" has another digest than declared")))
+    own = response.select("id", "url", "n", "sha1", "kind", F.lit(None).cast("long").alias("refers"), bad.alias("problem"))
+    revisit = found.where("kind = 'revisit'").select("urn", "id", "url", F.col("n").alias("told"), "kind", F.coalesce("refers", F.lit("")).alias("refers"), "declared")
+    wanted = revisit.select("refers").distinct()
+    named = response.join(wanted, response.urn == wanted.refers, "left_semi").groupBy(F.col("urn").alias("refers")).agg(F.first("id").alias("of"), F.first("n").alias("n"), F.first("sha1").alias("sha1"))
+    j = salted(revisit, named, "refers", "urn", "left")
+    say = lambda what: F.concat(F.lit("revisit "), F.coalesce("urn", F.lit("?")), F.lit(f" {what} "), F.col("refers"))
+    bad = F.when(F.col("sha1").isNull(), say("names no response")).when(~F.col("sha1").eqNullSafe(F.col("declared")) | (F.col("n") != F.col("told")), say("differs from"))
+    other = j.select("id", "url", "n", "sha1", "kind", F.col("of").alias("refers"), bad.alias("problem"))
+    out = own.unionByName(other)
+    if strict:  # whoever reads a payload's length or digest meets the error
+        sure = lambda c, t: F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast(t)).otherwise(F.col(c))
+        out = out.withColumns({"n": sure("n", "long"), "sha1": sure("sha1", "string")})
+    return out
 
 
 def round_trip(pages: DataFrame, compression: str = "gzip", least: int = LEAST) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
-    import uuid
-
     spark = pages.sparkSession
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     write_warc(plan_records(pages, least=least), path, compression)
+    _written.append((spark, path))
     return read_warc(spark, path)
