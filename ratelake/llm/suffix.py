@@ -9,18 +9,31 @@ content.  Each window of LENGTH bytes holds the smallest hash of its 32-byte sub
 anchor at the same place.  All windows around an anchor lie in a fragment of at most
 168 bytes, so
 
-1. tasks emit anchors with a hash of the fragment; repeats within a task are settled
-   there (map-side combine), so a hot passage sends one row a task;
-2. sorted by anchor, later copies of an identical fragment are duplicates as a whole;
-   first copies of fragments whose anchor has other fragments too go on;
-3. their windows are dealt, in two halves by their offset to the anchor, to buckets keyed by
-   the bytes that all windows of the half must share, which parts chance neighbours.
-   Buckets are gathered into texts of bounded size.  The text's Burrows-Wheeler
-   transform is built and intervals are extended backward breadth first: level l sets
-   the boundaries between suffixes with l bytes in common, and the expansion stops at
-   LENGTH.  Suffixes without a boundary between them share LENGTH bytes or more.
-   A bucket with more distinct fragments than a text may hold is halved again, as often
-   as needed (at one offset all windows of a bucket are equal).  Nothing is dropped.
+1. tasks emit anchors with a hash of the fragment.  Fragments of equal hash are not taken as
+   equal: a later one becomes a claim, this stretch of this document repeats that stretch of
+   that one.  Claims of one task are found there (map-side combine), so a hot passage
+   sends one row a task; an anchor with many fragments in a task is dealt by fragment, with
+   one row to tell the others; neighbouring claims are merged;
+2. first copies of fragments whose anchor has other fragments too go on: their windows are
+   dealt, in two halves by their offset to the anchor (eight parts where an anchor has many
+   fragments), to buckets keyed by the bytes that all windows of the part must share, which
+   parts chance neighbours;
+3. claims are cut where their source passes a grid and dealt to buckets by the stretch of
+   source, which stands in the bucket too; a hot stretch gets several buckets;
+4. buckets are gathered into texts of bounded size.  The text's Burrows-Wheeler transform is
+   built and intervals are extended backward breadth first: level l sets the boundaries
+   between suffixes with l bytes in common, and the expansion stops at LENGTH.  Suffixes
+   without a boundary between them share LENGTH bytes or more.  Source and first claim of a
+   stretch go through the expansion.  Further claims, and parts equal to one that is in
+   the text, are compared with it byte by byte and share its fate; if they differ they go
+   into the text themselves.  So hashes only say what to compare.
+   A bucket with more distinct parts than HOT is halved again, as often as needed (at one
+   offset all windows of a bucket are equal).  Nothing is dropped.
+
+What hashes may miss: fragments whose 64-bit hashes are equal under one 64-bit anchor though
+their bytes differ would hide a later copy of the second one.
+
+A document's requests and intervals are gathered in one row; they are in proportion to its text.
 
 Defined results: null text is empty (and stays null in ``dedup_text``); texts shorter than
 LENGTH lose nothing; of rows that repeat an id, or have none, each is a document of its
@@ -37,14 +50,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, packed, save, unpacked, utf8
+from .common import HOT_KEYS, keyed, packed, save, unpacked, utf8
 
 LENGTH, KMER = 100, 32
 REACH = LENGTH - KMER  # bytes of context on each side of an anchor
 CHUNK = 1 << 18  # bytes hashed at once
 COMBINE = 1 << 19  # anchors combined at once in a task
-TEXT = 1 << 21  # bytes of one BWT
-HOT = TEXT // (LENGTH + REACH)  # distinct fragments of one key that fit a text
+TEXT = 1 << 17  # bytes of one BWT, which then fits a core's cache
+HOT = (1 << 21) // (LENGTH + REACH)  # fragments of one key that fit the largest text
+GRID = 1 << 12  # bytes of source that claims of one bucket repeat
+CLAIMS = 1 << 10  # claims of a hot stretch of source in one bucket
+MANY = 64  # fragments of one anchor in one task that are dealt apart
+FIRST = -(1 << 63)  # sorts before all others
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -118,38 +135,59 @@ def _merge(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarr
         return [doc, start, end]
     o = np.lexsort((start, doc))
     doc, start, end = doc[o], start[o], end[o]
-    edge = np.r_[0, np.flatnonzero(doc[1:] != doc[:-1]) + 1]
     # running maximum of ends within a document: lift documents apart
-    rank = np.zeros(len(doc), np.int64)
-    rank[edge[1:]] = 1
-    lift = np.cumsum(rank) * (int(end.max()) + 1)
+    lift = np.cumsum(np.r_[False, doc[1:] != doc[:-1]]) * (int(end.max()) + 1)
     reach = np.maximum.accumulate(end + lift)
-    new = np.r_[True, (start[1:] + lift[1:] > reach[:-1])]
-    first = np.flatnonzero(new)
+    first = np.flatnonzero(np.r_[True, (start[1:] + lift[1:] > reach[:-1])])
     last = np.r_[first[1:], len(doc)] - 1
     return [doc[first], start[first], reach[last] - lift[last]]
 
 
+def _claims(doc: np.ndarray, a: np.ndarray, b: np.ndarray, src: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """(doc, a, b, src, at): claims that [a, b) of doc repeats src from ``at`` on; those that
+    overlap, of one source at one distance, are one."""
+    far = at - a
+    o = np.lexsort((far, src, doc))
+    new = np.r_[True, (doc[o][1:] != doc[o][:-1]) | (src[o][1:] != src[o][:-1]) | (far[o][1:] != far[o][:-1])]
+    group = np.empty(len(o), np.int64)
+    group[o] = np.cumsum(new) - 1
+    g, s, e = _merge(group, a, b)
+    head = o[new][g]
+    return [doc[head], s, e, src[head], s + far[head]]
+
+
 def _batch(names: str, cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names.split())
 
 
 def emit_anchors(docs: DataFrame, key: str, text_col: str) -> DataFrame:
-    """(t, h, f, doc, pos): t 0 are the first copies in a task of an anchor's fragment
-    (pos packs place, left and right context), t 1 are intervals [f, pos) that repeat."""
+    """(t, p, h, f, doc, pos, src, at): t 0 are the first copies in a task of an anchor's fragment
+    (pos packs place, left and right context), t 1 are claims [f, pos) of later ones.  ``p``
+    deals rows by anchor, those of an anchor with many fragments by fragment; a row of
+    fragment FIRST then stands for them at the anchor's."""
     src = docs.select(F.col(key).alias("doc"), F.col(text_col).cast("string").alias("text"))
+    names = "t p h f doc pos src at"
 
     def combine(parts):
         h, f, doc, pos = (np.concatenate(x) for x in zip(*parts))
         o = np.lexsort((pos, doc, f, h))
-        h, f, doc, pos = h[o], f[o], doc[o], pos[o]
-        again = np.r_[False, (h[1:] == h[:-1]) & (f[1:] == f[:-1])]
-        one = ~again
-        yield _batch("t h f doc pos", [np.zeros(one.sum(), np.int8), h[one].view(np.int64), f[one].view(np.int64), doc[one], pos[one]])
-        if again.any():
-            a, left, right = pos[again] >> 16, pos[again] >> 8 & 255, pos[again] & 255
-            d, s, e = _merge(doc[again], a - left, a + KMER + right)
-            yield _batch("t h f doc pos", [np.ones(len(d), np.int8), d * np.int64(0x9E3779B97F4A7C1), s, d, e])
+        h, f, doc, pos = h[o].view(np.int64), f[o].view(np.int64), doc[o], pos[o]
+        f[f == FIRST] += 1
+        one = np.r_[True, (h[1:] != h[:-1]) | (f[1:] != f[:-1])]
+        g, e, d, x = h[one], f[one], doc[one], pos[one]
+        begin = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+        size = np.diff(np.append(begin, len(g)))
+        many = np.repeat(size >= MANY, size)
+        z = np.zeros(len(g), np.int64)
+        yield _batch(names, [z.astype(np.int8), np.where(many, (g ^ e) * np.int64(0x9E3779B97F4A7C1) | 1, g & -2), g, e, d, x, z, z])
+        if many.any():
+            tell = g[begin[size >= MANY]]
+            z = np.zeros(len(tell), np.int64)
+            yield _batch(names, [z.astype(np.int8), tell & -2, tell, z + FIRST, z, z, z, z])
+        if not one.all():
+            again = np.flatnonzero(~one)
+            d, s, e, src, at = _repeat(doc, pos, again, np.flatnonzero(one)[np.cumsum(one)[again] - 1])
+            yield _batch(names, [np.ones(len(d), np.int8), d, d, s, d, e, src, at])
 
     def run(batches):
         held, count = [], 0
@@ -174,62 +212,67 @@ def emit_anchors(docs: DataFrame, key: str, text_col: str) -> DataFrame:
         if held:
             yield from combine(held)
 
-    return src.mapInArrow(run, "t byte, h long, f long, doc long, pos long")
+    return src.mapInArrow(run, "t byte, p long, h long, f long, doc long, pos long, src long, at long")
+
+
+def _repeat(doc: np.ndarray, pos: np.ndarray, later: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Claims that the fragments of rows ``later`` repeat those of rows ``first``."""
+    a, left, right = pos >> 16, pos >> 8 & 255, pos & 255
+    s, e = a - left, a + KMER + right
+    return _claims(doc[later], s[later], e[later], doc[first], s[first])
 
 
 def settle(rows: DataFrame) -> DataFrame:
-    """(t, h, doc, a, b): t 1 are repeating intervals [a, b), t 0 are first copies of
-    fragments (b is the packed place) whose anchor has other fragments."""
+    """(t, h, doc, a, b, src, at): t 0 are the first copies of fragments whose anchor has other
+    fragments (b is the packed place, a 1 where it has many), t 1 are claims [a, b)."""
+    names = "t h doc a b src at"
 
     def run(batches):
-        # of the run that goes on: anchor, first and latest fragment, the first row unless sent
-        cur = first_f = last_f = wait = None
+        head, sent = None, True  # the first copy of the fragment that goes on; whether it is put out
         for batch in batches:
-            t, h, f, doc, pos = (c.to_numpy() for c in batch.columns)
-            out = []
+            t, p, h, f, doc, pos, src, at = (c.to_numpy() for c in batch.columns)
             done = t == 1
             if done.any():
-                out.append([t[done], h[done], doc[done], f[done], pos[done]])
-                keep = ~done
-                h, f, doc, pos = h[keep], f[keep], doc[keep], pos[keep]
-            if len(h):
-                n = len(h)
-                begins = np.r_[cur != h[0], h[1:] != h[:-1]]
-                fresh = begins | np.r_[last_f != f[0], f[1:] != f[:-1]]
-                first = np.flatnonzero(begins)
-                goes_on = not begins[0]
-                group = np.cumsum(begins) - begins[0]  # 0 is the run that goes on, if any
-                if not goes_on:
-                    wait = None
-                n_group = int(group[-1]) + 1
-                starts = first if not goes_on else np.r_[0, first]
-                firsts = f[starts].copy()
-                if goes_on:
-                    firsts[0] = first_f
-                stops = np.r_[starts[1:], n] - 1
-                many = f[stops] != firsts  # sorted by fragment
-                sent = goes_on and wait is None
-                again = ~fresh
-                if again.any():
-                    a, left, right = pos[again] >> 16, pos[again] >> 8 & 255, pos[again] & 255
-                    out.append([np.ones(again.sum(), np.int8), h[again], doc[again], a - left, a + KMER + right])
-                if sent:
-                    many[0] = True
-                go = fresh & many[group]
-                if go.any():
-                    out.append([np.zeros(go.sum(), np.int8), h[go], doc[go], pos[go] >> 16, pos[go]])
-                if goes_on and wait is not None and many[0]:
-                    out.append([np.zeros(1, np.int8), *(np.array([x]) for x in wait)])
-                    wait = None
-                cur, last_f, first_f = h[-1], f[-1], firsts[-1]
-                if n_group > 1 or not goes_on:
-                    i = starts[-1]
-                    wait = None if many[-1] else (h[i], doc[i], pos[i] >> 16, pos[i])
-            if out:
-                yield _batch("t h doc a b", [np.concatenate(x) for x in zip(*out)])
-
-    src = rows.repartition("h").sortWithinPartitions("t", "h", "f", "doc", "pos")
-    return src.mapInArrow(run, "t byte, h long, doc long, a long, b long")
+                yield _batch(names, [x[done] for x in (t, h, doc, f, pos, src, at)])
+            p, h, f, doc, pos = (x[~done] for x in (p, h, f, doc, pos))
+            if not len(h):
+                continue
+            if head is not None:  # it stands before its fragment's later copies
+                p, h, f, doc, pos = (np.append(x, y) for x, y in zip(head, (p, h, f, doc, pos)))
+            begin = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]
+            fresh = begin | np.r_[True, f[1:] != f[:-1]]
+            start = np.flatnonzero(begin)
+            group = np.cumsum(begin) - 1
+            several = (np.add.reduceat(fresh, start) > 1) | ((p[start] & 1) == 1)
+            if head is not None and sent:
+                several[0] = True
+            go = fresh & several[group] & (f != FIRST)
+            if head is not None and sent:
+                go[0] = False
+            z = np.zeros(int(go.sum()), np.int64)
+            yield _batch(names, [z.astype(np.int8), h[go], doc[go], p[go] & 1, pos[go], z, z])
+            again = np.flatnonzero(~fresh & (f != FIRST))
+            if len(again):
+                first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
+                d, s, e, of, place = _repeat(doc, pos, again, first[again])
+                yield _batch(names, [np.ones(len(d), np.int8), d, d, s, e, of, place])
+            last = np.flatnonzero(fresh)[-1]
+            sent = bool(several[-1])
+            head = tuple(x[last] for x in (p, h, f, doc, pos))
+
+    src = rows.repartition("p").sortWithinPartitions("t", "p", "h", "f", "doc", "pos")
+    return src.mapInArrow(run, "t byte, h long, doc long, a long, b long, src long, at long")
+
+
+def merged(claims: DataFrame) -> DataFrame:
+    """Claims (doc, a, b, src, at) of neighbouring fragments as one."""
+
+    def run(batches):
+        for b in batches:
+            yield _batch("doc a b src at", _claims(*(c.to_numpy() for c in b.columns)))
+
+    c = claims.select("doc", "a", "b", "src", "at")
+    return c.repartition("doc").sortWithinPartitions("doc", "src", "a").mapInArrow(run, "doc long, a long, b long, src long, at long")
 
 
 def sort_rotations(text: np.ndarray, depth: int = LENGTH + 1) -> np.ndarray:
@@ -310,14 +353,17 @@ def repeats(frags: list) -> list[np.ndarray]:
     stop = np.minimum(size - LENGTH, left - lo)
     count = np.maximum(0, stop - begin + 1)
     which = np.repeat(np.arange(len(frags)), count)
+    if not len(which):
+        return _merge(which, which, which)
     inner = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + begin[which]
-    c = cls[base[which] + inner]
-    d, s = doc[which], a[which] - left[which] + inner
-    o = np.lexsort((s, d, c))
-    c, d, s = c[o], d[o], s[o]
-    new = np.flatnonzero(np.r_[True, c[1:] != c[:-1]]) if len(c) else np.zeros(0, np.int64)
-    top = np.repeat(new, np.diff(np.append(new, len(c))))
-    later = (d != d[top]) | (s != s[top])
+    key = np.sort(cls[base[which] + inner] << 40 | np.arange(len(which)))
+    c, o = key >> 40, key & ((1 << 40) - 1)
+    d, s = doc[which][o], (a[which] - left[which] + inner)[o]
+    # of equal windows all but the first by document and start repeat
+    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    ids, rank = np.unique(doc, return_inverse=True)
+    place = rank[which][o] << 40 | s
+    later = place != np.repeat(np.minimum.reduceat(place, first), np.diff(np.append(first, len(c))))
     return _merge(d[later], s[later], s[later] + LENGTH)
 
 
@@ -335,99 +381,157 @@ def _split(h: int, doc: int, a: int, left: int, lo: int, hi: int, frag: bytes):
         yield (k - (1 << 63), f - (1 << 63), doc, a, y2, x, y, part)
 
 
+def _parts(h: int, doc: int, a: int, left: int, lo: int, hi: int, frag: bytes, depth: int):
+    """The fragment's windows halved ``depth`` times."""
+    for x in _split(h, doc, a, left, lo, hi, frag):
+        if depth > 1 and x[5] < x[6]:
+            yield from _parts(x[0], x[2], x[3], x[4], x[5], x[6], x[7], depth - 1)
+        else:
+            yield x
+
+
 FRAG = "h long, f long, doc long, a long, left int, lo int, hi int, frag binary"
 _FRAG_TYPES = [pa.int64()] * 4 + [pa.int32()] * 3 + [pa.binary()]
+ALL = -(1 << 30)  # lo of claims and sources: every window counts
 
 
 def expand(frags: DataFrame, hot: int = HOT, text_size: int = TEXT) -> DataFrame:
     """(t, FRAG): t 1 rows are repeating intervals [f, a) of ``doc``; t 0 rows are halves of
-    keys with more distinct fragments than a text holds."""
+    buckets with more fragments than a text holds."""
     names = ["t"] + [x.split()[0] for x in FRAG.split(", ")]
 
-    def marks(d, s, e):
-        z = np.zeros(len(d), np.int64)
-        i = np.zeros(len(d), np.int32)
+    def marks(own):
+        d, s, e = repeats(own)
+        z, i = np.zeros(len(d), np.int64), np.zeros(len(d), np.int32)
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), np.int8)), pa.array(z), pa.array(s), pa.array(d), pa.array(e), pa.array(i), pa.array(i), pa.array(i), pa.nulls(len(d), pa.binary())], names=names)
 
     def halves(rows):
-        cols = list(zip(*rows))
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c, t) for c, t in zip(cols, _FRAG_TYPES))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(rows), np.int8)), *(pa.array(c, t) for c, t in zip(zip(*rows), _FRAG_TYPES))], names=names)
+
+    def flat(copies):
+        d, s, e = _merge(*(np.array(x, np.int64) for x in zip(*copies)))
+        z, i = np.zeros(len(d), np.int64), np.zeros(len(d), np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), np.int8)), pa.array(z), pa.array(s), pa.array(d), pa.array(e), pa.array(i), pa.array(i), pa.array(i), pa.nulls(len(d), pa.binary())], names=names)
 
     def run(batches):
         cur = last = None
-        ready, room, own, split = [], 0, [], False
+        ready, room = [], 0  # whole small buckets
+        own, size, split = [], 0, False  # the bucket at hand
         copies, pending = [], []
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                h, f, doc, a, left, lo, hi, frag = row
+            for h, f, doc, a, left, lo, hi, frag in zip(*(c.to_pylist() for c in b.columns)):
                 if h != cur:
-                    if not split and len(own) > 1:
-                        size = sum(len(x[5]) for x in own)
+                    if len(own) > 1 and not split:
                         if ready and room + size > text_size:
-                            yield marks(*repeats(ready))
+                            yield marks(ready)
                             ready, room = [], 0
                         ready += own
                         room += size
-                    cur, last, own, split = h, None, [], False
-                if f == last:  # the same bytes, later
+                    cur, last, own, size, split = h, None, [], 0, False
+                if lo == ALL:  # hi is the place in the grid's cell
+                    if len(own) > 1:
+                        head = own[0]
+                        if head[5][hi - head[4] : hi - head[4] + len(frag)] == frag:
+                            copies.append((doc, a, a + len(frag)))
+                            continue
+                        if size >= text_size:
+                            yield marks(own)
+                            own = own[:1]
+                            size = len(own[0][5])
+                elif (f, frag) == last:  # the same bytes, later
                     copies.append((doc, a - left, a - left + len(frag)))
                     continue
-                last = f
+                last = f, frag
                 own.append((doc, a, left, lo, hi, frag))
-                if split or len(own) > hot:
+                size += len(frag)
+                if lo != ALL and (split or len(own) > hot):
                     split = True
                     pending += [x for y in own for x in _split(h, *y)]
-                    own = []
+                    own, size = [], 0
             if pending:
                 yield halves(pending)
                 pending = []
             if copies:
-                yield marks(*_merge(*(np.array(x, np.int64) for x in zip(*copies))))
+                yield flat(copies)
                 copies = []
-        if not split and len(own) > 1:
-            if ready and room + sum(len(x[5]) for x in own) > text_size:
-                yield marks(*repeats(ready))
+        if len(own) > 1 and not split:
+            if ready and room + size > text_size:
+                yield marks(ready)
                 ready = []
             ready += own
         if ready:
-            yield marks(*repeats(ready))
+            yield marks(ready)
 
     src = frags.repartition("h").sortWithinPartitions("h", "f", "doc", "a")
     return src.mapInArrow(run, "t byte, " + FRAG)
 
 
+def claim_requests(claims: DataFrame) -> DataFrame:
+    """(doc, kind, k, a, b, rel): the stretches of documents that claims (doc, a, b, src, at) need,
+    by bucket k: kind 1 claims, kind 2 their sources, cut by the source's grid; ``rel`` is the
+    source's place in its cell."""
+    cell = F.explode(F.sequence(F.floor(F.col("at") / GRID), F.floor((F.col("at") + F.col("b") - F.col("a") - LENGTH) / GRID)))
+    c = claims.withColumn("c", cell)
+    lo = F.greatest("at", F.col("c") * GRID)
+    hi = F.least(F.col("at") + F.col("b") - F.col("a"), (F.col("c") + 1) * GRID + LENGTH - 1)
+    c = c.select("doc", "src", "c", lo.alias("s"), hi.alias("e"), (F.col("a") - F.col("at")).alias("far"))
+    per, _ = save(c.groupBy("src", "c").count(), "suffix-sources")
+    total = per.agg(F.sum("count")).first()[0] or 0
+    # at most HOT_KEYS of them
+    hot = per.where(F.col("count") > max(CLAIMS, total // HOT_KEYS)).select("src", "c", F.ceil(F.col("count") / CLAIMS).alias("n"))
+    c = c.join(F.broadcast(hot), ["src", "c"], "left")
+    salt = F.when(F.col("n").isNotNull(), F.pmod(F.xxhash64("doc", "s"), F.col("n"))).otherwise(0)
+    c = c.withColumn("k", F.xxhash64("src", "c", salt))
+    own = c.select("doc", F.lit(1).cast("byte").alias("kind"), "k", (F.col("s") + F.col("far")).alias("a"), (F.col("e") + F.col("far")).alias("b"), (F.col("s") - F.col("c") * GRID).alias("rel"))
+    source = c.groupBy("src", "c", "k").agg(F.min("s").alias("a"), F.max("e").alias("b")).select(F.col("src").alias("doc"), F.lit(2).cast("byte").alias("kind"), "k", "a", "b", (F.col("a") - F.col("c") * GRID).alias("rel"))
+    return own.unionByName(source)
+
+
 def repeated_intervals(docs: DataFrame, key: str = "_key", text_col: str = "text") -> DataFrame:
     """(doc, a, b): intervals of bytes to remove, not yet merged."""
-    spark = docs.sparkSession
     first, _ = save(settle(emit_anchors(docs, key, text_col)), "suffix-anchors")
-    found = first.where("t = 1").select("doc", "a", "b")
-    want = first.where("t = 0").groupBy("doc").agg(F.collect_list(F.struct("h", "b")).alias("at"))
+    # fragments of an anchor with very many are halved twice more before they are dealt
+    contexts = first.where("t = 0").select("doc", F.lit(0).cast("byte").alias("kind"), F.col("h").alias("k"), F.col("b").alias("a"), F.when(F.col("a") == 1, 3).otherwise(1).cast("long").alias("b"), F.lit(0).cast("long").alias("rel"))
+    claims, _ = save(merged(first.where("t = 1")), "suffix-claims")
+    requests = contexts.unionByName(claim_requests(claims))
+    want = requests.groupBy("doc").agg(F.collect_list(F.struct("kind", "k", "a", "b", "rel")).alias("at"))
     texts = docs.select(F.col(key).alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text")).join(want, "doc")
+    names = [x.split()[0] for x in FRAG.split(", ")]
 
     def cut(batches):
-        for b in batches:
-            off, data = utf8(b.column(1))
-            raw = data.tobytes()
-            at = b.column(2)
+        for batch in batches:
+            off, data = utf8(batch.column(1))
+            at = batch.column(2)
             if isinstance(at, pa.ChunkedArray):
                 at = at.combine_chunks()
             flat = at.flatten()
-            row = np.repeat(np.arange(len(b)), np.diff(at.offsets.to_numpy()))
-            h, p = flat.field("h"), flat.field("b").to_numpy()
-            a, left, right = p >> 16, p >> 8 & 255, p & 255
-            s = off[row] + a - left
-            e = off[row] + a + KMER + right
-            doc = b.column(0).to_numpy()[row]
-            for i in range(0, len(p), 1 << 13):
-                z = slice(i, i + (1 << 13))
-                rows = [x for k, d, j, w, u, v in zip(h[z].to_pylist(), doc[z].tolist(), a[z].tolist(), left[z].tolist(), s[z].tolist(), e[z].tolist()) for x in _split(k, d, j, w, 0, REACH, raw[u:v])]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FRAG_TYPES)], names=[x.split()[0] for x in FRAG.split(", ")])
-
-    frags = texts.mapInArrow(cut, FRAG)
+            row = np.repeat(np.arange(len(batch)), np.diff(at.offsets.to_numpy()))
+            kind, k, a, b, rel = (flat.field(i).to_numpy() for i in range(5))
+            anchored = kind == 0
+            place, left, right = a >> 16, a >> 8 & 255, a & 255
+            s = off[row] + np.where(anchored, place - left, a)
+            e = off[row] + np.where(anchored, place + KMER + right, b)
+            doc = batch.column(0).to_numpy()[row]
+            mix = (doc * np.int64(0x9E3779B97F4A7C1) ^ a) | 1  # rows of a bucket need only an order
+            rows, size = [], 0
+            for i in range(len(row)):
+                frag = data[s[i] : e[i]].tobytes()
+                if anchored[i]:
+                    rows += _parts(int(k[i]), int(doc[i]), int(place[i]), int(left[i]), 0, REACH, frag, int(b[i]))
+                else:
+                    rows.append((int(k[i]), int(mix[i]) if kind[i] == 1 else FIRST, int(doc[i]), int(a[i]), 0, ALL, int(rel[i]), frag))
+                size += len(frag)
+                if size >= 1 << 21:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FRAG_TYPES)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _FRAG_TYPES)], names=names)
+
+    frags, found = texts.mapInArrow(cut, FRAG), None
     while True:
-        out, path = save(expand(frags), "suffix-level")
-        found = found.unionByName(out.where("t = 1").select("doc", F.col("f").alias("a"), F.col("a").alias("b")))
+        out, _ = save(expand(frags), "suffix-level")
+        marked = out.where("t = 1").select("doc", F.col("f").alias("a"), F.col("a").alias("b"))
+        found = marked if found is None else found.unionByName(marked)
         frags = out.where("t = 0").drop("t")
         if frags.limit(1).count() == 0:
             return found

@@ -88,3 +88,111 @@ def test_slide_and_anchor_choice():
         low = X._kmers(w)
         first = int(np.flatnonzero(low == low.min())[0])
         assert 90 + first in at
+
+
+class Run:
+    """Stands for a DataFrame: gives the function that would run on its batches."""
+
+    def __getattr__(self, name):
+        return lambda *a, **k: self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_small_chunks_and_combines_lose_no_fragment(spark, monkeypatch):
+    data = [(i, t) for i, t in rows()]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in data]), pa.array([t for _, t in data], pa.string())], names=["doc", "text"])
+    whole = pa.Table.from_batches(X.emit_anchors(Run(), "doc", "text")(iter([batch]))).to_pylist()
+    monkeypatch.setattr(X, "CHUNK", 700)
+    monkeypatch.setattr(X, "COMBINE", 300)
+    small = pa.Table.from_batches(X.emit_anchors(Run(), "doc", "text")(iter([batch]))).to_pylist()
+    names = lambda out: {(r["h"], r["f"]) for r in out if r["t"] == 0 and r["f"] != X.FIRST}
+    assert names(whole) == names(small) and len(small) > len(whole)
+    by = {i: (t or "").encode() for i, t in data}
+    for r in whole + small:
+        if r["t"] == 1:  # a claim: [f, pos) repeats src from at on
+            assert by[r["doc"]][r["f"] : r["pos"]] == by[r["src"]][r["at"] : r["at"] + r["pos"] - r["f"]]
+            assert (r["src"], r["at"]) < (r["doc"], r["f"])
+
+
+def test_wrong_claims_remove_nothing(spark):
+    """Equal hashes are only a hint: a claim whose bytes differ is not followed."""
+    rnd = random.Random(3)
+    a, b = bytes(rnd.choices(b"xyz w", k=200)), bytes(rnd.choices(b"abcdef", k=200))
+    bucket = [(1, X.FIRST, 10, 0, 0, X.ALL, 0, a), (1, 5, 20, 7, 0, X.ALL, 0, a[:150]), (1, 6, 30, 0, 0, X.ALL, 0, b), (1, 7, 40, 0, 0, X.ALL, 3, a[3:140]), (1, 8, 50, 0, 0, X.ALL, 3, a[4:150])]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*bucket), X._FRAG_TYPES)], names=[x.split()[0] for x in X.FRAG.split(", ")])
+    out = [(r["doc"], r["f"], r["a"]) for b in X.expand(Run())(iter([batch])) for r in b.to_pylist()]
+    # two by the expansion, one of them not where it claims to be, one by its bytes
+    assert sorted(out) == [(20, 7, 157), (40, 0, 137), (50, 0, 146)]
+
+
+def test_claims_merge_by_source_and_distance():
+    c = [(1, 0, 168, 0, 50), (1, 34, 202, 0, 84), (1, 300, 400, 0, 350), (1, 100, 200, 9, 0), (2, 0, 150, 0, 50)]
+    got = sorted(zip(*(x.tolist() for x in X._claims(*(np.array(v, np.int64) for v in zip(*c))))))
+    assert got == [(1, 0, 202, 0, 50), (1, 100, 200, 9, 0), (1, 300, 400, 0, 350), (2, 0, 150, 0, 50)]
+
+
+def test_a_hot_passage_and_a_common_line(spark, monkeypatch):
+    """One passage in every document and one line with a context of its own in each; few claims a
+    bucket, so the hot stretch of source gets many."""
+    monkeypatch.setattr(X, "CLAIMS", 8)
+    monkeypatch.setattr(X, "HOT_KEYS", 4)
+    monkeypatch.setattr(X, "HOT", 20)
+    monkeypatch.setattr(X.expand, "__defaults__", (20, 5000))
+    monkeypatch.setattr(X, "GRID", 512)
+    rnd = random.Random(8)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9)))
+    passage, line = " ".join(word() for _ in range(900)), " ".join(word() for _ in range(14))
+    data = [(i, " ".join([word(), passage, word(), word()])) for i in range(60)] + [(100 + i, " ".join([*(word() for _ in range(20)), line, *(word() for _ in range(20))])) for i in range(80)]
+    assert run(spark, data) == brute(data)
+
+
+def settled(rows, size):
+    """What ``settle`` gives for fragment rows (h, f, doc, place) of many tasks, by batches."""
+    import pyarrow as pa
+
+    names = "t p h f doc pos src at".split()
+    emitted = []
+    for task in rows:
+        held = [tuple(np.array(x) for x in zip(*task))]
+        held = [(np.array(h, np.int64).view(np.uint64), np.array(f, np.int64).view(np.uint64), np.array(d, np.int64), np.array(a, np.int64) << 16 | 10 << 8 | 60) for h, f, d, a in held]
+        run = X.emit_anchors(Run(), "doc", "text")
+        combine = dict(zip(run.__code__.co_freevars, (c.cell_contents for c in run.__closure__)))["combine"]
+        emitted += [r for b in combine(held) for r in b.to_pylist()]
+    emitted.sort(key=lambda r: tuple(r[c] for c in ("t", "p", "h", "f", "doc", "pos")))
+    table = pa.Table.from_pylist(emitted, schema=pa.schema([(n, pa.int8() if n == "t" else pa.int64()) for n in names]))
+    return [r for b in X.settle(Run())(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("size", [1, 2, 7, 10_000])
+@pytest.mark.parametrize("many", [2, 3, 64])
+def test_settling_by_batches_and_tasks(spark, monkeypatch, size, many):
+    """Every fragment of an anchor with several goes on once at least, lone ones don't; later copies
+    are claims, whatever batches and tasks rows come in."""
+    monkeypatch.setattr(X, "MANY", many)
+    rnd = random.Random(size * 100 + many)
+    rows = sorted({(rnd.randrange(30) * 2, rnd.randrange(6) if rnd.random() < 0.7 else 1, rnd.randrange(40), rnd.randrange(1, 50) * 400) for _ in range(400)} | {(100, 1, 3, 400), (102, 5, 1, 400), (102, 5, 2, 400)})
+    tasks = [rows[i::3] for i in range(3)]
+    out = settled(tasks, size)
+    fragments = {}
+    for h, f, d, a in rows:
+        fragments.setdefault(h, {}).setdefault(f, []).append((d, a))
+    went = {(r["h"], r["doc"], r["b"] >> 16) for r in out if r["t"] == 0}
+    for h, by in fragments.items():
+        for f, places in by.items():
+            assert ((h, *min(places)) in went) == (len(by) > 1)
+    covered = {}
+    for r in out:
+        if r["t"] == 1:
+            assert (r["src"], r["at"]) < (r["doc"], r["a"])
+            covered.setdefault(r["doc"], []).append((r["a"], r["b"]))
+    for h, by in fragments.items():
+        for f, places in by.items():
+            for d, a in set(places) - {min(places)}:
+                gone = any(s <= a - 10 and a + X.KMER + 60 <= e for s, e in covered.get(d, []))
+                assert gone or (h, d, a) in went
