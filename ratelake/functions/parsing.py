@@ -140,6 +140,7 @@ def fixed_term_of_name(name: Column) -> Column:
 # dropdown options and loan-to-value bands
 
 
+# Shapes of option texts.
 OPTION = r"(?i)^([\d.]+)%\s*p\.a\s+(.+)$"
 TAIL = r"^(.*?)\s+(\d+%.*?LVR.*?)\*?$"
 QUALIFIER = r"(?i)\s+(more than|or less|less than|up to|over|more|less)$"
@@ -170,12 +171,22 @@ def option(text: Column, strict: bool = True) -> Column:
     return F.when(r.isNotNull(), F.struct(r.alias("rate"), name.alias("name"), lo.alias("lvr_min"), hi.alias("lvr_max"), kind.alias("rate_type")))
 
 
-def band(text: Column) -> Column:
-    """struct(kind, bound) of a tier label: le, gt, lt or index."""
+def band_parts(text: Column) -> Column:
+    """struct(kind, bound) of a tier label, of any text: kind le, gt, lt, index or null."""
     t = F.trim(empty(text))
     pct = number(t, r"(\d+(?:\.\d+)?)\s*%") / 100
     kind = F.when(F.lower(t).contains("index"), "index").when(t.startswith("≤"), "le").when(t.startswith(">"), "gt").when(t.startswith("<"), "lt")
-    return F.when(kind.isNotNull() & ((kind == "index") | pct.isNotNull()), F.struct(kind.alias("kind"), pct.alias("bound")))
+    return F.struct(kind.alias("kind"), pct.alias("bound"))
+
+
+def is_band(b: Column) -> Column:
+    return b["kind"].isNotNull() & ((b["kind"] == "index") | b["bound"].isNotNull())
+
+
+def band(text: Column) -> Column:
+    """struct(kind, bound) of a tier label, else null."""
+    b = band_parts(text)
+    return F.when(is_band(b), b)
 
 
 def lvr_label(lo: Column, hi: Column) -> Column:

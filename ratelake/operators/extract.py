@@ -269,14 +269,18 @@ def lvr_table(rows: DataFrame) -> DataFrame:
     """rows(table_id, row_idx, label, rate): bands of tier tables.  "≤ x" starts where the
     highest bound so far ends, "> x" runs to 1 exclusive, index rows cover all; tables of one
     tier are no tier tables."""
-    t = rows.withColumn("b", P.band(F.col("label"))).where("b IS NOT NULL AND rate IS NOT NULL")
-    t = t.withColumn("lvr_max", F.when(F.col("b.kind").isin("gt", "index"), 1.0).otherwise(F.col("b.bound")))
-    w = Window.partitionBy("table_id")
-    before = F.coalesce(F.max("lvr_max").over(w.orderBy("row_idx").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    low = F.when(F.col("b.kind") == "gt", F.col("b.bound")).when(F.col("b.kind") == "index", 0.0).otherwise(before)
-    kind = F.when(F.col("b.kind") == "index", "VariableIndex").otherwise("Variable")
-    out = t.select("table_id", "row_idx", low.alias("lvr_min"), "lvr_max", F.col("b.kind").isin("gt", "lt").alias("lvr_exclusive_max"), "rate", kind.alias("rate_type"), F.count("*").over(w).alias("_n"))
-    return out.where("_n > 1").drop("_n")
+    # generated from one array, so a label is parsed once, not once for each use and filter
+    found = F.filter(F.array(P.band_parts(F.col("label"))), P.is_band)
+    t = rows.where("rate IS NOT NULL").select("table_id", "row_idx", "rate", F.inline(found))
+    t = t.withColumn("lvr_max", F.when(F.col("kind").isin("gt", "index"), 1.0).otherwise(F.col("bound")))
+    w = Window.partitionBy("table_id").orderBy("row_idx")
+    before = F.coalesce(F.max("lvr_max").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    low = F.when(F.col("kind") == "gt", F.col("bound")).when(F.col("kind") == "index", 0.0).otherwise(before)
+    kind = F.when(F.col("kind") == "index", "VariableIndex").otherwise("Variable")
+    # a table has several tiers where one stands before or after
+    several = F.lag(F.lit(True)).over(w).isNotNull() | F.lead(F.lit(True)).over(w).isNotNull()
+    out = t.select("table_id", "row_idx", low.alias("lvr_min"), "lvr_max", F.col("kind").isin("gt", "lt").alias("lvr_exclusive_max"), "rate", kind.alias("rate_type"), several.alias("_n"))
+    return out.where("_n").drop("_n")
 
 
 # search results

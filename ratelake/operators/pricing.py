@@ -19,9 +19,8 @@ LOANS, REPAYMENTS = ("OwnerOccupied", "Investment"), ("PrincipalAndInterest", "I
 
 def first_by(value: Column, order: Column, where: Column | None = None) -> Column:
     """Aggregate: the value of the row with the smallest order among those that qualify
-    (the row may hold null)."""
-    row = F.struct(order.alias("o"), value.alias("v"))
-    return F.min(row if where is None else F.when(where, row))["v"]
+    (the row may hold null).  On numbers it is a hash aggregate."""
+    return F.min_by(value, order if where is None else F.when(where, order))
 
 
 def lvr_matches(lvr: Column) -> Column:
@@ -109,17 +108,27 @@ def bands(components: DataFrame) -> DataFrame:
     )
 
 
+def _captured(components: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row per product and captured state, all by one shuffle by product: firsts are windows
+    over a product's components, then constant, so they can be keys of the aggregates."""
+    c = with_state(components).repartition("product_id")
+    state, first = ["product_id", "loan_type", "repayment"], Window.partitionBy("product_id").orderBy("idx")
+    of_state = Window.partitionBy(*state).orderBy("idx")
+    c = c.select(
+        *state, *keep, F.coalesce("lvr_min", F.lit(0.0)).alias("lvr_min"), F.coalesce("lvr_max", F.lit(0.8)).alias("lvr_max"), "interest_rate", "comparison_rate",
+        F.first("rate_type").over(first).alias("rate_type"), F.first("fixed_term_months").over(first).alias("fixed_term_months"),
+        F.first("extraction_method").over(of_state).alias("extraction_method"), F.first("confidence").over(of_state).alias("confidence"),
+    )
+    same = [*state, *keep, "rate_type", "fixed_term_months", "extraction_method", "confidence"]
+    b = c.groupBy(*same, "lvr_min", "lvr_max").agg(F.max("interest_rate").alias("interest_rate"), F.max("comparison_rate").alias("comparison_rate"), (F.min("interest_rate") != F.max("interest_rate")).alias("conflict"))
+    s = b.groupBy(*same).agg(F.bool_or("conflict").alias("conflict"), F.count("*").alias("n_bands"), F.array_sort(F.collect_list(F.struct("lvr_min", "lvr_max", "interest_rate", "comparison_rate"))).alias("rate_tiers"))
+    return s.withColumn("confidence", F.when(F.col("conflict"), F.greatest(F.lit(20), F.col("confidence") - 40)).otherwise(F.col("confidence"))).withColumn("data_quality", F.when(F.col("conflict"), "degraded_lvr_overlaps"))
+
+
 def states(components: DataFrame) -> DataFrame:
     """A row per product and captured state.  The first component gives provenance; bands
     whose rates differ cost 40 points of confidence (20 at least are left)."""
-    b = bands(components).groupBy("product_id", "loan_type", "repayment").agg(
-        F.bool_or("conflict").alias("conflict"),
-        F.count("*").alias("n_bands"),
-        F.array_sort(F.collect_list(F.struct("lvr_min", "lvr_max", "interest_rate", "comparison_rate"))).alias("rate_tiers"),
-    )
-    p = with_state(components).groupBy("product_id", "loan_type", "repayment").agg(first_by(F.col("extraction_method"), F.col("idx")).alias("extraction_method"), first_by(F.col("confidence"), F.col("idx")).alias("confidence"))
-    j = b.join(p, ["product_id", "loan_type", "repayment"])
-    return j.withColumn("confidence", F.when(F.col("conflict"), F.greatest(F.lit(20), F.col("confidence") - 40)).otherwise(F.col("confidence"))).withColumn("data_quality", F.when(F.col("conflict"), "degraded_lvr_overlaps"))
+    return _captured(components).drop("rate_type", "fixed_term_months")
 
 
 def theoretical(products: DataFrame) -> DataFrame:
@@ -128,16 +137,23 @@ def theoretical(products: DataFrame) -> DataFrame:
     return products.select("*", F.explode(cells).alias("_s")).select("*", "_s.*").drop("_s")
 
 
-def closed_world(components: DataFrame) -> DataFrame:
+def closed_world(components: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """All four states of every product: captured ones, and null-priced ones marked as not
-    attempted.  If any is missing, captured ones lose 20 points (30 at least are left)."""
-    s = states(components)
-    kinds = components.groupBy("product_id").agg(first_by(F.col("rate_type"), F.col("idx")).alias("rate_type"), first_by(F.col("fixed_term_months"), F.col("idx")).alias("fixed_term_months"))
-    full = theoretical(kinds).join(s, ["product_id", "loan_type", "repayment"], "left")
-    have = F.col("n_bands").isNotNull()
-    partial = F.count("n_bands").over(Window.partitionBy("product_id")) < 4
+    attempted.  If any is missing, captured ones lose 20 points (30 at least are left).
+
+    ``keep`` names columns that are constant in a product.  The four cells are looked up in
+    the product's own captured states, so there is no join.
+    """
+    own = F.struct("loan_type", "repayment", "n_bands", "rate_tiers", "confidence", "extraction_method", "data_quality")
+    kinds = _captured(components, keep).groupBy("product_id", *keep, "rate_type", "fixed_term_months").agg(F.collect_list(own).alias("_own"))
+    cell = F.element_at(F.filter("_own", lambda x: (x["loan_type"] == F.col("loan_type")) & (x["repayment"] == F.col("repayment"))), 1)
+    full = theoretical(kinds).withColumn("_partial", F.size("_own") < len(LOANS) * len(REPAYMENTS))
+    full = full.withColumn("_cell", F.when(F.exists("_own", lambda x: (x["loan_type"] == F.col("loan_type")) & (x["repayment"] == F.col("repayment"))), cell))
+    full = full.select("product_id", *keep, "loan_type", "repayment", "state_order", "rate_type", "fixed_term_months", "_partial", *[F.col(f"_cell.{c}").alias(c) for c in ("n_bands", "rate_tiers", "confidence", "extraction_method", "data_quality")])
+    have, partial = F.col("n_bands").isNotNull(), F.col("_partial")
     return full.select(
         "product_id",
+        *keep,
         "loan_type",
         "repayment",
         "state_order",
@@ -160,9 +176,21 @@ def missing_states(components: DataFrame, key: str = "lender") -> DataFrame:
     """Loan type x repayment x rate type over the axes a lender (or product) shows, less what
     its components cover: the null-priced placeholders."""
     c = with_state(components)
-    axis = lambda n: c.select(key, n).distinct()
-    grid = axis("loan_type").join(axis("repayment"), key).join(axis("rate_type"), key)
-    return grid.join(c.select(key, "loan_type", "repayment", "rate_type").distinct(), [key, "loan_type", "repayment", "rate_type"], "left_anti")
+    axes = ("loan_type", "repayment", "rate_type")
+    # a key's axes and cells are few: one aggregate, its grid exploded from its own sets
+    own = c.groupBy(key).agg(*[F.collect_set(a).alias(f"_{a}") for a in axes], F.collect_set(F.struct(*axes)).alias("_have"))
+    grid = own
+    for a in axes:
+        grid = grid.withColumn(a, F.explode(f"_{a}"))
+    return grid.where(~F.exists("_have", lambda x: (x["loan_type"] == F.col("loan_type")) & (x["repayment"] == F.col("repayment")) & (x["rate_type"] == F.col("rate_type")))).select(key, *axes)
+
+
+def complete_matrix(components: DataFrame, key: str = "lender") -> DataFrame:
+    """The components with a placeholder for every missing state: no rates, no band, confidence 0,
+    method "not_available"."""
+    c = with_state(components).withColumn("capture_status", F.lit("captured"))
+    hole = missing_states(components, key).select(key, "loan_type", "repayment", "rate_type", F.lit("not_available").alias("extraction_method"), F.lit(0).alias("confidence"), F.lit("not_available").alias("capture_status"))
+    return c.unionByName(hole, allowMissingColumns=True)
 
 
 def option_product(axes: DataFrame, skip: tuple = ("region_residency", "borrower_category")) -> DataFrame:

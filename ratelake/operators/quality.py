@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
@@ -54,37 +54,73 @@ def passes(product_id: Column, name: Column, n_components: Column, rate: Column,
     return (F.coalesce(product_id.cast("string"), F.lit("")) != "") & (F.coalesce(name, F.lit("")) != "") & (n_components >= 1) & F.coalesce((rate > lo) & (rate <= hi), F.lit(False))
 
 
+def findings(products: DataFrame, tiers: DataFrame) -> DataFrame:
+    """``products`` with ``findings``, an array of (check, severity, kind, confidence_penalty,
+    completeness_penalty): all checks of the verification gate in one row per product.
+
+    products(product_id, slug, rate_type, fixed_term_years, inv, io), the last two priced
+    states of investment loans and of interest only; tiers(product_id, loan_type, repayment, idx,
+    lvr_min, lvr_max, interest_rate, comparison_rate).
+    """
+    t = tiers.repartition("product_id")
+    band = Window.partitionBy("product_id", "loan_type", "repayment", "lvr_min", "lvr_max").orderBy("idx")
+    t = t.withColumn("_clash", F.col("interest_rate") != F.first("interest_rate").over(band))
+    state = t.groupBy("product_id", "loan_type", "repayment").agg(F.count_if("_clash").alias("_c"), F.bool_or(F.coalesce("comparison_rate", F.lit(0.0)) == 0).alias("_b"))
+    per = state.groupBy("product_id").agg(F.sum("_c").alias("_clashes"), F.count_if("_b").alias("_bare"))
+
+    def finding(times, check, severity, kind, confidence, completeness):
+        one = F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence_penalty"), F.lit(completeness).alias("completeness_penalty"))
+        return F.array_repeat(one, F.coalesce(times.cast("int"), F.lit(0)))
+
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    every = F.concat(
+        finding(~P.is_slug(F.col("slug")), "slug", "critical", "schema", 10, 0),
+        finding(F.col("_clashes"), "band_conflict", "critical", "data_integrity", 40, 0),
+        finding(n("inv") < 2, "missing_investment", "warning", "completeness", 20, 20),
+        finding(n("io") < 2, "missing_interest_only", "warning", "completeness", 20, 20),
+        finding((F.col("rate_type") == "Fixed") & F.col("fixed_term_years").isNull(), "fixed_term", "critical", "schema", 20, 20),
+        finding(F.col("_bare"), "comparison_rate", "warning", "completeness", 10, 10),
+    )
+    return products.join(per, "product_id", "left").withColumn("findings", every).drop("_clashes", "_bare")
+
+
+def priced(states: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per product how many states of investment loans (inv) and interest only (io) are priced."""
+    return states.groupBy("product_id", *keep).agg(F.count_if((F.col("loan_type") == "Investment") & F.col("priced")).alias("inv"), F.count_if((F.col("repayment") == "InterestOnly") & F.col("priced")).alias("io"))
+
+
+def listed(found: DataFrame) -> DataFrame:
+    """A row per finding."""
+    return found.select("lender", "product_id", F.inline("findings"))
+
+
 def issues(products: DataFrame, states: DataFrame, tiers: DataFrame) -> DataFrame:
     """Findings of the verification gate, one row each, with penalties.
 
     products(lender, product_id, slug, rate_type, fixed_term_years), states(product_id,
-    loan_type, repayment, priced), tiers(product_id, loan_type, repayment, idx, lvr_min,
-    lvr_max, interest_rate, comparison_rate) of priced states.
+    loan_type, repayment, priced), tiers as in ``findings``, of priced states.
     """
-
-    def finding(df, check, severity, kind, confidence, completeness):
-        return df.select("lender", "product_id", F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence_penalty"), F.lit(completeness).alias("completeness_penalty"))
-
-    who = products.select("lender", "product_id")
-    bad_slug = finding(products.where(~P.is_slug(F.col("slug"))), "slug", "critical", "schema", 10, 0)
-    band = ["product_id", "loan_type", "repayment", "lvr_min", "lvr_max"]
-    first = tiers.groupBy(*band).agg(first_by(F.col("interest_rate"), F.col("idx")).alias("_f"))
-    clash = finding(tiers.join(first, band).where("interest_rate <> _f").join(who, "product_id"), "band_conflict", "critical", "data_integrity", 40, 0)
-    got = states.groupBy("product_id").agg(F.count_if((F.col("loan_type") == "Investment") & F.col("priced")).alias("inv"), F.count_if((F.col("repayment") == "InterestOnly") & F.col("priced")).alias("io"))
-    known = who.join(got, "product_id", "left")
-    no_inv = finding(known.where("coalesce(inv, 0) < 2"), "missing_investment", "warning", "completeness", 20, 20)
-    no_io = finding(known.where("coalesce(io, 0) < 2"), "missing_interest_only", "warning", "completeness", 20, 20)
-    no_term = finding(products.where("rate_type = 'Fixed' AND fixed_term_years IS NULL"), "fixed_term", "critical", "schema", 20, 20)
-    bare = tiers.groupBy("product_id", "loan_type", "repayment").agg(F.bool_or(F.coalesce("comparison_rate", F.lit(0.0)) == 0).alias("_b")).where("_b")
-    no_comparison = finding(bare.join(who, "product_id"), "comparison_rate", "warning", "completeness", 10, 10)
-    out = bad_slug
-    for x in (clash, no_inv, no_io, no_term, no_comparison):
-        out = out.unionByName(x)
-    return out
+    return listed(findings(products.join(priced(states), "product_id", "left"), tiers))
+
+
+def scorecard(found: DataFrame, lenders: DataFrame) -> DataFrame:
+    """Scores and status per lender, from one pass over ``findings``; a lender without
+    products scores 0."""
+    total = lambda f: F.sum(F.aggregate("findings", F.lit(0), f))
+    per = found.groupBy("lender").agg(
+        F.count("*").alias("n_products"),
+        F.sum(F.size("findings")).alias("n_issues"),
+        total(lambda n, x: n + (x["severity"] == "critical").cast("int")).alias("n_critical"),
+        total(lambda n, x: n + (x["severity"] == "warning").cast("int")).alias("n_warnings"),
+        F.count_if(F.size("findings") > 0).alias("products_with_issues"),
+        total(lambda n, x: n + x["confidence_penalty"]).alias("c"),
+        total(lambda n, x: n + x["completeness_penalty"]).alias("k"),
+    )
+    return _scored(per.join(lenders.select("lender").distinct(), "lender", "full"))
 
 
 def verify(products: DataFrame, found: DataFrame, lenders: DataFrame) -> DataFrame:
-    """Scores and status per lender; a lender without products scores 0."""
+    """The same from products(lender, ...) and one row per finding (``issues``)."""
     n = products.groupBy("lender").agg(F.count("*").alias("n_products"))
     p = found.groupBy("lender").agg(
         F.count("*").alias("n_issues"),
@@ -94,7 +130,10 @@ def verify(products: DataFrame, found: DataFrame, lenders: DataFrame) -> DataFra
         F.sum("confidence_penalty").alias("c"),
         F.sum("completeness_penalty").alias("k"),
     )
-    j = lenders.select("lender").join(n, "lender", "left").join(p, "lender", "left")
+    return _scored(lenders.select("lender").join(n, "lender", "left").join(p, "lender", "left"))
+
+
+def _scored(j: DataFrame) -> DataFrame:
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     none = F.col("n_products").isNull()
     score = lambda c: F.when(none, 0).otherwise(F.greatest(F.lit(0), 100 - F.coalesce(c, F.lit(0)))).cast("int")
@@ -110,10 +149,12 @@ def verify(products: DataFrame, found: DataFrame, lenders: DataFrame) -> DataFra
 
 
 def quarantine(products: DataFrame, verification: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(kept, quarantined with reason), both without collecting: two filters of one join."""
-    j = products.join(verification.select("lender", "status", F.col("confidence").alias("lender_confidence")), "lender")
+    """(kept, quarantined with reason and report), both without collecting: two filters of one
+    join.  The report is the lender's verification row."""
+    report = F.struct(*[c for c in verification.columns if c != "lender"])
+    j = products.join(verification.select("lender", "status", F.col("confidence").alias("lender_confidence"), report.alias("report")), "lender")
     reason = F.concat(F.lit("confidence "), F.col("lender_confidence").cast("string"))
-    return j.where("status <> 'quarantined'"), j.where("status = 'quarantined'").withColumn("reason", reason)
+    return j.where("status <> 'quarantined'").drop("report"), j.where("status = 'quarantined'").withColumn("reason", reason)
 
 
 def done_checks(products: DataFrame, states: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -25,11 +25,10 @@ def select_strategy(rows: DataFrame, keys: list[str], strategy: str = "strategy"
 
 
 def first_wins(rows: DataFrame, keys: list, order: list) -> DataFrame:
-    """The first row of each key in a total order."""
-    o = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
-    cols = rows.columns
-    one = rows.groupBy(*keys).agg(F.min_by(F.struct(*cols), o).alias("_r"))
-    return one.select("_r.*")
+    """The first row of each key in a total order.  A rank of one, so each task sends one row
+    of a key at most (a window group limit)."""
+    named = [F.col(c) if isinstance(c, str) else c for c in order]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*named))).where("_n = 1").drop("_n")
 
 
 def product_key(product_id: Column, name: Column, rate: Column, state: Column) -> Column:
@@ -53,7 +52,7 @@ def merge_by_name(products: DataFrame, components: DataFrame) -> tuple[DataFrame
     products(product_id, lender, name, seq), components(product_id, idx, ckey, ...).
     """
     p = products.withColumn("base_name", P.base_name(F.col("name")))
-    merged = p.groupBy("lender", "base_name").agg(F.min(F.struct("seq", "product_id"))["product_id"].alias("merged_id"), F.count("*").alias("n_variants"))
+    merged = p.groupBy("lender", "base_name").agg(F.min_by("product_id", "seq").alias("merged_id"), F.count("*").alias("n_variants"))
     back = p.join(merged, ["lender", "base_name"]).select("product_id", "merged_id", "seq")
     united = first_wins(components.join(back, "product_id"), ["merged_id", "ckey"], ["seq", "idx"])
     return merged, united

@@ -15,9 +15,7 @@ from .registry import query
 
 c = F.col
 
-#: every part is an option; the SQL still reads the keys below 1500 only
-_ALL_OPT = "SELECT p_size AS page_id, CAST(p_partkey % 3 AS INT) AS container, p_partkey AS idx, CASE p_partkey % 9 WHEN 0 THEN 'Owner Occupied' WHEN 1 THEN 'owner occupied ' WHEN 2 THEN 'Please choose' WHEN 3 THEN 'Fixed' WHEN 4 THEN 'Variable' WHEN 5 THEN 'NSW' WHEN 6 THEN 'zzz' WHEN 7 THEN 'FIXED' ELSE p_name END AS text FROM {part}"
-_OPT = f"{_ALL_OPT} WHERE p_partkey < 1500"
+_OPT = "SELECT p_size AS page_id, CAST(p_partkey % 3 AS INT) AS container, p_partkey AS idx, CASE p_partkey % 9 WHEN 0 THEN 'Owner Occupied' WHEN 1 THEN 'owner occupied ' WHEN 2 THEN 'Please choose' WHEN 3 THEN 'Fixed' WHEN 4 THEN 'Variable' WHEN 5 THEN 'NSW' WHEN 6 THEN 'zzz' WHEN 7 THEN 'FIXED' ELSE p_name END AS text FROM {part}"
 _DISTINCT = f"d AS (SELECT page_id, container, min(idx) AS idx, arg_min(text, idx) AS text FROM ({D.sql(_OPT)}) WHERE NOT regexp_matches(lower(text), 'select|please') AND trim(text) <> '' GROUP BY page_id, container, lower(trim(text)))"
 
 
@@ -25,7 +23,7 @@ _DISTINCT = f"d AS (SELECT page_id, container, min(idx) AS idx, arg_min(text, id
 v AS (SELECT page_id, container, axis, row_number() OVER (PARTITION BY page_id, container ORDER BY count(*) DESC, axis) AS k FROM a WHERE axis IS NOT NULL GROUP BY 1, 2, 3)
 SELECT page_id, container, options, axis, axis IS NOT NULL AS known, coalesce(axis, '') NOT IN ('region_residency', 'borrower_category') AS pricing FROM g LEFT JOIN (SELECT page_id, container, axis FROM v WHERE k = 1) USING (page_id, container) WHERE n > 1""")
 def option_groups(spark, sf):
-    g = controls.groups(D.derive(spark, sf, _ALL_OPT))
+    g = controls.groups(D.derive(spark, sf, _OPT))
     return g.withColumn("options", F.array_join("options", "|"))
 
 
@@ -48,10 +46,10 @@ def radio_labels(spark, sf):
     return p.select(k.alias("id"), controls.radio_label(F.when(k % 2 == 0, c("p_brand")), F.when(k % 3 == 0, F.lit(" ")), F.when(k % 5 == 0, c("p_type")), F.lit(None).cast("string"), c("p_name")).alias("label"), controls.label_axis(c("p_name")).alias("axis"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 400 AS source, l_suppkey % 400 AS target FROM lineitem WHERE l_orderkey % 40 = 0), r(state, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT target, depth + 1 FROM r JOIN e ON source = state WHERE depth < 5)
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS source, l_suppkey AS target FROM lineitem), r(state, depth) AS (SELECT 7::BIGINT, 0 UNION SELECT target, depth + 1 FROM r JOIN e ON source = state WHERE depth < 5)
 SELECT state, min(depth)::INT AS depth FROM r GROUP BY state""")
 def state_paths(spark, sf):
-    """Every line item is an edge; the SQL still reads one order in forty, its ids folded by 400."""
+    """Every line item is an edge."""
     e = table(spark, sf, "lineitem").select(c("l_partkey").alias("source"), c("l_suppkey").alias("target")).distinct()
     return controls.reachable_states(e, spark.range(7, 8).select(c("id").alias("state")))
 

@@ -337,18 +337,19 @@ UNION ALL SELECT lender, product_id, 'comparison_rate', 'warning', 'completeness
 
 
 def _gate(spark, sf):
+    """(products with priced states, the closed world, tiers), each from one pass over components."""
     k = components(spark, sf)
-    kinds = k.groupBy("product_id", "lender").agg(pricing.first_by(c("rate_type"), c("idx")).alias("rate_type"), pricing.first_by(c("fixed_term_months"), c("idx")).alias("m"))
     slug = F.when(c("product_id") % 9 == 0, F.concat(F.lit("Bad_"), c("product_id").cast("string"))).otherwise(F.concat(F.lit("p-"), c("product_id").cast("string")))
-    p = kinds.select("product_id", "lender", slug.alias("slug"), "rate_type", P.fixed_years(c("rate_type"), c("m")).alias("fixed_term_years"))
-    world = pricing.closed_world(k).select("product_id", "loan_type", "repayment", "priced")
+    world = pricing.closed_world(k, keep=("lender",)).withColumn("slug", slug)
+    p = quality.priced(world, ("lender", "slug", "rate_type", "fixed_term_years"))
     tiers = pricing.with_state(k).select("product_id", "loan_type", "repayment", "idx", F.coalesce("lvr_min", F.lit(0.0)).alias("lvr_min"), F.coalesce("lvr_max", F.lit(0.8)).alias("lvr_max"), "interest_rate", "comparison_rate")
-    return p, world, tiers, quality.issues(p, world, tiers)
+    return p, world, tiers
 
 
 @query(f'WITH {_GATE} SELECT lender, product_id, "check", severity, kind, confidence_penalty, completeness_penalty FROM i')
 def quality_issues(spark, sf):
-    return _gate(spark, sf)[3]
+    p, _, tiers = _gate(spark, sf)
+    return quality.listed(quality.findings(p, tiers))
 
 
 _SUMMARY = f"""{_GATE}, ln AS (SELECT DISTINCT lender FROM pr UNION SELECT 'Lender none'), n AS (SELECT lender, count(*) AS n_products FROM pr GROUP BY 1),
@@ -358,9 +359,8 @@ v AS (SELECT lender, coalesce(n_products, 0) AS n_products, coalesce(n_issues, 0
 
 
 def _verdict(spark, sf):
-    p, _, _, found = _gate(spark, sf)
-    lenders = p.select("lender").distinct().unionByName(spark.range(1).select(F.lit("Lender none").alias("lender")))
-    return p, quality.verify(p, found, lenders)
+    p, _, tiers = _gate(spark, sf)
+    return p, quality.scorecard(quality.findings(p, tiers), spark.range(1).select(F.lit("Lender none").alias("lender")))
 
 
 @query(f"WITH {_SUMMARY} SELECT *, CASE WHEN confidence < 40 THEN 'quarantined' WHEN confidence < 70 THEN 'warning' ELSE 'passed' END AS status FROM v")
@@ -377,7 +377,7 @@ def quarantine_split(spark, sf):
 d AS (SELECT 'four_states' AS "check", count(*) AS checked, count(*) FILTER (n < 4) AS failed FROM a UNION ALL SELECT 'id_charset', count(*), count(*) FILTER (NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')) FROM pr
 UNION ALL SELECT 'band_conflicts', count(*), count(*) FILTER (x) FROM b2 UNION ALL SELECT 'fixed_terms', count(*), count(*) FILTER (years IS NULL) FROM pr WHERE rate_type = 'Fixed') SELECT *, failed = 0 AS passed FROM d""")
 def done_checks(spark, sf):
-    p, world, tiers, _ = _gate(spark, sf)
+    p, world, tiers = _gate(spark, sf)
     return quality.done_checks(p, world, tiers)
 
 
@@ -391,15 +391,13 @@ def borrower_metrics(spark, sf):
 
 
 _APPS = "SELECT c_custkey AS app_id, c_mktsegment AS segment, CAST(60000 + c_custkey % 1000 * 100 AS DOUBLE) AS income, CAST(c_custkey % 700 AS DOUBLE) AS debts, CAST(200000 + c_custkey % 37 * 10000 AS DOUBLE) AS amount, CAST(500000 + c_custkey % 11 * 20000 AS DOUBLE) AS value, 360 AS months FROM {customer}"
-#: every supplier is an offer; the SQL still reads the first 25 only
-_ALL_OFFERS = "SELECT s_suppkey AS offer_id, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS segment, CAST(3 + s_nationkey % 5 AS DOUBLE) AS rate, CAST(60 + s_nationkey % 4 * 10 AS DOUBLE) AS offer_max_lvr FROM {supplier}"
-_OFFERS = f"{_ALL_OFFERS} WHERE s_suppkey <= 25"
+_OFFERS = "SELECT s_suppkey AS offer_id, CASE s_suppkey % 5 WHEN 0 THEN 'AUTOMOBILE' WHEN 1 THEN 'BUILDING' WHEN 2 THEN 'FURNITURE' WHEN 3 THEN 'MACHINERY' ELSE 'HOUSEHOLD' END AS segment, CAST(3 + s_nationkey % 5 AS DOUBLE) AS rate, CAST(60 + s_nationkey % 4 * 10 AS DOUBLE) AS offer_max_lvr FROM {supplier}"
 
 
 @query(f"""WITH j AS (SELECT app_id, offer_id, amount / value * 100 AS lvr, amount * (rate / 1200) / (1 - pow(1 + rate / 1200, -months)) AS payment, income / 12 * 0.7::DOUBLE - debts AS free, offer_max_lvr FROM ({D.sql(_APPS)}) a JOIN ({D.sql(_OFFERS)}) o USING (segment))
 SELECT app_id, offer_id, round(lvr, 4) AS lvr, round(payment, 4) AS payment, greatest(0.0, least(100.0, round(100 * (1 - payment / free), 4)))::DOUBLE AS score FROM j WHERE lvr <= least(offer_max_lvr, 95.0) AND payment <= free""")
 def product_match(spark, sf):
-    return matching.match(D.derive(spark, sf, _APPS), D.derive(spark, sf, _ALL_OFFERS))
+    return matching.match(D.derive(spark, sf, _APPS), D.derive(spark, sf, _OFFERS))
 
 
 # streaming
