@@ -156,6 +156,28 @@ def _claims(doc: np.ndarray, a: np.ndarray, b: np.ndarray, src: np.ndarray, at:
     return [doc[head], s, e, src[head], s + far[head]]
 
 
+def _cover(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Intervals, by place in arrays sorted by document and start, that hold every LENGTH-byte
+    window that any holds: few of them (a periodic text claims each byte many times)."""
+    keep, of, reach, best, far = [], None, 0, -1, 0  # windows that begin before reach are held
+    for i, (d, s, e) in enumerate(zip(doc.tolist(), a.tolist(), (b - LENGTH + 1).tolist())):
+        if d != of:
+            if far > reach:
+                keep.append(best)
+            of, reach, best, far = d, s, i, e
+            continue
+        if s > reach:
+            if far > reach:
+                keep.append(best)
+                reach = far
+            reach = max(reach, s)
+        if e > far:
+            best, far = i, e
+    if far > reach:
+        keep.append(best)
+    return keep
+
+
 def _batch(names: str, cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=names.split())
 
@@ -265,14 +287,18 @@ def settle(rows: DataFrame) -> DataFrame:
 
 
 def merged(claims: DataFrame) -> DataFrame:
-    """Claims (doc, a, b, src, at) of neighbouring fragments as one."""
+    """Claims (doc, a, b, src, at) of neighbouring fragments as one, without those that others
+    make needless."""
 
     def run(batches):
-        for b in batches:
-            yield _batch("doc a b src at", _claims(*(c.to_numpy() for c in b.columns)))
+        for batch in batches:
+            doc, a, b, src, at = _claims(*(c.to_numpy() for c in batch.columns))
+            o = np.lexsort((-b, a, doc))
+            o = o[_cover(doc[o], a[o], b[o])]
+            yield _batch("doc a b src at", [x[o] for x in (doc, a, b, src, at)])
 
     c = claims.select("doc", "a", "b", "src", "at")
-    return c.repartition("doc").sortWithinPartitions("doc", "src", "a").mapInArrow(run, "doc long, a long, b long, src long, at long")
+    return c.repartition("doc").sortWithinPartitions("doc", "a", "src").mapInArrow(run, "doc long, a long, b long, src long, at long")
 
 
 def sort_rotations(text: np.ndarray, depth: int = LENGTH + 1) -> np.ndarray:

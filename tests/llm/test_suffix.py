@@ -196,3 +196,15 @@ def test_settling_by_batches_and_tasks(spark, monkeypatch, size, many):
             for d, a in set(places) - {min(places)}:
                 gone = any(s <= a - 10 and a + X.KMER + 60 <= e for s, e in covered.get(d, []))
                 assert gone or (h, d, a) in went
+
+
+def test_cover_holds_every_window_with_few_intervals():
+    rnd = random.Random(2)
+    for _ in range(300):
+        rows = sorted((rnd.randrange(3), s := rnd.randrange(400), s + X.LENGTH + rnd.randrange(90)) for _ in range(rnd.randint(0, 40)))
+        doc, a, b = (np.array(c, np.int64) for c in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
+        keep = X._cover(doc, a, b)
+        windows = lambda which: {(int(doc[i]), w) for i in which for w in range(a[i], b[i] - X.LENGTH + 1)}
+        assert windows(keep) == windows(range(len(rows))) and len(set(keep)) == len(keep)
+    n = 1000  # a period of three: one in about twenty is enough
+    assert len(X._cover(np.zeros(n, np.int64), np.arange(n) * 3, np.arange(n) * 3 + 168)) < 60
