@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ratelake.llm import decontaminate, mixing, simhash, suffix, toxicity
-from ratelake.llm.common import forget, save, table
+from ratelake.llm.common import forget, save, scratch, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs, path = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with scratch() as keep:  # a stage's intermediate tables go when its output is written
+            docs, path = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            keep.append(path)
         if before:
             forget(spark, before)
         before = path

@@ -99,6 +99,15 @@ class Lexicon:
         """``override(loan_type={"max_words": 6})``"""
         return Lexicon(self.categories | {k: replace(self.categories[k], **v) for k, v in fields.items()})
 
+    def loaded(self, data: dict) -> "Lexicon":
+        """With the categories of a vocabulary file: phrases (or keywords), patterns, exclusions,
+        label_keywords and max_words."""
+        new = {}
+        for name, c in data.items():
+            words = lambda *keys: tuple(str(w).lower() for k in keys for w in c.get(k) or ())  # noqa: E731, B023
+            new[name] = Category(words("phrases", "keywords"), words("patterns"), words("exclusions"), words("label_keywords"), int(c["max_words"]) if c.get("max_words") else None)
+        return Lexicon(self.categories | new)
+
     def labels(self, category: str) -> tuple:
         return self.categories[category].labels
 

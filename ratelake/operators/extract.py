@@ -246,7 +246,7 @@ def embedded_state(pages: DataFrame, id_col: str = "page_id") -> DataFrame:
 def compare_cards(cards: DataFrame) -> DataFrame:
     """cards(card_id, element_id, heading, head, cells array<struct<name, text>>): two rates by
     cell name; the comparison rate defaults to the advertised one."""
-    cell = lambda pat: F.try_element_at(F.filter(F.transform(F.filter("cells", lambda c: F.lower(c["name"]).rlike(pat)), lambda c: P.number(c["text"], r"(\d+\.?\d*)\s*%")), lambda x: x.isNotNull()), F.lit(1))
+    cell = lambda pat: F.try_element_at(F.filter(F.transform(F.filter("cells", lambda c: F.lower(c["name"]).rlike(pat)), lambda c: P.number(c["text"], r"(\d+\.?\d*)")), lambda x: x.isNotNull()), F.lit(1))
     name = F.coalesce(F.nullif(F.col("heading"), F.lit("")), F.nullif(F.col("head"), F.lit("")), P.title_from_id(F.col("element_id")))
     c = cards.select("card_id", name.alias("name"), cell("^(?!.*comparison).*rate").alias("rate"), cell("comparison").alias("comparison_rate"))
     return c.where("rate > 0").select("card_id", "name", "rate", F.coalesce("comparison_rate", "rate").alias("comparison_rate"), P.rate_type_of_name(F.col("name")).alias("rate_type"))
@@ -265,13 +265,53 @@ def options(html: Column) -> Column:
     return F.filter(every, lambda t: F.lower(t).rlike(r"%\s*p\.a") & ~P.is_placeholder(t))
 
 
-def lvr_table(rows: DataFrame) -> DataFrame:
-    """rows(table_id, row_idx, label, rate): bands of tier tables.  "≤ x" starts where the
+def _cell_text(html: Column) -> Column:
+    t = F.regexp_replace(html, r"(?s)<[^>]*>", " ")
+    for code, char in (("&le;", "≤"), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&")):
+        t = F.replace(t, F.lit(code), F.lit(char))
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
+
+
+def tier_rows(pages: DataFrame) -> DataFrame:
+    """(page_id, table_idx, row_idx, label, rate, fixed_term_months): the rows of a page's tier
+    tables.  Such a table speaks of ratios and rates, and of ratios or tiers in its first
+    row; its others have the tier and the rate in their first two cells."""
+    every = lambda h, tag: F.regexp_extract_all(h, F.lit(rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"), F.lit(1))
+    t = pages.select("page_id", F.posexplode(every(F.col("html"), "table")).alias("table_idx", "body"))
+    t = t.select("page_id", "table_idx", F.lower(_cell_text(F.col("body"))).alias("text"), every(F.col("body"), "tr").alias("rows"))
+    head = F.lower(_cell_text(F.col("rows")[0]))
+    t = t.where((F.col("text").contains("lvr") | F.col("text").contains("loan to value")) & (F.col("text").contains("rate") | F.col("text").contains("%")))
+    t = t.where((F.size("rows") >= 2) & (head.contains("lvr") | head.contains("tier")))
+    r = t.select("page_id", "table_idx", F.posexplode(F.slice("rows", F.lit(2), F.size("rows"))).alias("row_idx", "row"))
+    r = r.select("page_id", "table_idx", "row_idx", F.transform(every(F.col("row"), "t[dh]"), _cell_text).alias("c")).where(F.size("c") >= 2)
+    tier = F.col("c")[0]
+    term = F.coalesce(P.number(F.lower(tier), r"(\d+)\s*year") * 12, P.number(F.lower(tier), r"(\d+)\s*month")).cast("int")
+    r = r.select("page_id", "table_idx", "row_idx", F.regexp_extract(tier, r"([≤<>]|Index)\s*(\d+)?%?", 0).alias("label"), P.number(F.col("c")[1], r"([\d.]+)%").alias("rate"), term.alias("fixed_term_months"))
+    return r.where("label <> '' AND rate IS NOT NULL")
+
+
+def dropdown_products(pages: DataFrame, lender: str) -> DataFrame:
+    """The rates of a page's tier tables and of its rate selects, a row per component: (page_id,
+    source, base_name, name, rate, rate_type, lvr_min, lvr_max, fixed_term_months).  Rows of
+    one base name are one product; a component that repeats counts once."""
+    rows = tier_rows(pages).withColumn("table_id", F.struct("page_id", "table_idx"))
+    t = lvr_table(rows, ("label", "fixed_term_months"))
+    base = F.lit(f"{lender} Variable Rate")
+    tables = t.select("table_id.page_id", F.lit("table").alias("source"), base.alias("base_name"), F.concat_ws(" - ", base, F.when(F.col("rate_type") == "VariableIndex", "Index rate").otherwise(F.col("label"))).alias("name"), "rate", "rate_type", "lvr_min", "lvr_max", "fixed_term_months")
+    selects = F.regexp_extract_all("html", F.lit(r"(?is)<select[^>]*id=\"[^\"]*(?:interest|rate)[^\"]*\"[^>]*>(.*?)</select>"), F.lit(1))
+    text = pages.select("page_id", F.explode(selects).alias("s")).select("page_id", F.explode(options(F.col("s"))).alias("t"))
+    o = text.withColumn("o", P.option(F.col("t"))).where("o IS NOT NULL")
+    chosen = o.select("page_id", F.lit("select").alias("source"), P.base_name(F.col("o.name")).alias("base_name"), "o.name", "o.rate", "o.rate_type", "o.lvr_min", "o.lvr_max", P.ui_term_months(F.col("t")).alias("fixed_term_months"))
+    return tables.unionByName(chosen).distinct()
+
+
+def lvr_table(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """rows(table_id, row_idx, label, rate): bands of tier tables, with the columns ``keep``.  "≤ x" starts where the
     highest bound so far ends, "> x" runs to 1 exclusive, index rows cover all; tables of one
     tier are no tier tables."""
     # generated from one array, so a label is parsed once, not once for each use and filter
     found = F.filter(F.array(P.band_parts(F.col("label"))), P.is_band)
-    t = rows.where("rate IS NOT NULL").select("table_id", "row_idx", "rate", F.inline(found))
+    t = rows.where("rate IS NOT NULL").select("table_id", "row_idx", "rate", *keep, F.inline(found))
     t = t.withColumn("lvr_max", F.when(F.col("kind").isin("gt", "index"), 1.0).otherwise(F.col("bound")))
     w = Window.partitionBy("table_id").orderBy("row_idx")
     before = F.coalesce(F.max("lvr_max").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -279,23 +319,47 @@ def lvr_table(rows: DataFrame) -> DataFrame:
     kind = F.when(F.col("kind") == "index", "VariableIndex").otherwise("Variable")
     # a table has several tiers where one stands before or after
     several = F.lag(F.lit(True)).over(w).isNotNull() | F.lead(F.lit(True)).over(w).isNotNull()
-    out = t.select("table_id", "row_idx", low.alias("lvr_min"), "lvr_max", F.col("kind").isin("gt", "lt").alias("lvr_exclusive_max"), "rate", kind.alias("rate_type"), several.alias("_n"))
+    out = t.select("table_id", "row_idx", *keep, low.alias("lvr_min"), "lvr_max", F.col("kind").isin("gt", "lt").alias("lvr_exclusive_max"), "rate", kind.alias("rate_type"), several.alias("_n"))
     return out.where("_n").drop("_n")
 
 
 # search results
 
 
-def result_urls(html: Column, engine: str) -> Column:
-    """Links of a search page: redirects unwrapped, engine and social domains left out, first
-    of equals kept."""
-    hrefs = F.regexp_extract_all(html, F.lit(r"(?i)href=\"([^\"]+)\""), F.lit(1))
-    wrapped = {"google": r"/url\?q=(https?://[^&]+)", "yahoo": r"/RU=(https?[^/]+)"}.get(engine)
+# How engines wrap links, domains left out when unwrapped, and when plain.
+ENGINES = {
+    "google": ("/url?q=", r"/url\?q=(https?://[^&]+)", ("google.com", "youtube.com", "facebook.com", "maps.google"), ("google.com",)),
+    "bing": (None, None, (), ("bing.com", "microsoft.com")),
+    "yahoo": ("/u=", r"/u=(https?://[^&]+)", ("yahoo.com", "google.com", "youtube.com", "facebook.com"), ("yahoo.com",)),
+}
 
-    def unwrap(u):
-        return F.coalesce(F.try_url_decode(F.nullif(F.regexp_extract(u, wrapped, 1), F.lit(""))), u) if wrapped else u
 
-    return F.array_distinct(F.filter(F.transform(hrefs, unwrap), P.is_content_url))
+def result_urls(html: Column, engine: str) -> Column:
+    """Links of a search page: redirects unwrapped, the engine's and social domains left out,
+    first of equals kept; of other engines the links to content."""
+    hrefs = F.regexp_extract_all(html, F.lit(r"(?i)href=\"([^\"]+)\""), F.lit(1))
+    if engine not in ENGINES:
+        return F.array_distinct(F.filter(hrefs, P.is_content_url))
+    mark, pattern, not_wrapped, not_plain = ENGINES[engine]
+    free = lambda u, domains: ~P.has_any(u, domains)
+
+    def link(u):
+        plain = F.when(u.startswith("http") & free(u, not_plain), u)
+        if mark is None:
+            return plain
+        target = F.nullif(F.regexp_extract(u, pattern, 1), F.lit(""))
+        target = F.coalesce(F.try_url_decode(target), target)
+        return F.when(u.contains(mark), F.when(free(target, not_wrapped), target)).otherwise(plain)
+
+    return F.array_distinct(F.array_compact(F.transform(hrefs, link)))
+
+
+def serp_links(pages: DataFrame) -> DataFrame:
+    """(page_id, engine, position, url) of captured search pages (page_id, engine, html)."""
+    urls = result_urls(F.col("html"), "")
+    for engine in ENGINES:
+        urls = F.when(F.col("engine") == engine, result_urls(F.col("html"), engine)).otherwise(urls)
+    return pages.select("page_id", "engine", F.posexplode(urls).alias("position", "url"))
 
 
 # choosing and uniting

@@ -95,7 +95,27 @@ FROM {supplier}
 #: pages with structured markup, built from rows
 MARKUP = """
 SELECT s_suppkey AS page_id,
-  concat('<html><script type="application/ld+json">{{"@type":"', CASE WHEN s_suppkey % 3 = 0 THEN 'Product' WHEN s_suppkey % 3 = 1 THEN 'FinancialProduct' ELSE 'Thing' END, '","name":"', s_name, '","offers":{{"price":"', CAST(s_nationkey % 9 AS STRING), '.5"}}}}</script><script>dataLayer = [{{"ecommerce":{{"items":[{{"name":"', s_name, '","price":', CAST(s_nationkey % 9 AS STRING), '.75}},{{"item_name":"text price","price":"6.1"}}]}}}}];</script><div class="compare-card"><h2>', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' Fixed' ELSE '' END, '</h2><span data-cell="rate">', CAST(s_nationkey % 9 AS STRING), '.15% p.a</span>', CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('<span data-cell="comparison">', CAST(s_nationkey % 9 AS STRING), '.35% p.a</span>') END, '</div></html>') AS html
+  concat('<html><script type="application/ld+json">{{"@type":"', CASE WHEN s_suppkey % 3 = 0 THEN 'Product' WHEN s_suppkey % 3 = 1 THEN 'FinancialProduct' ELSE 'Thing' END, '","name":"', s_name, '","offers":{{"price":"', CAST(s_nationkey % 9 AS STRING), '.5"}}}}</script><script>dataLayer = [{{"ecommerce":{{"items":[{{"name":"', s_name, '","price":', CAST(s_nationkey % 9 AS STRING), '.75}},{{"item_name":"text price","price":"6.1"}}]}}}}];</script><div class="compare-card"><h2>', s_name, CASE WHEN s_suppkey % 2 = 0 THEN ' Fixed' ELSE '' END, '</h2><span data-cell="rate">', CAST(s_nationkey % 9 AS STRING), CASE WHEN s_suppkey % 5 = 0 THEN '.15</span>' ELSE '.15% p.a</span>' END, CASE WHEN s_suppkey % 4 = 0 THEN '' ELSE concat('<span data-cell="comparison">', CAST(s_nationkey % 9 AS STRING), '.35% p.a</span>') END, '</div></html>') AS html
+FROM {supplier}
+"""
+
+#: search pages of four engines
+SERPS = """
+SELECT s_suppkey AS page_id, CASE s_suppkey % 4 WHEN 0 THEN 'google' WHEN 1 THEN 'bing' WHEN 2 THEN 'yahoo' ELSE 'other' END AS engine,
+  concat('<a href="/url?q=https://www.bank', CAST(s_nationkey AS STRING), '.com/rates%3Fa=b&sa=U">r</a><a href="https://support.google.com/x">g</a><A HREF="https://www.microsoft.com/y">m</a>',
+    '<a href="https://r.yahoo.com/k/u=https://lender', CAST(s_suppkey AS STRING), '.com/b%20c&z">y</a><a href="https://lender.com.au/home">d</a><a href="https://lender.com.au/home">again</a>',
+    '<a href="https://www.youtube.com/v">v</a><a href="/url?q=https://maps.google.com/p&x">map</a><a href="/about">own</a><a href="https://www.bing.com/s">b</a>') AS html
+FROM {supplier}
+"""
+
+#: pages with tier tables and rate selects
+TIERED = """
+SELECT s_suppkey AS page_id,
+  concat('<html><table><tr><td>Fees and rates</td></tr><tr><td>≤ 10%</td><td>1.00%</td></tr></table><table class="t"><tr><th>', CASE WHEN s_suppkey % 7 = 0 THEN 'Band' ELSE 'LVR tier' END, '</th><th>Rate</th></tr>',
+    '<tr><td>&le; 60%</td><td><b>', CAST(s_nationkey % 9 AS STRING), '.65%</b> p.a</td></tr><tr><td>2 years fixed ≤', CAST(70 + 10 * (s_nationkey % 2) AS STRING), '%</td><td>', CAST(s_nationkey % 9 AS STRING), '.80%</td></tr>',
+    CASE WHEN s_suppkey % 3 = 0 THEN '<tr><td>no tier</td><td>9.99%</td></tr>' ELSE concat('<tr><td>&gt; 90%</td><td>', CAST(s_nationkey % 9 AS STRING), '.89%</td></tr>') END,
+    '<tr><td>Index rate</td><td>', CAST(s_nationkey % 9 AS STRING), '.24%</td></tr></table>',
+    '<select id="homeInterestRate"><option>Please select</option><option>', CAST(2 + s_nationkey % 7 AS STRING), '.49% p.a Standard Variable 80% or less LVR</option><option>', CAST(2 + s_nationkey % 7 AS STRING), '.69% p.a Standard Variable more than 80% LVR</option></select><select id="state"><option>5.00% p.a Hidden</option></select></html>') AS html
 FROM {supplier}
 """
 

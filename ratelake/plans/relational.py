@@ -265,6 +265,14 @@ def matrix3_missing(spark, sf):
     return pricing.missing_states(components(spark, sf), "product_id")
 
 
+@query(f"""WITH {_STATE}, a AS (SELECT DISTINCT product_id, loan_type FROM k), b AS (SELECT DISTINCT product_id, repayment FROM k), d AS (SELECT DISTINCT product_id, rate_type FROM k),
+h AS (SELECT product_id, loan_type, repayment, rate_type FROM a JOIN b USING (product_id) JOIN d USING (product_id) EXCEPT SELECT product_id, loan_type, repayment, rate_type FROM k)
+SELECT product_id, loan_type, repayment, rate_type, idx, interest_rate, extraction_method, confidence, 'captured' AS capture_status FROM k UNION ALL SELECT product_id, loan_type, repayment, rate_type, NULL, NULL, 'not_available', 0, 'not_available' FROM h""")
+def matrix3_complete(spark, sf):
+    """The components with placeholders for what a product's axes leave out."""
+    return pricing.complete_matrix(components(spark, sf), "product_id").select("product_id", "loan_type", "repayment", "rate_type", "idx", "interest_rate", "extraction_method", "confidence", "capture_status")
+
+
 _PICK = "SELECT s_suppkey AS page_id, concat('a', CAST(s_nationkey % 3 AS STRING)) AS o1, concat('b', CAST(s_suppkey % 2 AS STRING)) AS o2 FROM {supplier}"
 
 
@@ -373,6 +381,12 @@ def quarantine_split(spark, sf):
     return quality.quarantine(*_verdict(spark, sf))[1].select("product_id", "lender", "reason")
 
 
+@query(f"WITH {_SUMMARY} SELECT product_id, lender, n_products, n_issues, n_critical, n_warnings, confidence, completeness, consistency FROM pr JOIN v USING (lender) WHERE confidence < 40")
+def quarantine_report(spark, sf):
+    """Quarantined products with their lender's report."""
+    return quality.quarantine(*_verdict(spark, sf))[1].select("product_id", "lender", *[f"report.{x}" for x in ("n_products", "n_issues", "n_critical", "n_warnings", "confidence", "completeness", "consistency")])
+
+
 @query(f"""WITH {_GATE}, a AS (SELECT product_id, count(*) FILTER (priced) AS n FROM w GROUP BY 1), b2 AS (SELECT min(interest_rate) <> max(interest_rate) AS x FROM t GROUP BY product_id, loan_type, repayment, lo, hi),
 d AS (SELECT 'four_states' AS "check", count(*) AS checked, count(*) FILTER (n < 4) AS failed FROM a UNION ALL SELECT 'id_charset', count(*), count(*) FILTER (NOT regexp_matches(slug, '^[a-z0-9]+(-[a-z0-9]+)*$')) FROM pr
 UNION ALL SELECT 'band_conflicts', count(*), count(*) FILTER (x) FROM b2 UNION ALL SELECT 'fixed_terms', count(*), count(*) FILTER (years IS NULL) FROM pr WHERE rate_type = 'Fixed') SELECT *, failed = 0 AS passed FROM d""")

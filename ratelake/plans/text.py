@@ -272,7 +272,7 @@ def datalayer_extract(spark, sf):
     return extract.embedded_state(D.derive(spark, sf, D.MARKUP)).select("page_id", "name", "rate")
 
 
-@query(rf"""WITH m AS ({D.sql(D.MARKUP)}), s AS (SELECT page_id, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS name, {S.num("html", r'data-cell="rate">([\d.]+)%')} AS rate, {S.num("html", r'data-cell="comparison">([\d.]+)%')} AS cmp FROM m)
+@query(rf"""WITH m AS ({D.sql(D.MARKUP)}), s AS (SELECT page_id, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS name, {S.num("html", r'data-cell="rate">([\d.]+)')} AS rate, {S.num("html", r'data-cell="comparison">([\d.]+)')} AS cmp FROM m)
 SELECT page_id AS card_id, name, rate, coalesce(cmp, rate) AS comparison_rate, CASE WHEN contains(lower(name), 'fix') THEN 'Fixed' ELSE 'Variable' END AS rate_type FROM s WHERE rate > 0""")
 def compare_cards(spark, sf):
     m = D.derive(spark, sf, D.MARKUP)
@@ -287,11 +287,6 @@ def html_headings(spark, sf):
     return extract.headings(D.derive(spark, sf, D.HEADED))
 
 
-@query(None)
-def html_headings_pages(spark, sf):
-    return extract.headings(table(spark, sf, "pages"))
-
-
 _STRUCTURE = {"has_compare_cards": '(?i)class="[^"]*compare-card', "has_data_cells": r"(?i)data-cell\s*=", "has_rate_selects": r"(?is)<option[^>]*>[^<]*%\s*p\.a", "has_jsonld": r"(?i)<script[^>]*application/ld\+json", "has_embedded_state": "dataLayer|__NEXT_DATA__|__NUXT__", "has_rate_tables": r"(?is)<t[dh][^>]*>[^<]*[\d.]+%\s*p\.a"}
 
 
@@ -315,6 +310,37 @@ def lvr_table_bounds(spark, sf):
     return extract.lvr_table(D.derive(spark, sf, D.TIERS))
 
 
+#: the second table of each page, by hand
+_TIER_ROWS = """r(row_idx, label, kind, bound, cents, months) AS (VALUES (0, '≤ 60%', 'le', 0.6, 65, NULL), (1, NULL, 'le', NULL, 80, 24), (2, '> 90%', 'gt', 0.9, 89, NULL), (3, 'Index', 'index', NULL, 24, NULL)),
+x AS (SELECT s_suppkey AS page_id, row_idx, kind, months, s_nationkey % 9 + cents / 100.0 AS rate, CASE WHEN row_idx = 1 THEN (70 + 10 * (s_nationkey % 2)) / 100.0 ELSE bound END AS bound, coalesce(label, concat('≤', 70 + 10 * (s_nationkey % 2), '%')) AS label FROM supplier, r WHERE s_suppkey % 7 <> 0 AND (row_idx <> 2 OR s_suppkey % 3 <> 0)),
+y AS (SELECT page_id, row_idx, label, months::INT AS fixed_term_months, CASE kind WHEN 'le' THEN CASE row_idx WHEN 0 THEN 0.0 ELSE 0.6 END WHEN 'gt' THEN 0.9 ELSE 0.0 END::DOUBLE AS lvr_min, CASE kind WHEN 'le' THEN bound ELSE 1.0 END::DOUBLE AS lvr_max, kind = 'gt' AS lvr_exclusive_max, rate::DOUBLE AS rate, CASE kind WHEN 'index' THEN 'VariableIndex' ELSE 'Variable' END AS rate_type FROM x)"""
+
+
+@query(f"WITH {_TIER_ROWS} SELECT page_id, 1 AS table_idx, row_idx, fixed_term_months, lvr_min, lvr_max, lvr_exclusive_max, rate, rate_type FROM y")
+def lvr_table_html(spark, sf):
+    rows = extract.tier_rows(D.derive(spark, sf, D.TIERED)).withColumn("table_id", F.struct("page_id", "table_idx"))
+    return extract.lvr_table(rows, ("fixed_term_months",)).select("table_id.page_id", "table_id.table_idx", "row_idx", "fixed_term_months", "lvr_min", "lvr_max", "lvr_exclusive_max", "rate", "rate_type")
+
+
+@query(f"""WITH {_TIER_ROWS}, o(cents, lo, hi) AS (VALUES (49, 0.0, 0.8), (69, 0.8, 1.0))
+SELECT page_id, 'table' AS source, 'Test Variable Rate' AS base_name, concat('Test Variable Rate - ', CASE rate_type WHEN 'VariableIndex' THEN 'Index rate' ELSE label END) AS name, rate, rate_type, lvr_min, lvr_max, fixed_term_months FROM y
+UNION ALL SELECT s_suppkey, 'select', 'Standard Variable', 'Standard Variable', (2 + s_nationkey % 7 + cents / 100.0)::DOUBLE, 'Variable', lo::DOUBLE, hi::DOUBLE, NULL FROM supplier, o""")
+def dropdown_products(spark, sf):
+    return extract.dropdown_products(D.derive(spark, sf, D.TIERED), "Test")
+
+
+@query(f"""WITH p AS ({D.sql(D.SERPS)}), h AS (SELECT page_id, engine, unnest(regexp_extract_all(html, '(?i)href="([^"]+)"', 1)) AS u FROM p),
+w AS (SELECT *, url_decode(NULLIF(regexp_extract(u, '/url[?]q=(https?://[^&]+)', 1), '')) AS g, url_decode(NULLIF(regexp_extract(u, '/u=(https?://[^&]+)', 1), '')) AS y FROM h),
+l AS (SELECT page_id, engine, CASE engine
+  WHEN 'google' THEN CASE WHEN contains(u, '/url?q=') THEN CASE WHEN NOT regexp_matches(g, 'google[.]com|youtube[.]com|facebook[.]com|maps[.]google') THEN g END WHEN starts_with(u, 'http') AND NOT contains(u, 'google.com') THEN u END
+  WHEN 'bing' THEN CASE WHEN starts_with(u, 'http') AND NOT regexp_matches(u, 'bing[.]com|microsoft[.]com') THEN u END
+  WHEN 'yahoo' THEN CASE WHEN contains(u, '/u=') THEN CASE WHEN NOT regexp_matches(y, 'yahoo[.]com|google[.]com|youtube[.]com|facebook[.]com') THEN y END WHEN starts_with(u, 'http') AND NOT contains(u, 'yahoo.com') THEN u END
+  ELSE CASE WHEN regexp_matches(u, '^https?://') AND NOT {S.any_of('lower(u)', P.OTHER_DOMAINS)} THEN u END END AS url FROM w)
+SELECT DISTINCT page_id, engine, url FROM l WHERE url IS NOT NULL""")
+def serp_links(spark, sf):
+    return extract.serp_links(D.derive(spark, sf, D.SERPS)).select("page_id", "engine", "url")
+
+
 _SKIP = " AND ".join(f"NOT regexp_matches(url, {S.quote('(?i)' + p)})" for p in P.SKIP_URL)
 
 

@@ -8,7 +8,9 @@ from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lexicon import DEFAULT, Lexicon
 from ..functions.parsing import substitute
+from . import yaml
 
 LENDER = "config_idx int, id string, lender_name string, abbreviation string, lender_type string, domain string, website string, jurisdiction string, enabled boolean, volatile boolean, frequency string, priority int, collection_urls array<string>"
 DEFAULT_LENDER = {"id": "lender-1", "lender_name": "Default Lender", "abbreviation": "DEF", "domain": "example.com", "enabled": True, "frequency": "daily"}
@@ -28,22 +30,42 @@ class Settings:
 
     @classmethod
     def from_text(cls, text: str, env: dict | None = None) -> "Settings":
-        """From ``key: value`` lines (one level); placeholders are filled from the environment
-        and values are cast to the fields' types."""
+        """From YAML, its sections nested as they may; placeholders are filled from the environment
+        and values are cast to the fields' types.  Other settings are in ``extra`` by their path,
+        as "section.key"."""
         known, extra = {}, {}
-        for line in substitute(text, env).splitlines():
-            line = line.split("#", 1)[0].strip()
-            if ":" not in line:
-                continue
-            k, v = (x.strip().strip("'\"") for x in line.split(":", 1))
+        for path, v in _leaves(yaml.parse(substitute(text, env)) or {}):
+            k = path.rsplit(".", 1)[-1]
             f = cls.__dataclass_fields__.get(k)
             if f is None or k == "extra":
-                extra[k] = v
+                extra[path] = v
             elif v:
                 known[k] = v.lower() in ("true", "1", "yes", "on") if f.type == "bool" else {"float": float, "int": int}.get(f.type, str)(v)
         return cls(**known, extra=extra)
 
 
+def _leaves(x, path: str = ""):
+    for k, v in x.items():
+        at = f"{path}.{k}" if path else k
+        if isinstance(v, dict):
+            yield from _leaves(v, at)
+        else:
+            yield at, v
+
+
+def load_lexicon(*paths: str) -> Lexicon:
+    """The vocabulary of the first of the YAML files that is there; categories that it lacks, and
+    a file that can't be read, leave the built-in ones."""
+    for path in paths:
+        if os.path.isfile(path):
+            try:
+                with open(path, encoding="utf-8") as f:
+                    return DEFAULT.loaded(yaml.parse(f.read()) or {})
+            except (OSError, ValueError, AttributeError, TypeError):
+                break
+    return DEFAULT
+
+
 def load_env(text: str) -> dict[str, str]:
     """``NAME=value`` lines; NUL characters are dropped."""
     out = {}

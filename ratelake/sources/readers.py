@@ -71,10 +71,18 @@ def by_lender_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def hash_index(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema("h string").parquet(path) if exists(spark, path) else empty(spark, "h string")
-    except Exception:  # a corrupt index counts as none
+    """The stored hashes; no index, or one that isn't Parquet, counts as none.  Any other failure
+    is raised, lest a store that is away make every product new."""
+    if not exists(spark, path):
         return empty(spark, "h string")
+    df = spark.read.schema("h string").parquet(path)
+    try:
+        df.limit(1).count()
+    except Exception as e:
+        if "CANNOT_READ_FILE_FOOTER" in str(e) or "is not a Parquet file" in str(e):
+            return empty(spark, "h string")
+        raise
+    return df
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:

@@ -258,3 +258,77 @@ def test_a_cluster_without_a_shared_folder_is_an_error():
         assert shared_dir(session(master, "hdfs://x/y/")) == "hdfs://x/y/ratelake"
         assert shared_dir(session(master, None, "hdfs://set")) == "hdfs://set/ratelake"
     assert shared_dir(session("local[4]")).startswith("file://") and shared_dir(session("local")) == shared_dir(session("local[*]"))
+
+
+def test_yaml_of_settings_and_vocabularies():
+    from ratelake.sources import yaml
+
+    text = """
+# head
+a:
+  b: "x # y"   # tail
+  c: [1, 'two', three]
+  d:
+    - "p: q"
+    - plain
+    -
+      k: v
+    - m: 1
+      n: http://h/x
+  e:
+f: 'it'
+g:
+- one
+- two
+"""
+    assert yaml.parse(text) == {"a": {"b": "x # y", "c": ["1", "two", "three"], "d": ["p: q", "plain", {"k": "v"}, {"m": "1", "n": "http://h/x"}], "e": None}, "f": "it", "g": ["one", "two"]}
+    assert yaml.parse("") is None and yaml.parse("# only") is None
+    with pytest.raises(ValueError):
+        yaml.parse("a: 1\n   b: 2")
+
+
+def test_nested_settings_and_vocabulary_files(spark, tmp_path):
+    text = "schema:\n  version: '2.0.0'\nvalidation:\n  max_rate: ${MAX:-20}\n  verify: 'false'\nsearch:\n  engines:\n    - name: google\n"
+    s = config.Settings.from_text(text, {})
+    assert (s.max_rate, s.verify, s.extra["schema.version"], s.extra["search.engines"]) == (20.0, False, "2.0.0", [{"name": "google"}])
+    assert config.Settings.from_text(text, {"MAX": "7"}).max_rate == 7.0 and config.Settings.from_text("", {}) == config.Settings()
+
+    from ratelake.functions import lexicon as L
+
+    path = tmp_path / "words.yaml"
+    path.write_text("loan_type:\n  phrases:\n    - 'Boat to Live'\n  patterns: [boat]\n  max_words: 2\nlvr_tier:\n  keywords:\n    - ltv\n")
+    lex = config.load_lexicon(str(tmp_path / "none.yaml"), str(path))
+    df = spark.createDataFrame([("big boat",), ("my very big boat",), ("a boat to live in and on",), ("owner occupied",), (None,)], "t string")
+    assert [r.x for r in df.select(L.matches(F.col("t"), "loan_type", lexicon=lex).alias("x")).collect()] == [True, False, True, False, False]
+    assert lex.categories["rate_type"] == L.DEFAULT.categories["rate_type"] and lex.categories["lvr_tier"].phrases == ("ltv",)
+    path.write_text("loan_type: [broken")
+    assert config.load_lexicon(str(path)) == L.DEFAULT and config.load_lexicon(str(tmp_path / "none.yaml")) == L.DEFAULT
+
+
+def test_hash_index_that_is_no_parquet_counts_as_none(spark, tmp_path):
+    (tmp_path / "i").mkdir()
+    (tmp_path / "i" / "part-0.parquet").write_text("not parquet at all")
+    assert readers.hash_index(spark, f"file://{tmp_path}/i").count() == 0 == readers.hash_index(spark, f"file://{tmp_path}/none").count()
+    spark.createDataFrame([("a",)], "h string").write.parquet(f"file://{tmp_path}/g")
+    assert [r.h for r in readers.hash_index(spark, f"file://{tmp_path}/g").collect()] == ["a"]
+    with pytest.raises(Exception):
+        readers.hash_index(spark, "nosuchfs://h/x")
+
+
+def test_page_files_are_whole(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "p.html").write_text("<p>one\ntwo</p>")
+    assert [r.html for r in readers.page_files(spark, f"file://{tmp_path}").collect()] == ["<p>one\ntwo</p>"]
+
+
+def test_tier_tables_of_pages(spark):
+    table = "<table><tr><th>LVR Tier</th><th>Comparison Rate (p.a.)</th></tr>" + "".join(f"<tr><td>{a}</td><td>{b}</td></tr>" for a, b in [("≤ 60%", "5.65%"), ("≤ 70%", "5.70%"), ("≤ 80%", "5.80%"), ("≤ 90%", "6.34%"), ("> 90%", "6.89%"), ("Index rate", "7.24%")]) + "</table>"
+    pages = [(1, table), (2, table.replace("LVR Tier", "Band")), (3, "<table><tr><td>LVR</td></tr></table>"), (4, None), (5, "<table><tr><th>lvr</th><th>%</th></tr><tr><td>≤ 80%</td><td>5%</td></tr></table>")]
+    rows = extract.tier_rows(spark.createDataFrame(pages, "page_id long, html string")).withColumn("table_id", F.struct("page_id", "table_idx"))
+    got = [(r.table_id.page_id, r.lvr_min, r.lvr_max, r.lvr_exclusive_max, r.rate, r.rate_type) for r in extract.lvr_table(rows).orderBy("table_id", "row_idx").collect()]
+    assert got == [(1, 0.0, 0.6, False, 5.65, "Variable"), (1, 0.6, 0.7, False, 5.7, "Variable"), (1, 0.7, 0.8, False, 5.8, "Variable"), (1, 0.8, 0.9, False, 6.34, "Variable"), (1, 0.9, 1.0, True, 6.89, "Variable"), (1, 0.0, 1.0, False, 7.24, "VariableIndex")]
+
+
+def test_card_rates_without_a_sign(spark):
+    cards = spark.createDataFrame([(1, "x", "Name", None, [("rate", "5.99"), ("comparison rate", "from 6.10 p.a.")]), (2, "x", "None", None, [("rate", "call us")])], "card_id int, element_id string, heading string, head string, cells array<struct<name: string, text: string>>")
+    assert [tuple(r) for r in extract.compare_cards(cards).collect()] == [(1, "Name", 5.99, 6.1, "Variable")]

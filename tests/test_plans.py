@@ -36,6 +36,24 @@ def test_no_python_and_no_cartesian_product_in_relational_queries(spark, sf):
         assert "Python" not in text and "CartesianProduct" not in text and "InArrow" not in text, q.__name__
 
 
+def scans(text: str) -> int:
+    return text.count("lineitem.parquet]")
+
+
+def test_one_pass_plans(spark, sf):
+    """One scan of the components for the closed world, two with the tiers' checks; no sort-based
+    aggregate."""
+    for q, most in ((R.closed_world_matrix, 1), (R.state_explicit_doc, 1), (R.quality_summary, 2), (R.quality_issues, 2), (R.hash_dedupe, 1), (R.component_dedupe, 1), (R.merge_by_name, 1)):
+        text = q(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert 1 <= scans(text) <= most, q.__name__
+        assert "SortAggregate" not in text, q.__name__
+
+
+def test_firsts_are_limited_before_the_shuffle(spark, sf):
+    text = R.hash_dedupe(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert text.count("WindowGroupLimit") == 2
+
+
 def test_lookups_aggregate_before_the_shuffle(spark, sf):
     text = plan(R.band_conflicts(spark, sf))
     assert text.count("HashAggregate") >= 2 and "Window" not in text
