@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import axes as A
 from ..functions import lexicon as L
 from ..functions import parsing as P
-from ..operators import discovery, extract, normalize, quality
+from ..operators import discovery, extract, normalize, quality, resolve
 from ..sources.readers import table
 from . import derive as D
 from . import sqlparts as S
@@ -280,8 +280,46 @@ def compare_cards(spark, sf):
     return extract.compare_cards(cards)
 
 
+@query(rf"""WITH m AS ({D.sql(D.MARKUP)}),
+j AS (SELECT page_id, 'jsonld' AS strategy, regexp_extract(html, '(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script>', 1)::JSON AS x FROM m),
+d AS (SELECT page_id, 'embedded_state' AS strategy, unnest(from_json((regexp_extract(html, '(?s)dataLayer\s*=\s*(\[.*?\]);', 1)::JSON)->'$[0].ecommerce.items', '["JSON"]')) AS i FROM m),
+c AS (SELECT page_id, 'compare_cards' AS strategy, regexp_extract(html, '<h2>([^<]*)</h2>', 1) AS name, {S.num("html", r'data-cell="rate">([\d.]+)')} AS rate FROM m),
+u AS (SELECT page_id, strategy, x->>'$.name' AS name, {S.num("x->>'$.offers.price'", r"(\d+\.?\d*)")} AS rate FROM j WHERE x->>'$."@type"' IN ('Product', 'FinancialProduct') AND {S.num("x->>'$.offers.price'", r"(\d+\.?\d*)")} > 0
+  UNION ALL SELECT page_id, strategy, coalesce(i->>'$.name', i->>'$.item_name'), CASE WHEN json_type(i->'$.price') IN ('DOUBLE', 'UBIGINT', 'BIGINT') THEN (i->>'$.price')::DOUBLE ELSE 0.0 END FROM d UNION ALL SELECT * FROM c WHERE rate > 0)
+SELECT *, CASE strategy WHEN 'jsonld' THEN 90 WHEN 'embedded_state' THEN 80 ELSE 70 END AS strategy_priority FROM u""")
+def all_strategies(spark, sf):
+    """Every strategy's products of a page, side by side with their priority."""
+    m = D.derive(spark, sf, D.MARKUP)
+    cards = m.select(c("page_id").alias("card_id"), F.lit(None).cast("string").alias("element_id"), P.group(c("html"), "<h2>([^<]*)</h2>").alias("heading"), F.lit(None).cast("string").alias("head"), extract.card_cells(c("html")).alias("cells"))
+    pick = lambda df, page="page_id": df.select(c(page).alias("page_id"), "name", "rate")
+    return extract.unite({"jsonld": pick(extract.jsonld(m)), "embedded_state": pick(extract.datalayer(m)), "compare_cards": pick(extract.compare_cards(cards), "card_id")})
+
+
+@query(rf"""WITH r AS ({D.sql(D.RESPONSES)}), ok AS (SELECT call_id, TRY_CAST(body AS JSON) AS j FROM r WHERE status = 200 AND contains(content_type, 'application/json')),
+t AS (SELECT call_id, json_extract_string(p, '$.productName') AS name FROM (SELECT call_id, unnest(from_json(json_extract(j, '$.loanProducts'), '["JSON"]')) AS p FROM ok WHERE json_extract(j, '$.loanProducts') IS NOT NULL)),
+g AS (SELECT call_id, unnest(from_json(coalesce(json_extract(j, '$.products'), json_extract(j, '$.data.items'), '[]'), '["JSON"]')) AS p FROM ok WHERE j IS NOT NULL),
+n AS (SELECT call_id, coalesce({_jx("p", "name", "productName", "title", "loanName")}) AS name, coalesce({_jx("p", "rate", "interestRate", "comparisonRate")}) AS raw FROM g)
+SELECT call_id, name, 'structured' AS kind FROM t UNION ALL SELECT call_id, concat('Bank ', name), 'generic' FROM n WHERE name IS NOT NULL AND coalesce(TRY_CAST(raw AS DOUBLE), {S.num("raw", r"(\d+\.?\d*)")}) <> 0 AND call_id NOT IN (SELECT call_id FROM t)""")
+def skip_generic_calls(spark, sf):
+    """Generic products only of calls that gave no structured ones."""
+    log = extract.responses(D.derive(spark, sf, D.RESPONSES))
+    structured = extract.structured_products(log.where(F.get_json_object("body", "$.loanProducts").isNotNull())).select("call_id", "name", F.lit("structured").alias("kind")).distinct()
+    generic = extract.generic_products(extract.find_products(log), "Bank").select("call_id", "name", F.lit("generic").alias("kind"))
+    return resolve.skip_generic(structured, generic)
+
+
+@query(f"""WITH e AS (SELECT s_suppkey AS card_id, concat('fixed-rate_', lower(replace(s_name, '#', '-'))) AS element_id FROM supplier)
+SELECT card_id, (SELECT string_agg(concat(upper(left(w, 1)), lower(substr(w, 2))), ' ' ORDER BY i) FROM (SELECT unnest(string_split(regexp_replace(element_id, '[-_]', ' ', 'g'), ' ')) AS w, generate_subscripts(string_split(regexp_replace(element_id, '[-_]', ' ', 'g'), ' '), 1) AS i)) AS name, 5.5::DOUBLE AS rate FROM e""")
+def card_titles(spark, sf):
+    """Cards without a heading are named by their element's id."""
+    s = table(spark, sf, "supplier")
+    cells = F.array(F.struct(F.lit("rate").alias("name"), F.lit("5.5% p.a").alias("text")))
+    cards = s.select(c("s_suppkey").alias("card_id"), F.concat(F.lit("fixed-rate_"), F.lower(F.replace("s_name", F.lit("#"), F.lit("-")))).alias("element_id"), F.lit("").alias("heading"), F.lit(None).cast("string").alias("head"), cells.alias("cells"))
+    return extract.compare_cards(cards).select("card_id", "name", "rate")
+
+
 @query(rf"""WITH h AS ({D.sql(D.HEADED)}), x AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM h)
-SELECT page_id, heading, {S.num("body", r"(\d+\.?\d*)\s*%")} AS rate, {S.num("body", r"(?s)[Cc]omparison\s+rate.*?([\d.]+)\s*%")} AS comparison_rate, CASE WHEN regexp_matches(lower(body), '\bfixed\b') THEN 'Fixed' ELSE 'Variable' END AS rate_type
+SELECT page_id, heading, {S.num("body", r"(\d+\.?\d*)\s*%")} AS rate, {S.num("body", r"(?s)[Cc]omparison\s+rate.*?([\d.]+)\s*%")} AS comparison_rate, CASE WHEN regexp_matches(lower(body), '\bfixed\b') THEN 'Fixed' ELSE 'Variable' END AS rate_type, 0.8::DOUBLE AS lvr_max
 FROM x WHERE {S.any_of("lower(heading)", P.HEADING_WORDS)} AND NOT {S.any_of("lower(heading)", P.HEADING_NOT)} AND length(heading) > 5 AND length(heading) < 100""")
 def html_headings(spark, sf):
     return extract.headings(D.derive(spark, sf, D.HEADED))
@@ -376,6 +414,14 @@ def search_query_build(spark, sf):
     return discovery.search_queries(d).withColumn("url", discovery.search_url(c("query"), "google"))
 
 
+@query("""WITH d AS (SELECT n_nationkey, concat('home loan & rates ', lower(n_name), ' 5%') AS q FROM nation), e AS (SELECT n_nationkey, replace(replace(replace(q, '%', '%25'), '&', '%26'), ' ', '+') AS q FROM d)
+SELECT n_nationkey, 'bing' AS engine, concat('https://www.bing.com/search?q=', q, '&count=20&setmkt=en-AU') AS url FROM e UNION ALL SELECT n_nationkey, 'yahoo', concat('https://au.search.yahoo.com/search?p=', q, '&n=20') FROM e UNION ALL SELECT n_nationkey, 'google', concat('https://www.google.com/search?q=', q, '&num=20&hl=en&gl=au') FROM e""")
+def search_urls(spark, sf):
+    d = table(spark, sf, "nation").select("n_nationkey", F.concat(F.lit("home loan & rates "), F.lower("n_name"), F.lit(" 5%")).alias("q"))
+    e = F.explode(F.array(*[F.struct(F.lit(n).alias("engine"), discovery.search_url(c("q"), n).alias("url")) for n in ("bing", "yahoo", "google")])).alias("e")
+    return d.select("n_nationkey", e).select("n_nationkey", "e.engine", "e.url")
+
+
 _SERP = "SELECT doc_id, concat(text, CASE doc_id % 9 WHEN 0 THEN ' Unusual traffic' WHEN 1 THEN ' 0 results' WHEN 2 THEN ' connection failed' WHEN 3 THEN ' timed out' WHEN 4 THEN ' too many' WHEN 5 THEN ' search' ELSE '' END) AS t FROM {documents}"
 
 
