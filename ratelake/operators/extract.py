@@ -86,7 +86,8 @@ def html_elements(pages: DataFrame, tags: tuple, id_col: str = "page_id", html_c
 
 def headings(pages: DataFrame) -> DataFrame:
     """Product-like headings and the first rate of the text that follows up to the next
-    heading; the ratio goes to 0.8."""
+    heading; a comparison rate is the rate unless the text names one, the ratio 0.8 unless a
+    percentage stands before "LVR"."""
     e = html_elements(pages, ("h1", "h2", "h3", "h4", "p", "td", "li", "span"))
     e = e.withColumn("is_h", F.col("tag").isin("h1", "h2", "h3", "h4"))
     w = Window.partitionBy("page_id").orderBy("idx")
@@ -95,7 +96,7 @@ def headings(pages: DataFrame) -> DataFrame:
         e.where("section > 0").groupBy("page_id", "section")
         .agg(F.min_by("text", "idx").alias("heading"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda x: x["text"]), " ").alias("body"))
         .where(P.is_heading(F.col("heading")))
-        .select("page_id", "heading", P.plain_rate(F.col("body")).alias("rate"), P.comparison_in_text(F.col("body")).alias("comparison_rate"), F.when(F.lower("body").rlike(r"\bfixed\b"), "Fixed").otherwise("Variable").alias("rate_type"), F.lit(0.8).alias("lvr_max"))
+        .select("page_id", "heading", P.plain_rate(F.col("body")).alias("rate"), F.coalesce(P.comparison_in_text(F.col("body")), P.plain_rate(F.col("body"))).alias("comparison_rate"), F.when(F.lower("body").rlike(r"\bfixed\b"), "Fixed").otherwise("Variable").alias("rate_type"), F.coalesce(P.number(F.col("body"), r"(?i)(\d+)%.*?LVR") / 100, F.lit(0.8)).alias("lvr_max"))
     )
 
 

@@ -122,7 +122,7 @@ FROM {supplier}
 #: pages with product headings and rates
 HEADED = """
 SELECT c_custkey AS page_id,
-  concat('<html><body><h1>', c_name, CASE c_custkey % 4 WHEN 0 THEN ' Home Loan' WHEN 1 THEN ' contact us about a loan' WHEN 2 THEN ' Variable' ELSE '' END, '</h1><div><p>', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ' fixed' ELSE '' END, ' from ', CAST(c_nationkey AS STRING), '.5', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '% p.a' END, '</p><p>comparison rate ', CAST(c_nationkey AS STRING), '.9%</p></div></body></html>') AS html
+  concat('<html><body><h1>', c_name, CASE c_custkey % 4 WHEN 0 THEN ' Home Loan' WHEN 1 THEN ' contact us about a loan' WHEN 2 THEN ' Variable' ELSE '' END, '</h1><div><p>', c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN ' fixed' ELSE '' END, ' from ', CAST(c_nationkey AS STRING), '.5', CASE WHEN c_custkey % 5 = 0 THEN '' ELSE '% p.a' END, '</p><p>', CASE WHEN c_custkey % 7 = 0 THEN '' ELSE concat('comparison rate ', CAST(c_nationkey AS STRING), '.9%') END, '</p>', CASE WHEN c_custkey % 6 = 0 THEN '<p>lends 70% or less LVR</p>' ELSE '' END, '</div></body></html>') AS html
 FROM {customer}
 """
 

@@ -319,7 +319,7 @@ def card_titles(spark, sf):
 
 
 @query(rf"""WITH h AS ({D.sql(D.HEADED)}), x AS (SELECT page_id, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM h)
-SELECT page_id, heading, {S.num("body", r"(\d+\.?\d*)\s*%")} AS rate, {S.num("body", r"(?s)[Cc]omparison\s+rate.*?([\d.]+)\s*%")} AS comparison_rate, CASE WHEN regexp_matches(lower(body), '\bfixed\b') THEN 'Fixed' ELSE 'Variable' END AS rate_type, 0.8::DOUBLE AS lvr_max
+SELECT page_id, heading, {S.num("body", r"(\d+\.?\d*)\s*%")} AS rate, coalesce({S.num("body", r"(?s)[Cc]omparison\s+rate.*?([\d.]+)\s*%")}, {S.num("body", r"(\d+\.?\d*)\s*%")}) AS comparison_rate, CASE WHEN regexp_matches(lower(body), '\bfixed\b') THEN 'Fixed' ELSE 'Variable' END AS rate_type, coalesce({S.num("body", r"(\d+)%.*?LVR", 1, "(?i)")} / 100, 0.8)::DOUBLE AS lvr_max
 FROM x WHERE {S.any_of("lower(heading)", P.HEADING_WORDS)} AND NOT {S.any_of("lower(heading)", P.HEADING_NOT)} AND length(heading) > 5 AND length(heading) < 100""")
 def html_headings(spark, sf):
     return extract.headings(D.derive(spark, sf, D.HEADED))
