@@ -89,9 +89,10 @@ def lender_stats(spark, sf):
     return monitor.lender_stats(events(spark, sf), as_of(), 72)
 
 
-@query(f"WITH {_LATEST} SELECT lender, collection_type, ts, round({_AGE}, 6) AS hours_old FROM l WHERE success AND {_AGE} > 24")
+@query(f"WITH {_LATEST} SELECT lender, collection_type, ts, round({_AGE}, 6) AS hours_old FROM l WHERE success AND {_AGE} > 1")
 def freshness(spark, sf):
-    return monitor.stale(events(spark, sf), as_of())
+    """Over an hour old: over a day, the table holds none."""
+    return monitor.stale(events(spark, sf), as_of(), 1)
 
 
 @query(f"WITH {_LATEST}, {_STATS}, f AS (SELECT count(*) AS n_stale FROM l WHERE success AND {_AGE} > 24) SELECT total, successful, failed, success_rate, n_stale, CASE WHEN failed > successful THEN 'critical' WHEN n_stale > 0 THEN 'unhealthy' WHEN success_rate < 0.8 THEN 'degraded' ELSE 'healthy' END AS status FROM s, f")
