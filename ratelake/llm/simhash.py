@@ -24,41 +24,157 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, components, keyed, packed, salted, save, unpacked
+from .common import HOT_KEYS, components, keyed, packed, salted, save, unpacked, utf8
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
 BLOCKS = ((0, 21), (21, 42), (42, 64))
-_CHUNK = 1 << 15
+_CHUNK = 1 << 18  # bytes of text hashed at once
+_LONG = 1 << 10  # bytes of a shingle from which it is hashed by itself
+# The primes of XXH64.
+_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
+_LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+_GAP = np.array([c == 32 or 9 <= c <= 13 for c in range(256)])
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+def xxh64(data: np.ndarray, start: np.ndarray, stop: np.ndarray, seed: int = SEED) -> np.ndarray:
+    """XXH64 of each data[start:stop], all at once, a step of the algorithm at a time."""
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in _PRIMES)
+    rotl = lambda x, r: x << np.uint64(r) | x >> np.uint64(64 - r)
+    mix = lambda acc, lane: rotl(acc + lane * p2, 31) * p1
+    padded = np.append(data, np.zeros(8, np.uint8))
+    # the 8 bytes from each place on, as a number
+    lanes = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view("<u8").ravel()
+    size = stop - start
+    h = np.full(len(start), (seed + _PRIMES[4]) % (1 << 64), np.uint64)
+    at = start.copy()
+    some = np.flatnonzero((size >= 32) & (size <= _LONG))
+    if len(some):
+        acc = [np.full(len(some), x % (1 << 64), np.uint64) for x in (seed + _PRIMES[0] + _PRIMES[1], seed + _PRIMES[1], seed, seed - _PRIMES[0])]
+        stripes, place = size[some] // 32, start[some]
+        for k in range(int(stripes.max())):
+            on = np.flatnonzero(stripes > k)
+            for i in range(4):
+                acc[i][on] = mix(acc[i][on], lanes[place[on] + 32 * k + 8 * i])
+        merged = rotl(acc[0], 1) + rotl(acc[1], 7) + rotl(acc[2], 12) + rotl(acc[3], 18)
+        for v in acc:
+            merged = (merged ^ mix(np.zeros(len(some), np.uint64), v)) * p1 + p4
+        h[some] = merged
+        at[some] += 32 * stripes
+    h += size.astype(np.uint64)
+    for _ in range(3):  # at most three lanes are left
+        on = np.flatnonzero(stop - at >= 8)
+        on = on[size[on] <= _LONG]
+        h[on] = rotl(h[on] ^ mix(np.uint64(0), lanes[at[on]]), 27) * p1 + p4
+        at[on] += 8
+    on = np.flatnonzero((stop - at >= 4) & (size <= _LONG))
+    h[on] = rotl(h[on] ^ (lanes[at[on]] & np.uint64(0xFFFFFFFF)) * p1, 23) * p2 + p3
+    at[on] += 4
+    for _ in range(3):
+        on = np.flatnonzero((at < stop) & (size <= _LONG))
+        h[on] = rotl(h[on] ^ padded[at[on]].astype(np.uint64) * p5, 11) * p1
+        at[on] += 1
+    h = (h ^ h >> np.uint64(33)) * p2
+    h = (h ^ h >> np.uint64(29)) * p3
+    h ^= h >> np.uint64(32)
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(data[start[i] : stop[i]].tobytes(), seed)
+    return h
+
+
+def _normal(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes with A-Z lower-cased and one space between words, begin and end of each word there,
+    its begin in ``data``)."""
+    b = _LOWER[data]
+    gap = _GAP[b]
+    first = ~gap & np.append(True, gap[:-1])
+    keep = ~gap | np.append(False, ~gap[:-1])
+    out = b[keep]
+    space = gap[keep]
+    out[space] = 32
+    on = ~space
+    start = np.flatnonzero(on & np.append(True, space[:-1]))
+    stop = np.flatnonzero(on & np.append(space[1:], True)) + 1
+    return out, start, stop, np.flatnonzero(first)
+
+
+def _ones(data: np.ndarray, start: np.ndarray, stop: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For runs of ``count`` shingles each how often each of the 64 bits is set."""
+    bits = np.unpackbits(xxh64(data, start, stop).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    out = np.zeros((len(count), 64), np.int64)
+    i = 0
+    for d, n in enumerate(count.tolist()):
+        for j in range(i, i + n, 255):  # 255 rows at a time stay within a byte
+            out[d] += bits[j : min(j + 255, i + n)].sum(0, dtype=np.uint8)
+        i += n
+    return out
+
+
+def _shingles(start: np.ndarray, stop: np.ndarray, first: np.ndarray, words: np.ndarray, k: int):
+    """(begin, end, shingles per text) of the shingles of texts with ``words`` words each."""
+    count = np.where(words > 0, np.maximum(1, words - k + 1), 0)
+    of = np.repeat(np.arange(len(words)), count)
+    i = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+    return start[i], stop[i + np.minimum(words[of], k) - 1], count
+
+
+def _long_text(data: np.ndarray, k: int) -> tuple[np.ndarray, int]:
+    """(ones by bit, shingles) of a long text, in pieces that end between words and begin with the
+    k - 1 words before."""
+    ones, n, total = np.zeros((1, 64), np.int64), 0, 0
+    before = np.zeros(0, np.uint8)
+    s, end = 0, len(data)
+    while s < end:
+        e = min(s + _CHUNK, end)
+        while e < end and not _GAP[data[e - 1]]:  # to the end of the word, however long
+            gap = np.flatnonzero(_GAP[data[e : e + _CHUNK]])
+            e = e + int(gap[0]) + 1 if len(gap) else min(e + _CHUNK, end)
+        out, start, stop, _ = _normal(np.concatenate([before, data[s:e]]))
+        total = len(start)  # words in this piece and the ones before it
+        if total >= k:
+            ones += _ones(out, start[: total - k + 1], stop[k - 1 :], np.array([total - k + 1]))
+            n += total - k + 1
+        keep = min(k - 1, total)
+        before = np.append(out[start[total - keep] :], np.uint8(32)) if keep else np.zeros(0, np.uint8)
+        s = e
+    if n == 0 and total:  # fewer words: the whole sequence
+        words = before[: len(before) - 1 - int(before[-2] == 32)] if len(before) > 1 else before
+        return _ones(words, np.array([0]), np.array([len(words)]), np.array([1])), 1
+    return ones, n
+
+
+def fingerprint_batch(off: np.ndarray, data: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+    """Unsigned 64-bit SimHash of the ``k``-word shingles of each data[off[i]:off[i + 1]], repeats
+    included."""
+    n = len(off) - 1
+    ones, count = np.zeros((n, 64), np.int64), np.zeros(n, np.int64)
+    i = 0
+    while i < n:
+        if off[i + 1] - off[i] > _CHUNK:
+            ones[i], count[i] = _long_text(data[off[i] : off[i + 1]], k)
+            i += 1
+            continue
+        j = i + 1
+        while j < n and off[j + 1] - off[i] <= _CHUNK:
+            j += 1
+        ends = off[i + 1 : j] - off[i]
+        out, start, stop, place = _normal(np.insert(data[off[i] : off[j]], ends, 32))  # words end where texts do
+        row = np.searchsorted(ends + np.arange(len(ends)), place, "right")
+        words = np.bincount(row, minlength=j - i)
+        a, z, count[i:j] = _shingles(start, stop, np.cumsum(words) - words, words, k)
+        if len(a):
+            ones[i:j] = _ones(out, a, z, count[i:j])
+        i = j
+    return np.packbits(2 * ones > count[:, None], axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+
+
 def fingerprint(text: bytes | None, k: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of the ``k``-word shingles, repeats included."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    h = xxhash.xxh64_intdigest
-    joined = b" ".join(words)
-    n = len(words) - k + 1
-    if n <= 1:
-        return h(joined, SEED)
-    size = np.fromiter(map(len, words), np.int64, len(words))
-    start = np.zeros(len(words), np.int64)
-    np.cumsum(size[:-1] + 1, out=start[1:])
-    stop = (start + size)[k - 1 :].tolist()
-    start = start[:n].tolist()
-    ones = np.zeros(64, np.int64)
-    for i in range(0, n, _CHUNK):
-        v = np.array([h(joined[a:b], SEED) for a, b in zip(start[i : i + _CHUNK], stop[i : i + _CHUNK])], "<u8")
-        bits = np.unpackbits(v.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        # 255 rows at a time stay within a byte
-        for j in range(0, len(bits), 255):
-            ones += bits[j : j + 255].sum(0, dtype=np.uint8)
-    on = 2 * ones > n
-    return int(np.packbits(on, bitorder="little").view("<u8")[0])
+    """The same of one text."""
+    raw = np.frombuffer(text or b"", np.uint8)
+    return int(fingerprint_batch(np.array([0, len(raw)]), raw, k)[0])
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", keep: list[str] | None = None) -> DataFrame:
@@ -69,9 +185,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fp", keep:
 
     def run(batches):
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            fp = pa.array([_signed(fingerprint(x.as_py())) for x in text], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], fp], names=[*b.schema.names[:-1], out])
+            fp = fingerprint_batch(*utf8(b.column(b.num_columns - 1))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fp)], names=[*b.schema.names[:-1], out])
 
     return src.mapInArrow(run, schema)
 

@@ -44,6 +44,34 @@ def test_fingerprint(text):
     assert S.fingerprint(None if text is None else text.encode()) == brute_fp(text)
 
 
+def test_hashes_are_xxh64_for_every_length():
+    import numpy as np
+
+    rnd = random.Random(4)
+    raw = rnd.randbytes(6000)
+    data = np.frombuffer(raw, np.uint8)
+    size = [*range(0, 140), 1023, 1024, 1025, 2500]
+    start = np.array([rnd.randrange(0, 6000 - n + 1) for n in size])
+    stop = start + np.array(size)
+    for seed in (0, 42):
+        assert S.xxh64(data, start, stop, seed).tolist() == [xxhash.xxh64_intdigest(raw[a:z], seed) for a, z in zip(start, stop)]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1 << 18])
+def test_texts_in_chunks_and_pieces(chunk, monkeypatch):
+    import pyarrow as pa
+
+    from ratelake.llm.common import utf8
+
+    monkeypatch.setattr(S, "_CHUNK", chunk)
+    rnd = random.Random(chunk)
+    texts = [None, "", " ", "\n\t x", "one", " two  words ", "A b C", "\x0bend\x0c"] + ["".join(rnd.choice(["ab", "É", " ", "  ", "\n", "Xyz", "q" * 40, "-"]) for _ in range(rnd.randint(0, 40))) for _ in range(150)]
+    off, data = utf8(pa.array(texts, pa.string()))
+    assert S.fingerprint_batch(off, data).tolist() == [brute_fp(t) for t in texts]
+    part = pa.array(texts, pa.string()).slice(5, 60)
+    assert S.fingerprint_batch(*utf8(part)).tolist() == [brute_fp(t) for t in texts[5:65]]
+
+
 def test_variants_meet_for_every_pair_within_the_radius(spark):
     rnd = random.Random(3)
     base = [rnd.getrandbits(64) for _ in range(4)]
