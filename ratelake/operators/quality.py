@@ -54,9 +54,21 @@ def passes(product_id: Column, name: Column, n_components: Column, rate: Column,
     return (F.coalesce(product_id.cast("string"), F.lit("")) != "") & (F.coalesce(name, F.lit("")) != "") & (n_components >= 1) & F.coalesce((rate > lo) & (rate <= hi), F.lit(False))
 
 
+# Checks of the gate with severity, kind and penalties (confidence, completeness).
+CHECKS = (
+    ("slug", "critical", "schema", 10, 0),
+    ("band_conflict", "critical", "data_integrity", 40, 0),
+    ("missing_investment", "warning", "completeness", 20, 20),
+    ("missing_interest_only", "warning", "completeness", 20, 20),
+    ("fixed_term", "critical", "schema", 20, 20),
+    ("comparison_rate", "warning", "completeness", 10, 10),
+)
+
+
 def findings(products: DataFrame, tiers: DataFrame) -> DataFrame:
     """``products`` with ``findings``, an array of (check, severity, kind, confidence_penalty,
-    completeness_penalty): all checks of the verification gate in one row per product.
+    completeness_penalty), and its totals n_issues, n_critical, n_warnings, confidence_penalty and
+    completeness_penalty: all checks of the verification gate in one row per product.
 
     products(product_id, slug, rate_type, fixed_term_years, inv, io), the last two priced
     states of investment loans and of interest only; tiers(product_id, loan_type, repayment, idx,
@@ -67,21 +79,30 @@ def findings(products: DataFrame, tiers: DataFrame) -> DataFrame:
     t = t.withColumn("_clash", F.col("interest_rate") != F.first("interest_rate").over(band))
     state = t.groupBy("product_id", "loan_type", "repayment").agg(F.count_if("_clash").alias("_c"), F.bool_or(F.coalesce("comparison_rate", F.lit(0.0)) == 0).alias("_b"))
     per = state.groupBy("product_id").agg(F.sum("_c").alias("_clashes"), F.count_if("_b").alias("_bare"))
-
-    def finding(times, check, severity, kind, confidence, completeness):
-        one = F.struct(F.lit(check).alias("check"), F.lit(severity).alias("severity"), F.lit(kind).alias("kind"), F.lit(confidence).alias("confidence_penalty"), F.lit(completeness).alias("completeness_penalty"))
-        return F.array_repeat(one, F.coalesce(times.cast("int"), F.lit(0)))
-
     n = lambda c: F.coalesce(F.col(c), F.lit(0))
-    every = F.concat(
-        finding(~P.is_slug(F.col("slug")), "slug", "critical", "schema", 10, 0),
-        finding(F.col("_clashes"), "band_conflict", "critical", "data_integrity", 40, 0),
-        finding(n("inv") < 2, "missing_investment", "warning", "completeness", 20, 20),
-        finding(n("io") < 2, "missing_interest_only", "warning", "completeness", 20, 20),
-        finding((F.col("rate_type") == "Fixed") & F.col("fixed_term_years").isNull(), "fixed_term", "critical", "schema", 20, 20),
-        finding(F.col("_bare"), "comparison_rate", "warning", "completeness", 10, 10),
+    times = {
+        "slug": ~P.is_slug(F.col("slug")),
+        "band_conflict": F.col("_clashes"),
+        "missing_investment": n("inv") < 2,
+        "missing_interest_only": n("io") < 2,
+        "fixed_term": (F.col("rate_type") == "Fixed") & F.col("fixed_term_years").isNull(),
+        "comparison_rate": F.col("_bare"),
+    }
+    j = products.join(per, "product_id", "left").select(*products.columns, *[F.coalesce(times[c].cast("int"), F.lit(0)).alias(f"_{c}") for c, *_ in CHECKS])
+
+    def total(weight):
+        return sum((F.col(f"_{c[0]}") * weight(c) for c in CHECKS), F.lit(0))
+
+    one = lambda c: F.struct(*[F.lit(v).alias(k) for k, v in zip(("check", "severity", "kind", "confidence_penalty", "completeness_penalty"), c)])
+    return j.select(
+        *products.columns,
+        F.concat(*[F.array_repeat(one(c), F.col(f"_{c[0]}")) for c in CHECKS]).alias("findings"),
+        total(lambda c: 1).alias("n_issues"),
+        total(lambda c: int(c[1] == "critical")).alias("n_critical"),
+        total(lambda c: int(c[1] == "warning")).alias("n_warnings"),
+        total(lambda c: c[3]).alias("confidence_penalty"),
+        total(lambda c: c[4]).alias("completeness_penalty"),
     )
-    return products.join(per, "product_id", "left").withColumn("findings", every).drop("_clashes", "_bare")
 
 
 def priced(states: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -106,15 +127,12 @@ def issues(products: DataFrame, states: DataFrame, tiers: DataFrame) -> DataFram
 def scorecard(found: DataFrame, lenders: DataFrame) -> DataFrame:
     """Scores and status per lender, from one pass over ``findings``; a lender without
     products scores 0."""
-    total = lambda f: F.sum(F.aggregate("findings", F.lit(0), f))
     per = found.groupBy("lender").agg(
         F.count("*").alias("n_products"),
-        F.sum(F.size("findings")).alias("n_issues"),
-        total(lambda n, x: n + (x["severity"] == "critical").cast("int")).alias("n_critical"),
-        total(lambda n, x: n + (x["severity"] == "warning").cast("int")).alias("n_warnings"),
-        F.count_if(F.size("findings") > 0).alias("products_with_issues"),
-        total(lambda n, x: n + x["confidence_penalty"]).alias("c"),
-        total(lambda n, x: n + x["completeness_penalty"]).alias("k"),
+        *[F.sum(c).alias(c) for c in ("n_issues", "n_critical", "n_warnings")],
+        F.count_if(F.col("n_issues") > 0).alias("products_with_issues"),
+        F.sum("confidence_penalty").alias("c"),
+        F.sum("completeness_penalty").alias("k"),
     )
     return _scored(per.join(lenders.select("lender").distinct(), "lender", "full"))
 
