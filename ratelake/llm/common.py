@@ -11,7 +11,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.shared import shared_dir
 
@@ -32,12 +31,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the driver's end."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def save(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it back: a cut of the lineage that
     survives lost executors.  Returns the frame and its path."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    path = fresh_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -155,7 +160,3 @@ def components(edges: DataFrame, tag: str = "cc") -> DataFrame:
         nxt, nxt_path = save(small.where("u <> v").distinct(), tag)
         forget(spark, path, move_path)
         e, path = nxt, nxt_path
-
-
-def long_type(name: str) -> T.StructField:
-    return T.StructField(name, T.LongType())

@@ -31,14 +31,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _written, salted, save, shared_dir
+from .common import fresh_path, salted, save
 
 MAGIC = "WARC/1.1\r\n"
 END = "\r\n\r\n"
@@ -331,7 +330,6 @@ def resolved(found: DataFrame, strict: bool = True) -> DataFrame:
 def round_trip(pages: DataFrame, compression: str = "gzip", least: int = LEAST) -> DataFrame:
     """Write ``pages`` to archives in the shared folder and read them back."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write_warc(plan_records(pages, least=least), path, compression)
-    _written.append((spark, path))
     return read_warc(spark, path)
