@@ -421,12 +421,10 @@ def product_match(spark, sf):
 @query(f"""WITH e AS {_E} SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, lender, count(*) FILTER (success) AS successful, count(*) FILTER (NOT success) AS failed FROM e GROUP BY 1, 2""")
 def stream_windows(spark, sf):
     """The monitor's windowed counts, run as a stream to its end."""
-    import uuid
-
-    from ..sources.shared import shared_dir
+    from ..sources.shared import fresh
     from ..streaming import monitor as stream
 
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = fresh(spark, "stream")
     raw = spark.readStream.schema(table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
     e = raw.selectExpr("event_id", "CAST(ts AS TIMESTAMP) AS ts", "concat('Lender ', CAST(user_id % 17 AS STRING)) AS lender", "event_type <> 'error' AND event_id % 6 <> 0 AS success", "CAST(event_id % 23 AS INT) AS products")
     w = stream.windowed(e, "1 hour", "1 hour").select("start", "lender", "successful", "failed")

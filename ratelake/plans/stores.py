@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import monitor, nest, pricing, resolve
 from ..sources import config, readers, writers
 from ..sources.readers import table
-from ..sources.shared import shared_dir
+from ..sources.shared import fresh
 from . import derive as D
 from . import relational as R
 from .registry import query
@@ -18,7 +16,7 @@ c = F.col
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/stores-{uuid.uuid4().hex}"
+    return fresh(spark, "stores")
 
 
 @query(f"SELECT product_id, lender, name, CASE WHEN lender = 'Lender 3' THEN rate + 1 ELSE rate END AS rate FROM {R._P}")

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
 _own: dict[str, str] = {}
+_made: list[tuple[SparkSession, str]] = []
 
 
 @atexit.register
 def _clean() -> None:
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # the session may be gone
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
     for path in _own.values():
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
@@ -33,3 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
     if sc.applicationId not in _own:
         _own[sc.applicationId] = "file://" + tempfile.mkdtemp(prefix="ratelake-")
     return _own[sc.applicationId]
+
+
+def fresh(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted at the driver's end."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
