@@ -440,7 +440,7 @@ def expand(frags: DataFrame, hot: int = HOT, text_size: int = TEXT) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array(np.ones(len(d), np.int8)), pa.array(z), pa.array(s), pa.array(d), pa.array(e), pa.array(i), pa.array(i), pa.array(i), pa.nulls(len(d), pa.binary())], names=names)
 
     def run(batches):
-        cur = last = None
+        cur = last = head = None  # head: the source of a bucket of claims
         ready, room = [], 0  # whole small buckets
         own, size, split = [], 0, False  # the bucket at hand
         copies, pending = [], []
@@ -453,17 +453,21 @@ def expand(frags: DataFrame, hot: int = HOT, text_size: int = TEXT) -> DataFrame
                             ready, room = [], 0
                         ready += own
                         room += size
-                    cur, last, own, size, split = h, None, [], 0, False
+                    cur, last, head, own, size, split = h, None, None, [], 0, False
                 if lo == ALL:  # hi is the place in the grid's cell
-                    if len(own) > 1:
-                        head = own[0]
-                        if head[5][hi - head[4] : hi - head[4] + len(frag)] == frag:
-                            copies.append((doc, a, a + len(frag)))
-                            continue
-                        if size >= text_size:
-                            yield marks(own)
-                            own = own[:1]
-                            size = len(own[0][5])
+                    if head is None:
+                        head = doc, a, hi, frag
+                        continue
+                    at = hi - head[2]
+                    part = head[3][at : at + len(frag)]  # the source's stretch that it claims
+                    if own and part == frag:
+                        copies.append((doc, a, a + len(frag)))
+                        continue
+                    if size >= text_size:
+                        yield marks(own)
+                        own, size = [], 0
+                    own.append((head[0], head[1] + at, 0, ALL, hi, part))
+                    size += len(part)
                 elif (f, frag) == last:  # the same bytes, later
                     copies.append((doc, a - left, a - left + len(frag)))
                     continue
