@@ -164,7 +164,7 @@ def settled(rows, size):
         run = X.emit_anchors(Run(), "doc", "text")
         combine = dict(zip(run.__code__.co_freevars, (c.cell_contents for c in run.__closure__)))["combine"]
         emitted += [r for b in combine(held) for r in b.to_pylist()]
-    emitted.sort(key=lambda r: tuple(r[c] for c in ("t", "p", "h", "f", "doc", "pos")))
+    emitted.sort(key=lambda r: tuple(r[c] for c in ("p", "h", "f", "doc", "pos")))
     table = pa.Table.from_pylist(emitted, schema=pa.schema([(n, pa.int8() if n == "t" else pa.int64()) for n in names]))
     return [r for b in X.settle(Run())(iter(table.to_batches(max_chunksize=size))) for r in b.to_pylist()]
 
