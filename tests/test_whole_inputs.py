@@ -2,6 +2,7 @@
 
 import pytest
 
+from ratelake.operators import matching
 from ratelake.plans import pages
 from ratelake.plans import relational as R
 
@@ -31,6 +32,33 @@ def test_every_supplier_is_an_offer(spark, tmp_path):
         assert got[k] == pytest.approx(v, abs=1e-4)
 
 
+def test_matches_cost_by_terms_and_spread_over_tasks(spark):
+    """Figures are made before offers are listed; one file of applications goes to many tasks;
+    blocks, offers that repeat and offers without an id, terms or segment are as in the plain join."""
+    from pyspark.sql import functions as F
+
+    terms = [(5.0, 80.0), (0.0, 95.0), (5.0, None), (None, 80.0), (3.0, 10.0), (-0.0, 95.0)]
+    sold = [(k, "ab"[k % 7 == 0], *terms[k % 6]) for k in range(25000)] + [(6, "a", 5.0, 80.0), (None, "a", 5.0, 80.0), (None, "a", 5.0, 80.0), (1, None, 5.0, 80.0)]
+    people = [(1, "a", 90000.0, 10.0, 3e5, 5e5, 360), (2, "b", 90000.0, 10.0, 3e5, 0.0, 360), (3, "a", 1000.0, 0.0, 3e5, 5e5, 360), (4, None, 90000.0, 0.0, 3e5, 5e5, 360), (5, "b", 90000.0, 10.0, 4.6e5, 5e5, 360), (None, "b", 90000.0, 10.0, 3e5, 5e5, 360)]
+    apps = spark.createDataFrame(people, "app_id long, segment string, income double, debts double, amount double, value double, months int").coalesce(1)
+    offers = spark.createDataFrame(sold, "offer_id long, segment string, rate double, offer_max_lvr double")
+    want = {}
+    for app, segment, income, debts, amount, value, months in people:
+        for offer, its, rate, top in sold:
+            if segment and its == segment and rate is not None and value:
+                free, lvr = income / 12 * 0.7 - debts, amount / value * 100
+                pay = amount / months if rate == 0 else amount * rate / 1200 / (1 - (1 + rate / 1200) ** -months)
+                if lvr <= min(95.0, 95.0 if top is None else top) and pay <= free:
+                    key = (app, offer, round(lvr, 4), round(pay, 2), round(100 * (1 - pay / free), 2))
+                    want[key] = want.get(key, 0) + 1
+    m = matching.match(apps, offers)
+    keys = ["app_id", "offer_id", "lvr", F.round("payment", 2), F.round("score", 2)]
+    assert {tuple(r)[:5]: r[5] for r in m.groupBy(*keys).count().collect()} == want and {a for a, *_ in want} == {1, 5, None}
+    text = m._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= text.find("Generate explode") < text.find("POWER")
+    assert m.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def test_every_part_is_an_option(spark, tmp_path):
     parts = [(k, f"part name {k}", 1 + k % 2) for k in (*range(1, 25), 1499, 1500, 1501, 1507, 20006, 99999)]
     put(spark, tmp_path, "part", parts, "p_partkey long, p_name string, p_size int")
