@@ -246,11 +246,12 @@ def _repeat(doc: np.ndarray, pos: np.ndarray, later: np.ndarray, first: np.ndarr
 
 def settle(rows: DataFrame) -> DataFrame:
     """(t, h, doc, a, b, src, at): t 0 are the first copies of fragments whose anchor has other
-    fragments (b is the packed place, a 1 where it has many), t 1 are claims [a, b)."""
+    fragments (b is the packed place, a 1 where it has many in any task, so that all of an
+    anchor's are halved alike and meet), t 1 are claims [a, b)."""
     names = "t h doc a b src at"
 
     def run(batches):
-        head, sent = None, True  # the first copy of the fragment that goes on; whether it is put out
+        head, sent, deep = None, True, False  # the first copy of the fragment that goes on; whether it is put out; has its anchor many
         for batch in batches:
             t, p, h, f, doc, pos, src, at = (c.to_numpy() for c in batch.columns)
             done = t == 1
@@ -265,6 +266,9 @@ def settle(rows: DataFrame) -> DataFrame:
             fresh = begin | np.r_[True, f[1:] != f[:-1]]
             start = np.flatnonzero(begin)
             group = np.cumsum(begin) - 1
+            many = ((p[start] & 1) == 1) | (f[start] == FIRST)  # a task with few is told by the one with many
+            if head is not None and deep:
+                many[0] = True
             several = (np.add.reduceat(fresh, start) > 1) | ((p[start] & 1) == 1)
             if head is not None and sent:
                 several[0] = True
@@ -272,14 +276,14 @@ def settle(rows: DataFrame) -> DataFrame:
             if head is not None and sent:
                 go[0] = False
             z = np.zeros(int(go.sum()), np.int64)
-            yield _batch(names, [z.astype(np.int8), h[go], doc[go], p[go] & 1, pos[go], z, z])
+            yield _batch(names, [z.astype(np.int8), h[go], doc[go], many[group[go]].astype(np.int64), pos[go], z, z])
             again = np.flatnonzero(~fresh & (f != FIRST))
             if len(again):
                 first = np.maximum.accumulate(np.where(fresh, np.arange(len(h)), 0))
                 d, s, e, of, place = _repeat(doc, pos, again, first[again])
                 yield _batch(names, [np.ones(len(d), np.int8), d, d, s, e, of, place])
             last = np.flatnonzero(fresh)[-1]
-            sent = bool(several[-1])
+            sent, deep = bool(several[-1]), bool(many[-1])
             head = tuple(x[last] for x in (p, h, f, doc, pos))
 
     # p first: its values tell most rows apart, so a comparison rarely goes on; claims may stand anywhere

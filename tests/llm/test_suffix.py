@@ -208,3 +208,23 @@ def test_cover_holds_every_window_with_few_intervals():
         assert windows(keep) == windows(range(len(rows))) and len(set(keep)) == len(keep)
     n = 1000  # a period of three: one in about twenty is enough
     assert len(X._cover(np.zeros(n, np.int64), np.arange(n) * 3, np.arange(n) * 3 + 168)) < 60
+
+
+def test_an_anchor_with_many_fragments_in_one_task_and_few_in_another(spark):
+    """Both tasks' fragments must be halved alike, or windows they share never meet."""
+    rnd = random.Random(4)
+    word = lambda n: "".join(rnd.choice("abcdefghij ") for _ in range(n))
+    line = min((word(60) for _ in range(3000)), key=lambda t: X._kmers(np.frombuffer(t.encode(), np.uint8)).min())  # holds the anchor of all around it
+    many = [(i, word(200) + line + word(200)) for i in range(X.MANY + 16)]
+    few = [(1000 + i, word(150) + t[160:300] + word(150)) for i, (_, t) in enumerate(many[:20])]
+    few += [(2000 + i, word(150)) for i in range(len(many) - len(few))]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(many + few, 2), "doc_id long, text string")  # a task each
+    assert sorted(tuple(r) for r in X.digest(df).collect()) == sorted(brute(many + few))
+
+
+@pytest.mark.parametrize("size", [1, 3, 10_000])
+def test_fragments_of_an_anchor_go_on_at_one_depth(spark, size):
+    some = lambda n, doc: [(101, f, doc, 400 + f) for f in range(1, n + 1)]
+    out = settled([some(X.MANY, 1), some(3, 2) + [(103, 1, 2, 900), (103, 2, 2, 950)]], size)
+    assert {r["a"] for r in out if r["h"] == 101} == {1} and {r["a"] for r in out if r["h"] == 103} == {0}
+    assert {(r["doc"], r["b"] >> 16) for r in out if r["h"] == 101} >= {(d, a) for _, _, d, a in some(3, 2)}
